@@ -113,15 +113,14 @@ def link_audit(edges: DataFrame, node: str, prev: str, next_: str) -> DataFrame:
 def in_cycles(edges: DataFrame, node: str, link: str) -> DataFrame:
     """The nodes that a walk from themselves comes back to.
 
-    Nodes no link names are cut away round by round until every node left is
-    linked to: with one link out of each, those are the cycles. A round is two
-    hash joins; the table shrinks with every round.
+    Where all nodes get to after 2^k steps shrinks with k until only cycles are
+    left; once doubling the steps loses no node, none is left to lose.
     """
-    left = written(_links(edges, node, link, None), "cycle")
-    size, held = -1, left.count()
-    while held != size:
+    jump = written(_links(edges, node, link, None), "cycle")
+    size, held = -1, jump.select("_to").distinct().count()
+    while held != size and held > 0:
         size = held
-        named = left.select(F.col("_to").alias("_at")).distinct()
-        left = written(left.join(named, "_at", "left_semi"), "cycle")
-        held = left.count()
-    return left.select(F.col("_at").alias(node))
+        on = jump.select(F.col("_at").alias("_to"), F.col("_to").alias("_next"))
+        jump = written(jump.join(on, "_to").select("_at", F.col("_next").alias("_to")), "cycle")
+        held = jump.select("_to").distinct().count()
+    return jump.select(F.col("_to").alias(node)).distinct()

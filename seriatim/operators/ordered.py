@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriatim.sources.shared import written
+
 #: Positions per block: what one task sorts at most, ties aside.
 SPAN = 1_000_000
 
@@ -29,9 +31,25 @@ _LAST = Window.unboundedFollowing
 
 
 def _blocked(df: DataFrame, pos: str, span: int) -> DataFrame:
+    """Cut groups into blocks of positions; a table cut by ``range_blocks`` already is."""
+    if BLOCK in df.columns:
+        return df
     return df.withColumn(BLOCK, F.floor(F.col(pos) / F.lit(span)).cast("bigint"))
 
 
+def range_blocks(df: DataFrame, group: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Cut groups into blocks by sampled ranges of any order, for orders that are no plain position.
+
+    Needed where a key repeats without bound (a missing order number, a shared
+    date) or is no number: rows are range-partitioned on the whole order, which
+    ends in a unique column, so blocks come out even. The cut is written once,
+    because sampling again could cut elsewhere. The other functions use the
+    blocks as they find them and drop them.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in group], *order)
+    return written(ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint")), "ranges")
+
+
 def _inner(group: Sequence[str], pos: str, ties: Sequence[str], *, descending: bool = False):
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in (pos, *ties)]
     return Window.partitionBy(*group, BLOCK).orderBy(*order)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from seriatim.plans import links, routing
+from seriatim.plans import columns, links, listing, routing
 from seriatim.plans.registry import Run
 
-MODULES = (routing, links)
+MODULES = (routing, links, columns, listing)
 
 
 def queries() -> dict[str, Run]:

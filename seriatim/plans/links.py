@@ -17,8 +17,8 @@ query = REGISTRY.query
 GENRE_WORDS = ("the", "der", "la", "de")
 
 _TAKEN = r"""
-WITH seen AS (SELECT page_id, url, origin, href, min(at) AS at FROM anchor GROUP BY ALL),
-placed AS (SELECT page_id, url, origin || href AS link, row_number() OVER (PARTITION BY page_id ORDER BY at) AS pos,
+WITH seen AS (SELECT page_id, url, origin, href, min(idx) AS idx FROM anchor GROUP BY ALL),
+placed AS (SELECT page_id, url, origin || href AS link, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS pos,
                   regexp_extract(origin, '^([a-z]+):', 1) AS scheme, lower(regexp_extract(origin, '//(.*)$', 1)) AS host,
                   href AS path FROM seen WHERE origin || href <> split_part(url, '#', 1)),
 taken AS (SELECT p.*, r.rule, r.kind FROM placed p JOIN site_rule r ON r.host = p.host
@@ -47,7 +47,7 @@ _VARIANTS = r"""
     sql(
         "anchor",
         body=f"""
-WITH form AS (SELECT page_id, at AS pos, origin, href, substr(href, 2) AS word, {_VARIANTS} AS form,
+WITH form AS (SELECT page_id, idx AS pos, origin, href, substr(href, 2) AS word, {_VARIANTS} AS form,
     split_part(split_part(url, '#', 1), '?', 1) AS bare,
     regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^(.*/)[^/]*$', 1) AS folder,
     regexp_extract(origin, '^[a-z]+:', 0) AS scheme FROM anchor)
@@ -86,9 +86,9 @@ def l2(spark, folder):
 WITH nav AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS origin,
                     regexp_extract(html, '<nav>(.*?)</nav>', 1) AS nav FROM pages),
 one AS (SELECT page_id, url, origin, unnest(regexp_extract_all(nav, '<a href="([^"]*)">', 1)) AS href,
-               unnest(range(1, len(regexp_extract_all(nav, '<a href="([^"]*)">', 1)) + 1)) AS at FROM nav),
-seen AS (SELECT page_id, url, origin || href AS link, href, min(at) AS at FROM one GROUP BY ALL),
-placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY at) AS pos FROM seen WHERE link <> split_part(url, '#', 1))
+               unnest(range(1, len(regexp_extract_all(nav, '<a href="([^"]*)">', 1)) + 1)) AS idx FROM nav),
+seen AS (SELECT page_id, url, origin || href AS link, href, min(idx) AS idx FROM one GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS pos FROM seen WHERE link <> split_part(url, '#', 1))
 SELECT page_id, pos, link FROM placed WHERE regexp_matches(href, '^/[a-z]{2,6}$')""",
 )
 def l3(spark, folder):
@@ -98,7 +98,7 @@ def l3(spark, folder):
 
 _PAGED = r"""
 WITH page AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS lang, url LIKE '%#top' AS failed FROM pages),
-seen AS (SELECT p.lang, p.page_id, a.href, min(a.at) AS at FROM page p JOIN anchor a USING (page_id) WHERE NOT p.failed GROUP BY ALL),
+seen AS (SELECT p.lang, p.page_id, a.href, min(a.idx) AS idx FROM page p JOIN anchor a USING (page_id) WHERE NOT p.failed GROUP BY ALL),
 fresh AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY lang, href ORDER BY page_id) = 1),
 stop AS (SELECT p.lang, min(p.page_id) FILTER (WHERE f.n IS NULL) AS stop FROM page p
          LEFT JOIN (SELECT lang, page_id, count(*) AS n FROM fresh GROUP BY ALL) f USING (lang, page_id) GROUP BY p.lang)
@@ -184,13 +184,14 @@ def l6(spark, folder):
 _BLOCKS = r"""
 WITH body AS (SELECT page_id, regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g') AS html FROM pages),
 part AS (SELECT page_id, unnest(regexp_extract_all(html, '<p>(.*?)</p>', 1)) AS p,
-                unnest(range(1, len(regexp_extract_all(html, '<p>(.*?)</p>', 1)) + 1)) AS at FROM body),
-said AS (SELECT page_id, at, contains(p, '<b>') AS image, length(trim(replace(replace(replace(replace(
+                unnest(range(1, len(regexp_extract_all(html, '<p>(.*?)</p>', 1)) + 1)) AS idx FROM body),
+said AS (SELECT page_id, idx, contains(p, '<b>') AS image, length(trim(replace(replace(replace(replace(
     replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&'))) AS prose FROM part),
-edge_of AS (SELECT page_id, min(at) FILTER (WHERE image) AS lo, max(at) FILTER (WHERE image) AS hi,
+edge_of AS (SELECT page_id, min(idx) FILTER (WHERE image) AS lo, max(idx) FILTER (WHERE image) AS hi,
                 count(*) FILTER (WHERE image) AS images FROM said GROUP BY page_id),
-own AS (SELECT page_id, any_value(images) AS images, coalesce(sum(prose) FILTER (WHERE NOT image AND at BETWEEN lo AND hi), 0) AS prose
-        FROM edge_of JOIN said USING (page_id) GROUP BY page_id),
+own AS (SELECT p.page_id, coalesce(any_value(images), 0) AS images,
+               coalesce(sum(prose) FILTER (WHERE NOT image AND idx BETWEEN lo AND hi), 0) AS prose
+        FROM pages p LEFT JOIN edge_of USING (page_id) LEFT JOIN said USING (page_id) GROUP BY p.page_id),
 tag AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS lang, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h1,
                regexp_extract_all(html, '<a href="/([^"]*)">', 1) AS tags FROM pages)
 """
@@ -247,7 +248,7 @@ def l9(spark, folder):
 
 
 _LABELS = r"""
-WITH raw AS (SELECT page_id, lower(regexp_extract(origin, '//(.*)$', 1)) AS host, lower(href) AS link, at,
+WITH raw AS (SELECT page_id, lower(regexp_extract(origin, '//(.*)$', 1)) AS host, lower(href) AS link, idx,
     CASE WHEN regexp_matches(href, '^/[A-Z]') THEN '' WHEN length(href) < 4 THEN '[見開き]' ELSE substr(href, 2) END AS label FROM anchor)
 """
 
@@ -270,7 +271,7 @@ def _labelled(spark, folder):
     sql(
         "anchor",
         body=_LABELS
-        + """SELECT host, link, coalesce(arg_min(label, page_id * 1000 + at) FILTER (WHERE label NOT IN ('', '[見開き]')), '') AS label
+        + """SELECT host, link, coalesce(arg_min(label, page_id * 1000 + idx) FILTER (WHERE label NOT IN ('', '[見開き]')), '') AS label
 FROM raw GROUP BY host, link""",
     ),
 )
@@ -284,7 +285,7 @@ def l10_first(spark, folder):
     sql(
         "anchor",
         body=_LABELS
-        + """SELECT host, link, first(label ORDER BY length(label) DESC, page_id, at) AS label FROM raw GROUP BY host, link""",
+        + """SELECT host, link, first(label ORDER BY length(label) DESC, page_id, idx) AS label FROM raw GROUP BY host, link""",
     ),
 )
 def l10_longest(spark, folder):

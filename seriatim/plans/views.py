@@ -66,7 +66,7 @@ SQL = {
     "anchor": r"""
   SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS origin,
          unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href,
-         unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) + 1)) AS at
+         unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) + 1)) AS idx
   FROM pages""",
 }
 
