@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from seriatim.plans import columns, links, listing, routing
+from seriatim.plans import columns, graph, joins, links, listing, routing
 from seriatim.plans.registry import Run
 
-MODULES = (routing, links, columns, listing)
+MODULES = (routing, links, columns, listing, joins, graph)
 
 
 def queries() -> dict[str, Run]:
