@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from seriatim.plans import columns, graph, joins, links, listing, routing
+from seriatim.plans import columns, graph, joins, links, listing, routing, sources, works
 from seriatim.plans.registry import Run
 
-MODULES = (routing, links, columns, listing, joins, graph)
+MODULES = (sources, routing, links, columns, listing, joins, graph, works)
 
 
 def queries() -> dict[str, Run]:

@@ -18,8 +18,8 @@ WITH rank AS (SELECT l.series_id, l.episode_id AS node, row_number() OVER w AS r
     last_value(l.priority) OVER (PARTITION BY l.series_id ORDER BY l.pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_priority
   FROM listing l WINDOW w AS (PARTITION BY l.series_id ORDER BY l.pos)),
 seed AS (SELECT series_id, min(episode_id) AS seed FROM listing WHERE NOT open GROUP BY series_id),
-at AS (SELECT r.*, s.seed, q.r AS sr FROM rank r JOIN seed s USING (series_id) JOIN rank q ON q.node = s.seed)
-""".replace("at AS", "placed AS")
+placed AS (SELECT r.*, s.seed, q.r AS sr FROM rank r JOIN seed s USING (series_id) JOIN rank q ON q.node = s.seed)
+"""
 
 
 def _seeds(spark, folder):

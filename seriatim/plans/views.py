@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriatim.functions import urls as U
-from seriatim.operators import ordered
+from seriatim.operators import ordered, status
 from seriatim.sources.tables import table
 
 #: Rules for the hosts of ``pages``: priority, form, rule, host pattern, schemes, kind, path, query key, publisher.
@@ -52,6 +52,14 @@ SQL = {
   SELECT l.series_id, l.pos, l.episode_id, l.label, l.listed AS published, l.open, l.priority,
          coalesce(c.n_pages, 0) AS n_pages, l.open AND c.n_pages IS NOT NULL AS readable
   FROM listing l LEFT JOIN page_count c USING (episode_id)""",
+    "landed": """
+  SELECT l_orderkey AS episode_id, bool_or(l_shipdate < TIMESTAMP '1997-01-01') AS pages_there,
+         bool_or(l_shipdate < TIMESTAMP '1996-07-01') AS archive_there FROM lineitem GROUP BY l_orderkey""",
+    "result": """
+  SELECT e.series_id, e.pos, e.episode_id, e.label, e.published, e.n_pages, e.readable,
+         CASE WHEN coalesce(d.pages_there AND d.archive_there, false) THEN 'exists'
+              WHEN NOT coalesce(d.pages_there, false) AND NOT e.readable THEN 'locked' ELSE 'saved' END AS status
+  FROM episode e LEFT JOIN landed d USING (episode_id)""",
     "series": """
   SELECT c_custkey AS series_id, c_name AS title, c_mktsegment AS writer,
          'n' || c_nationkey || '.example.com' AS host, c_nationkey AS nation_id
@@ -75,6 +83,7 @@ _NEEDS = {
     "page_count": ("page_row",),
     "episode": ("listing", "page_count"),
     "edge": ("listing",),
+    "result": ("episode", "landed"),
 }
 
 
@@ -172,6 +181,26 @@ def episode(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """What is there already of an episode: its pages, its archive."""
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_shipdate")
+    return lines.groupBy(F.col("l_orderkey").alias("episode_id")).agg(
+        F.bool_or(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")).alias("pages_there"),
+        F.bool_or(F.col("l_shipdate") < F.lit("1996-07-01").cast("timestamp_ntz")).alias("archive_there"),
+    )
+
+
+def result(spark: SparkSession, folder: str) -> DataFrame:
+    """Every episode with what a visit makes of it."""
+    seen = episode(spark, folder).join(landed(spark, folder), "episode_id", "left")
+    there = status.result_status(
+        status.known(F.col("pages_there")), status.known(F.col("archive_there")), F.col("readable")
+    )
+    return seen.select(
+        "series_id", "pos", "episode_id", "label", "published", "n_pages", "readable", there.alias("status")
+    )
+
+
 def series(spark: SparkSession, folder: str) -> DataFrame:
     customer = table(spark, folder, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     host = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".example.com"))
