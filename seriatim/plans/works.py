@@ -42,12 +42,12 @@ def a2(spark, folder):
 
 
 _SUMMARY = """
-WITH one AS (SELECT r.series_id, count(*) FILTER (WHERE status = 'saved') AS saved, count(*) FILTER (WHERE status = 'exists') AS "exists",
-    count(*) FILTER (WHERE status = 'locked') AS locked, count(*) AS episodes, min(s.host || '/' || s.title) AS folder,
-    min(r.label) AS label FROM result r JOIN series s USING (series_id) GROUP BY r.series_id),
+WITH one AS (SELECT r.series_id, year(r.published) AS year, count(*) FILTER (WHERE status = 'saved') AS saved, count(*) FILTER (WHERE status = 'exists') AS "exists",
+    count(*) FILTER (WHERE status = 'locked') AS locked, count(*) AS episodes, min(s.host || '/' || s.title || ' ' || year(r.published)) AS folder,
+    min(r.label) AS label FROM result r JOIN series s USING (series_id) GROUP BY r.series_id, year(r.published)),
 led AS (SELECT *, CASE WHEN saved > 0 THEN 'saved' WHEN "exists" > 0 THEN 'exists' ELSE 'locked' END AS lead FROM one)
-SELECT series_id, saved, "exists", locked, episodes, lead, CASE lead WHEN 'locked' THEN 'warning' ELSE 'info' END AS level,
-  CASE WHEN episodes = 1 AND lead = 'locked' THEN 'skip: ''' || label || ''' needs a purchase, a wait or a login.'
+SELECT series_id, year, saved, "exists", locked, episodes, lead, CASE lead WHEN 'locked' THEN 'warning' ELSE 'info' END AS level,
+  CASE WHEN episodes = 1 AND lead = 'locked' THEN 'skip: \'\'' || label || '\'\' needs a purchase, a wait or a login.'
        WHEN episodes = 1 THEN replace(lead, 'exists', 'skipped') || ': ' || folder || '/' || label
        ELSE replace(lead, 'exists', 'skipped') || ': ' || folder || ' (' ||
          CASE lead WHEN 'saved' THEN saved WHEN 'exists' THEN "exists" ELSE locked END || ' episodes' ||
@@ -56,24 +56,38 @@ SELECT series_id, saved, "exists", locked, episodes, lead, CASE lead WHEN 'locke
 FROM led"""
 
 
+def _yearly(spark, folder):
+    """Results by work, a work being a series' episodes of one year."""
+    return views.result(spark, folder).withColumn("year", F.year("published"))
+
+
 @query("a3_work_summary", sql("result", "series", body=_SUMMARY))
 def a3(spark, folder):
-    results = views.result(spark, folder).select("series_id", "label", "status")
-    works = views.series(spark, folder).select(
-        "series_id", F.concat_ws("/", "host", "title").alias("folder")
+    results = _yearly(spark, folder).select("series_id", "year", "label", "status")
+    works = views.series(spark, folder).select("series_id", "host", "title")
+    title = F.concat_ws(" ", "title", F.col("year").cast("string"))
+    placed = (
+        results.join(works, "series_id")
+        .withColumn("folder", F.concat_ws("/", "host", title))
+        .withColumn("save_dir", F.concat_ws("/", "folder", "label"))
     )
-    # Names are joined on after counting would do for the folder; an episode's own directory needs its label.
-    placed = results.join(works, "series_id").withColumn("save_dir", F.concat_ws("/", "folder", "label"))
-    return status.summarise(placed, ["series_id"], "label", "folder", "save_dir", "status")
+    return status.summarise(placed, ["series_id", "year"], "label", "folder", "save_dir", "status")
 
 
 @query(
     "a4_nothing_readable",
-    sql("result", body="SELECT c_custkey AS series_id FROM customer WHERE c_custkey NOT IN (SELECT series_id FROM result WHERE status <> 'locked')"),
+    sql(
+        "result",
+        body="""
+SELECT series_id, year(listed) AS year FROM listing GROUP BY ALL
+EXCEPT SELECT series_id, year(published) FROM result WHERE n_pages > 0 AND status <> 'locked'""",
+    ),
 )
 def a4(spark, folder):
-    works = table(spark, folder, "customer", "c_custkey").select(F.col("c_custkey").alias("series_id"))
-    return status.nothing_readable(works, views.result(spark, folder).select("series_id", "status"), ["series_id"], "status")
+    """Works whose every episode with pages is locked, or that have none."""
+    works = views.listing(spark, folder).select("series_id", F.year("listed").alias("year")).distinct()
+    results = _yearly(spark, folder).where("n_pages > 0").select("series_id", "year", "status")
+    return status.nothing_readable(works, results, ["series_id", "year"], "status")
 
 
 @query(
