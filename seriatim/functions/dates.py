@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seriatim.functions.bind import let
 from seriatim.functions.urls import strip
 
 #: Seconds Japan is ahead of UTC, all year.
@@ -34,46 +35,58 @@ def _digits(text: Column) -> Column:
 
 def _zone_seconds(zone: Column) -> Column:
     """Seconds an offset such as ``+09:00`` is ahead of UTC; 0 for ``Z`` and zone names."""
-    hours = F.coalesce(F.regexp_extract(zone, r"^[+\-]([0-9]{2})", 1).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.regexp_extract(zone, r"([0-9]{2})$", 1).try_cast("int"), F.lit(0))
+    hours = F.substr(zone, F.lit(2), F.lit(2)).try_cast("int")
+    minutes = F.right(zone, F.lit(2)).try_cast("int")
     ahead = hours * 3600 + minutes * 60
-    return F.when(F.startswith(zone, F.lit("-")), -ahead).otherwise(ahead)
+    return F.when(F.startswith(zone, F.lit("+")), ahead).when(F.startswith(zone, F.lit("-")), -ahead).otherwise(F.lit(0))
 
 
 def _day_of(day: Column, time: Column, zone: Column) -> Column:
     """The Japan day of a wall-clock moment; its own day when it names no zone."""
-    date = day.try_cast("date")
-    of_day = F.split(F.concat(time, F.lit(":00:00")), ":")
-    seconds = (
-        F.coalesce(F.get(of_day, F.lit(0)).try_cast("int"), F.lit(0)) * 3600
-        + F.coalesce(F.get(of_day, F.lit(1)).try_cast("int"), F.lit(0)) * 60
-        + F.coalesce(F.get(of_day, F.lit(2)).try_cast("int"), F.lit(0))
-    )
+
+    def part(n: int) -> Column:
+        return F.coalesce(F.split_part(time, F.lit(":"), F.lit(n)).try_cast("int"), F.lit(0))
+
+    seconds = part(1) * 3600 + part(2) * 60 + part(3)
     shifted = F.floor((seconds - _zone_seconds(zone) + JAPAN_AHEAD) / 86400).cast("int")
+    date = day.try_cast("date")
     return F.when(zone == "", date).otherwise(F.date_add(date, shifted))
 
 
+def _groups(text: Column, pattern: str, count: int) -> Column:
+    """The groups of a pattern over the whole text, matched once."""
+    marks = "\x01".join(f"${n}" for n in range(1, count + 1))
+    return F.split(F.regexp_replace(text, pattern, marks), "\x01")
+
+
+def _spelt(year: Column, month: Column, day: Column) -> Column:
+    return F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+
+
 def written_day(text: Column) -> Column:
     """The first ``year month day`` in a text, whatever surrounds it; null when no such day exists."""
-    folded = _digits(text)
-    year, month, day = (F.regexp_extract(folded, WRITTEN_DAY, n) for n in (1, 2, 3))
-    spelt = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-    return F.when(year != "", spelt.try_cast("date"))
+
+    def read(found: Column) -> Column:
+        parts = _groups(found, WRITTEN_DAY, 3)
+        return let(parts, lambda g: _spelt(g[0], g[1], g[2]).try_cast("date"))
+
+    return let(F.regexp_extract(_digits(text), WRITTEN_DAY, 0), lambda found: F.when(found != "", read(found)))
 
 
 def _iso_day(text: Column) -> Column:
-    day, time, zone = (F.regexp_extract(text, ISO_MOMENT, n) for n in (1, 2, 3))
-    return F.when(day != "", _day_of(day, time, zone))
+    told = let(_groups(text, ISO_MOMENT, 3), lambda g: _day_of(g[0], g[1], g[2]))
+    return F.when(text.rlike(ISO_MOMENT), told)
 
 
 def http_day(text: Column) -> Column:
     """The Japan day of an HTTP date, with or without its weekday."""
-    day, month, year, time, zone = (F.regexp_extract(text, HTTP_DATE, n) for n in (1, 2, 3, 4, 5))
-    place = F.instr(F.lit(MONTHS), F.lower(month))
-    number = ((place + 2) / 3).cast("int").cast("string")
-    known = (year != "") & (place > 0) & (place % 3 == 1)
-    spelt = F.concat(year, F.lit("-"), F.lpad(number, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
-    return F.when(known, _day_of(spelt, time, zone))
+
+    def read(g: Column) -> Column:
+        place = F.instr(F.lit(MONTHS), F.lower(g[1]))
+        number = F.floor((place + 2) / 3).cast("string")
+        return F.when((place > 0) & (place % 3 == 1), _day_of(_spelt(g[2], number, g[0]), g[3], g[4]))
+
+    return F.when(text.rlike(HTTP_DATE), let(_groups(text, HTTP_DATE, 5), read))
 
 
 def epoch_day(number: Column) -> Column:
@@ -86,5 +99,4 @@ def epoch_day(number: Column) -> Column:
 
 def japan_day(text: Column) -> Column:
     """The Japan day of a timestamp text: ISO, then HTTP date, then a day written anywhere."""
-    clean = strip(text)
-    return F.coalesce(_iso_day(clean), http_day(clean), written_day(clean))
+    return let(strip(text), lambda t: F.coalesce(_iso_day(t), http_day(t), written_day(t)))

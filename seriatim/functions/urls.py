@@ -214,26 +214,27 @@ def percent_normal(text: Column) -> Column:
 PAGE_RANGE = r"\[([0-9]+)-([0-9]*)\]"
 
 
-def range_start(url: Column) -> Column:
-    """The first number of the page range; null without one."""
-    return F.regexp_extract(url, PAGE_RANGE, 1).try_cast("bigint")
+def page_range(url: Column) -> Column:
+    """A URL's page range taken apart: ``first``, ``stop`` (null when open-ended), ``width``, text before and after.
 
-
-def range_stop(url: Column) -> Column:
-    """The last number of the page range; null when open-ended or without one."""
-    return F.regexp_extract(url, PAGE_RANGE, 2).try_cast("bigint")
-
-
-def has_range(url: Column) -> Column:
-    return url.rlike(PAGE_RANGE)
+    Null when the URL has none. ``width`` is what a start with a leading zero pads to.
+    """
+    start = F.regexp_extract(url, PAGE_RANGE, 1)
+    cut = F.instr(url, F.regexp_extract(url, PAGE_RANGE, 0))
+    return F.when(
+        url.rlike(PAGE_RANGE),
+        F.struct(
+            start.try_cast("bigint").alias("first"),
+            F.regexp_extract(url, PAGE_RANGE, 2).try_cast("bigint").alias("stop"),
+            F.when(F.startswith(start, F.lit("0")), F.length(start)).otherwise(F.lit(0)).alias("width"),
+            F.substr(url, F.lit(1), cut - 1).alias("before"),
+            F.substr(url, cut + F.length(F.regexp_extract(url, PAGE_RANGE, 0))).alias("after"),
+        ),
+    )
 
 
-def numbered(url: Column, number: Column) -> Column:
-    """The URL with its range replaced by ``number``, as wide as a zero-padded start."""
-    start = F.regexp_extract(url, PAGE_RANGE, 1)
+def numbered(parts: Column, number: Column) -> Column:
+    """A ``page_range`` with ``number`` in its place."""
     text = number.cast("string")
-    width = F.when(F.startswith(start, F.lit("0")), F.length(start)).otherwise(F.lit(0))
-    shown = F.lpad(text, F.greatest(F.length(text), width), F.lit("0"))
-    cut = F.instr(url, F.regexp_extract(url, PAGE_RANGE, 0))
-    after = F.substr(url, cut + F.length(F.regexp_extract(url, PAGE_RANGE, 0)))
-    return F.concat(F.substr(url, F.lit(1), cut - 1), shown, after)
+    shown = F.lpad(text, F.greatest(F.length(text), parts["width"]), F.lit("0"))
+    return F.concat(parts["before"], shown, parts["after"])

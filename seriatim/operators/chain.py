@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.sources.shared import written
+from seriatim.sources.shared import counted, written
 
 
 def _links(edges: DataFrame, node: str, link: str, stop: str | None) -> DataFrame:
@@ -45,11 +45,11 @@ def walk(
     """
     known = edges if stop is None else edges.where(~F.col(stop))
     starts = seeds.join(known.select(F.col(node).alias(seed)).distinct(), seed, "left_semi")
-    reach = written(
+    reach, held = counted(
         starts.select(*seeds.columns, F.col(seed).alias(node), F.lit(0).cast("bigint").alias("depth")), "walk"
     )
     jump = written(_links(edges, node, link, stop), "jump")
-    size, held, step = -1, reach.count(), 1
+    size, step = -1, 1
     while held != size:
         size = held
         further = (
@@ -59,10 +59,9 @@ def walk(
             .drop("_at", "_to")
         )
         # The least depth per node is when a looping walk first came by.
-        reach = written(
+        reach, held = counted(
             reach.unionByName(further).groupBy(*seeds.columns, node).agg(F.min("depth").alias("depth")), "walk"
         )
-        held = reach.count()
         if held != size:
             on = jump.select(F.col("_at").alias("_to"), F.col("_to").alias("_next"))
             jump = written(jump.join(on, "_to").select("_at", F.col("_next").alias("_to")), "jump")

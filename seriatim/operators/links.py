@@ -7,6 +7,8 @@ shuffle, and a page is never larger than its own text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +106,27 @@ def same_host_links(pages: DataFrame, within: str, path_regex: str, base: str =
     return links.where(U.path(link).rlike(path_regex) & (U.host(link) == U.host(F.col(base))))
 
 
+def expand_pages(df: DataFrame, url: str, last: str) -> DataFrame:
+    """One row per page of a numbered range in ``url``; rows without a range pass through.
+
+    ``last`` bounds an open-ended range. Adds ``page_url``, ``page_no``,
+    ``open_ended`` and ``ranged``. A range the wrong way round has no pages.
+    """
+    parts = F.col("_range")
+    upto = F.coalesce(parts["stop"], F.col(last))
+    # ``sequence`` counts down when asked to, so only ranges the right way round reach it.
+    numbers = F.when(parts["first"] <= upto, F.sequence(parts["first"], upto))
+    plain = F.array(F.lit(None).cast("bigint"))
+    return (
+        df.withColumn("_range", U.page_range(F.col(url)))
+        .withColumn("page_no", F.explode(F.when(parts.isNull(), plain).otherwise(numbers)))
+        .withColumn("ranged", parts.isNotNull())
+        .withColumn("open_ended", F.col("ranged") & parts["stop"].isNull())
+        .withColumn("page_url", F.coalesce(U.numbered(parts, F.col("page_no")), F.col(url)))
+        .drop("_range")
+    )
+
+
 def fresh_links(links: DataFrame, group: list[str], page_no: str, link: str = "link", pos: str = "pos") -> DataFrame:
     """Links not seen on an earlier page of their group: one row per (group, link) at its first page and place.
 
@@ -185,31 +208,40 @@ def listing_end(
     )
 
 
-def body_blocks(html: Column, is_image) -> Column:
-    """A body's blocks as ``(image, prose)``: a page image, or so many characters of prose.
+def body_blocks(html: Column, is_image: Callable[[Column], Column]) -> Column:
+    """A body's paragraphs as ``(image, prose)``: a page image, or so many characters of prose.
 
     ``is_image`` says of a block's markup whether it is a page image.
     """
     parts = F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))
-    return F.transform(
-        parts,
-        lambda p: F.struct(
-            is_image(p).alias("image"),
-            F.when(is_image(p), F.lit(0)).otherwise(F.length(text_of(p))).alias("prose"),
-        ),
-    )
+
+    def block_of(markup: Column) -> Column:
+        image = is_image(markup)
+        return F.struct(
+            image.alias("image"), F.when(image, F.lit(0)).otherwise(F.length(text_of(markup))).alias("prose")
+        )
+
+    return F.transform(parts, block_of)
 
 
 def own_pages(blocks: Column) -> Column:
-    """``(images, prose)``: the page images, and the prose between the first and the last of them."""
-    spots = F.filter(
-        F.transform(blocks, lambda b, i: F.when(b["image"], i)), lambda i: i.isNotNull()
-    )
-    first, last = F.array_min(spots), F.array_max(spots)
-    inside = F.slice(blocks, first + 1, last - first + 1)
-    prose = F.aggregate(inside, F.lit(0), lambda held, b: held + b["prose"])
-    return F.struct(
-        F.size(spots).alias("images"), F.when(F.size(spots) > 0, prose).otherwise(F.lit(0)).alias("prose")
+    """``(images, prose)``: the page images, and the prose between the first and the last of them.
+
+    One fold over the blocks: prose counts once an image stands before and
+    another one after it.
+    """
+    start = F.struct(F.lit(0).alias("images"), F.lit(0).alias("prose"), F.lit(0).alias("pending"))
+
+    def step(held: Column, b: Column) -> Column:
+        image = b["image"]
+        return F.struct(
+            (held["images"] + image.cast("int")).alias("images"),
+            F.when(image, held["prose"] + held["pending"]).otherwise(held["prose"]).alias("prose"),
+            F.when(image | (held["images"] == 0), F.lit(0)).otherwise(held["pending"] + b["prose"]).alias("pending"),
+        )
+
+    return F.aggregate(
+        blocks, start, step, lambda h: F.struct(h["images"].alias("images"), h["prose"].alias("prose"))
     )
 
 

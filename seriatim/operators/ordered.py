@@ -75,15 +75,17 @@ def number_rows(
     *,
     ties: Sequence[str] = (),
     descending: bool = False,
+    count: str | None = None,
     span: int = SPAN,
 ) -> DataFrame:
-    """Number rows from 1 inside each group, by ``pos`` then ``ties``."""
+    """Number rows from 1 inside each group, by ``pos`` then ``ties``; ``count`` names a column for the group's size."""
     cut = _blocked(df, pos, span)
     before = F.sum("_n").over(_outer(group, descending=descending).rowsBetween(_FIRST, -1))
+    size = [] if count is None else [F.sum("_n").over(Window.partitionBy(*group)).alias(count)]
     summary = (
         cut.groupBy(*group, BLOCK)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*group, BLOCK, F.coalesce(before, F.lit(0)).alias("_before"))
+        .select(*group, BLOCK, F.coalesce(before, F.lit(0)).alias("_before"), *size)
     )
     local = cut.withColumn("_local", F.row_number().over(_inner(group, pos, ties, descending=descending)))
     return (

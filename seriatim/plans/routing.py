@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriatim.functions import urls as U
-from seriatim.operators import routing
+from seriatim.operators import links, routing
 from seriatim.plans import views
 from seriatim.plans.registry import Registry
 from seriatim.plans.views import sql
@@ -184,30 +184,11 @@ def u10(spark, folder):
         F.concat(stem, F.lit("["), start, F.lit("-"), stop, F.lit("]"))
     )
     listed = parts.withColumn("template", template).join(last, "host")
-    return expand_pages(listed, "template", "last").select(
+    return links.expand_pages(listed, "template", "last").select(
         "page_id", "page_url", F.col("open_ended").alias("is_open"), "ranged"
     )
 
 
-def expand_pages(df, url: str, last: str):
-    """One row per page of a numbered range in ``url``; rows without a range pass through.
-
-    ``last`` bounds an open-ended range. Adds ``page_url``, ``page_no``, ``open_ended`` and ``ranged``.
-    """
-    held = F.col(url)
-    first, stop = U.range_start(held), U.range_stop(held)
-    upto = F.when(U.has_range(held), F.coalesce(stop, F.col(last)))
-    # ``sequence`` counts down when asked to, so a range the wrong way round is emptied first.
-    numbers = F.when(first <= upto, F.sequence(first, upto))
-    plain = F.array(F.lit(None).cast("bigint"))
-    return (
-        df.withColumn("ranged", U.has_range(held))
-        .withColumn("open_ended", F.col("ranged") & stop.isNull())
-        .withColumn("page_no", F.explode(F.when(F.col("ranged"), numbers).otherwise(plain)))
-        .withColumn("page_url", F.when(F.col("ranged"), U.numbered(held, F.col("page_no"))).otherwise(held))
-    )
-
-
 @query(
     "u11_original_image",
     """
@@ -276,14 +257,12 @@ FROM anchor GROUP BY 1""",
 )
 def u13(spark, folder):
     """Link titles in their one percent-encoded spelling, whichever way a page spells them."""
-    from seriatim.operators.links import hrefs
-
     pages = views.pages(spark, folder)
     raw = F.substr(F.col("href"), F.lit(2))
     # Pages under https write the segment encoded, the others as text: both must meet.
     spelt = F.when(F.startswith("url", F.lit("https:")), U.percent_encode(raw)).otherwise(raw)
     return (
-        pages.select("page_id", "url", F.explode(hrefs(F.col("html"))).alias("href"))
+        pages.select("page_id", "url", F.explode(links.hrefs(F.col("html"))).alias("href"))
         .select("page_id", U.percent_normal(spelt).alias("title"))
         .groupBy("title", "page_id")
         .agg(F.count(F.lit(1)).alias("n"))

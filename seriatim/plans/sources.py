@@ -209,9 +209,11 @@ FROM ({_MANIFEST}) m JOIN episode e USING (episode_id) JOIN series s USING (seri
 def s8(spark, folder):
     """Every page's file: host, series, episode, number."""
     pages = sinks.page_manifest(views.page_row(spark, folder), "episode_id", "page_no")
-    folders = _catalogue(spark, folder).select(
+    titles = views.series(spark, folder).select("series_id", "host", "title")
+    named = views.listing(spark, folder).select("series_id", "episode_id", "label").join(titles, "series_id")
+    folders = named.select(
         "episode_id",
-        sinks.episode_folder(F.col("host"), F.lit("rule"), F.col("series"), F.col("title")).alias("folder"),
+        sinks.episode_folder(F.col("host"), F.lit("rule"), F.col("title"), F.col("label")).alias("folder"),
     )
     return pages.join(folders, "episode_id").select(
         "episode_id", "page_no", F.concat_ws("/", "folder", "file_name").alias("file")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,7 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage of an iterating job: a lost executor costs a re-read, and
     the next plan starts from real file sizes.
     """
+    return counted(df, name)[0]
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written``, with the number of rows the write itself counted."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, seen = new_path(spark, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
