@@ -20,11 +20,21 @@ from pyspark.sql import functions as F
 from seriatim.sources.shared import counted, written
 
 
-def _links(edges: DataFrame, node: str, link: str, stop: str | None) -> DataFrame:
-    """Steps a walk can take: the link names a node that has a record (and none of ``stop``)."""
-    ends = edges.select(F.col(node).alias("_at"), F.col(link).alias("_to")).where(F.col("_to").isNotNull())
+def _steps(edges: DataFrame, node: str, link: str, stop: str | None = None) -> DataFrame:
+    """The nodes with a record and the link out of each, written once: every round starts from them."""
     known = edges if stop is None else edges.where(~F.col(stop))
-    return ends.join(known.select(F.col(node).alias("_to")), "_to", "left_semi").select("_at", "_to")
+    return written(known.select(F.col(node).alias("_at"), F.col(link).alias("_to")), "steps")
+
+
+def _jumps(steps: DataFrame) -> DataFrame:
+    """The links a walk can take: those that name a node with a record."""
+    return steps.where(F.col("_to").isNotNull()).join(steps.select(F.col("_at").alias("_to")), "_to", "left_semi")
+
+
+def _doubled(jump: DataFrame, name: str) -> DataFrame:
+    """Jumps twice as far; those that would lead past a walk's end are gone."""
+    on = jump.select(F.col("_at").alias("_to"), F.col("_to").alias("_next"))
+    return written(jump.join(on, "_to").select("_at", F.col("_next").alias("_to")), name)
 
 
 def walk(
@@ -43,12 +53,12 @@ def walk(
     counts as having no record. ``seeds`` has one row per walk; its columns are
     kept. Seeds without a record walk nowhere.
     """
-    known = edges if stop is None else edges.where(~F.col(stop))
-    starts = seeds.join(known.select(F.col(node).alias(seed)).distinct(), seed, "left_semi")
+    steps = _steps(edges, node, link, stop)
+    starts = seeds.join(steps.select(F.col("_at").alias(seed)), seed, "left_semi")
     reach, held = counted(
         starts.select(*seeds.columns, F.col(seed).alias(node), F.lit(0).cast("bigint").alias("depth")), "walk"
     )
-    jump = written(_links(edges, node, link, stop), "jump")
+    jump = written(_jumps(steps).select("_at", "_to"), "jump")
     size, step = -1, 1
     while held != size:
         size = held
@@ -63,8 +73,7 @@ def walk(
             reach.unionByName(further).groupBy(*seeds.columns, node).agg(F.min("depth").alias("depth")), "walk"
         )
         if held != size:
-            on = jump.select(F.col("_at").alias("_to"), F.col("_to").alias("_next"))
-            jump = written(jump.join(on, "_to").select("_at", F.col("_next").alias("_to")), "jump")
+            jump = _doubled(jump, "jump")
             step *= 2
     return reach
 
@@ -75,8 +84,9 @@ def both_ways(edges: DataFrame, seeds: DataFrame, node: str, prev: str, next_: s
     The walk goes back first; the walk on stops at the first node the walk back
     took. ``depth`` is negative before the seed.
     """
-    back = walk(edges, seeds, node, prev, seed).withColumn("depth", -F.col("depth"))
-    on = walk(edges, seeds, node, next_, seed)
+    held = written(edges.select(node, prev, next_), "edges")
+    back = walk(held, seeds, node, prev, seed).withColumn("depth", -F.col("depth"))
+    on = walk(held, seeds, node, next_, seed)
     keys = seeds.columns
     taken = on.where("depth > 0").join(back.select(*keys, node, F.col("depth").alias("_back")), [*keys, node])
     cut = taken.groupBy(*keys).agg(F.min("depth").alias("_cut"))
@@ -115,11 +125,10 @@ def in_cycles(edges: DataFrame, node: str, link: str) -> DataFrame:
     Where all nodes get to after 2^k steps shrinks with k until only cycles are
     left; once doubling the steps loses no node, none is left to lose.
     """
-    jump = written(_links(edges, node, link, None), "cycle")
+    jump = written(_jumps(_steps(edges, node, link)).select("_at", "_to"), "cycle")
     size, held = -1, jump.select("_to").distinct().count()
     while held != size and held > 0:
         size = held
-        on = jump.select(F.col("_at").alias("_to"), F.col("_to").alias("_next"))
-        jump = written(jump.join(on, "_to").select("_at", F.col("_next").alias("_to")), "cycle")
+        jump = _doubled(jump, "cycle")
         held = jump.select("_to").distinct().count()
     return jump.select(F.col("_to").alias(node)).distinct()
