@@ -24,24 +24,26 @@ def as_of(
     numbered = pages.where(F.col(number).isNotNull()).withColumn(start, F.lit(None).cast(kind)).withColumn("_page", F.lit(1))
     marks = starts.where(F.col(number).isNotNull()).groupBy(*keys).agg(F.min(start).alias(start))
     both = numbered.unionByName(marks.withColumn("_page", F.lit(0)), allowMissingColumns=True)
-    found = ordered.carry(both, group, number, start, "_start", ties=["_page"]).where("_page = 1")
+    found = ordered.scan(both, group, number, {"_start": ordered.known_before(start)}, ties=["_page"]).where("_page = 1")
     found = found.withColumn(start, F.col("_start")).select(*pages.columns, start)
     names = starts.where(F.col(number).isNull()).groupBy(*group, name).agg(F.min(start).alias(start))
     named = pages.where(F.col(number).isNull()).join(names, [*group, name], "left").select(*pages.columns, start)
     return found.unionByName(named)
 
 
-def filled_from_listing(episodes: DataFrame, listing: DataFrame, key: str, readable: str, fields: Sequence[str]):
+def filled_from_listing(
+    episodes: DataFrame, listing: DataFrame, key: str, readable: str, fields: Sequence[str], always: Sequence[str] = ()
+) -> DataFrame:
     """Episodes whose missing page record is made up from their series' listing.
 
     A readable episode keeps its own fields, a locked one takes the listing's;
-    a field the listing lacks stays the episode's own.
+    a field the listing lacks stays the episode's own. Fields in ``always`` are
+    the listing's for every episode.
     """
     renamed = listing.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
     joined = episodes.join(renamed, key, "left")
-    own = set(episodes.columns)
     filled = {
-        f: F.coalesce(F.when(~F.col(readable), F.col(f"_{f}")), F.col(f)) if f in own else F.col(f"_{f}")
+        f: F.col(f"_{f}") if f in always else F.coalesce(F.when(~F.col(readable), F.col(f"_{f}")), F.col(f))
         for f in fields
     }
     return joined.withColumns(filled).drop(*[f"_{f}" for f in fields])

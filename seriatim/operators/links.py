@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seriatim.functions import urls as U
 from seriatim.operators import ordered, routing
+from seriatim.sources.shared import written
 
 #: What holds no anchors although it may look so.
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>"
@@ -96,7 +97,7 @@ def page_links(pages: DataFrame, base: str = "url", html: str = "html", within:
 
 def downloadable_links(pages: DataFrame, rules: DataFrame, base: str = "url", html: str = "html") -> DataFrame:
     """The links of every page that some rule takes, with the rule and what the link names."""
-    return routing.route(page_links(pages, base, html), rules, "link").where(F.col("rule").isNotNull())
+    return routing.taken(page_links(pages, base, html), rules, "link")
 
 
 def same_host_links(pages: DataFrame, within: str, path_regex: str, base: str = "url", html: str = "html") -> DataFrame:
@@ -153,19 +154,22 @@ def paginate(
     page_no: str,
     failed: str,
     *,
-    open_ended: bool,
+    open_ended: bool | str,
 ) -> DataFrame:
     """Fresh links of a group's pages, page after page.
 
     ``pages`` has one row per page (group, ``page_no``, ``failed``), ``links``
     the links of each. A failed page contributes nothing. A closed range steps
     over failed and empty pages; an open-ended one stops at the first of them.
+    ``open_ended`` may name a boolean column of ``pages`` that says which kind a
+    group is.
     """
     readable = links.join(pages.where(~F.col(failed)).select(*group, page_no), [*group, page_no], "left_semi")
     fresh = fresh_links(readable, group, page_no)
-    if not open_ended:
+    if open_ended is False:
         return fresh
-    stop = _stopped_before(pages, fresh, group, page_no, failed)
+    walked = pages if open_ended is True else pages.where(F.col(open_ended))
+    stop = _stopped_before(walked, fresh, group, page_no, failed)
     return (
         fresh.join(stop, group, "left")
         .where(F.col("_stop").isNull() | (F.col(page_no) < F.col("_stop")))
@@ -183,7 +187,7 @@ def listing_end(
     total: str | None = None,
     last_page: str | None = None,
     max_pages: int | None = None,
-    span: int = ordered.SPAN,
+    span: int | None = None,
 ) -> DataFrame:
     """The pages a listing is read up to, the stopping page included.
 
@@ -191,8 +195,9 @@ def listing_end(
     reached, at the pager's ``last_page``, or after ``max_pages`` pages. Adds
     ``place`` (page counted from 1) and ``upto`` (rows read up to this page).
     """
-    told = ordered.running_sum(pages, group, page_no, count, "upto", span=span)
-    told = ordered.number_rows(told, group, page_no, "place", span=span)
+    outputs = {"upto": ordered.running(count), "place": ordered.place()}
+    # Written once: the stop is found from all pages before any is dropped.
+    told = written(ordered.scan(pages, group, page_no, outputs, span=span), "listing")
     ends = F.col(count) < page_size
     if total is not None:
         ends = ends | ((F.col(total) > 0) & (F.col("upto") >= F.col(total)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seriatim.functions.text import label_number
 from seriatim.operators import ordered
+from seriatim.sources.shared import written
 
 
 def newest_first(df: DataFrame, series: Sequence[str], item: str, pos: str, *, reverse_then_dedup: bool = False):
@@ -25,11 +26,15 @@ def newest_first(df: DataFrame, series: Sequence[str], item: str, pos: str, *, r
     return ordered.number_rows(once, series, pos, "place", ties=[item], descending=True)
 
 
-def directed(df: DataFrame, series: Sequence[str], item: str, pos: str, newest_first: str) -> DataFrame:
-    """Reading order where a boolean column says of each series whether it is printed newest first."""
-    once = df.groupBy(*series, item).agg(F.min(pos).alias(pos), F.max(newest_first).alias(newest_first))
-    keyed = once.withColumn("_key", F.when(F.col(newest_first), -F.col(pos)).otherwise(F.col(pos)))
-    return ordered.number_rows(keyed, series, "_key", "place", ties=[item]).drop("_key")
+def directed(df: DataFrame, directions: DataFrame, series: Sequence[str], item: str, pos: str, newest_first: str):
+    """Reading order where ``directions`` says of each series whether it is printed newest first.
+
+    Items are made unique before the directions are joined on, which keeps a
+    series' repeats out of the join.
+    """
+    once = df.groupBy(*series, item).agg(F.min(pos).alias(pos))
+    keyed = once.join(directions, list(series)).withColumn("_key", F.when(F.col(newest_first), -F.col(pos)).otherwise(F.col(pos)))
+    return ordered.number_rows(keyed, series, "_key", "place", ties=[item]).drop("_key", newest_first)
 
 
 def by_site_key(df: DataFrame, series: Sequence[str], key: str, pos: str, *, last_printed_first: bool = True):
@@ -49,7 +54,8 @@ def by_label_number(df: DataFrame, series: Sequence[str], item: str, label: str,
     Numbers that settle the order are unique in their series, and so are
     positions: either way the key is a position.
     """
-    once = ordered.first_of_each(df, [*series, item], pos, [label]).withColumn("_number", label_number(F.col(label)))
+    once = ordered.first_of_each(df, [*series, item], pos, [label])
+    once = written(once.withColumn("_number", label_number(F.col(label))), "labels")
     # Two steps keep the distinct count combinable: per (series, number) first, then per series.
     numbers = once.groupBy(*series, "_number").agg(F.count(F.lit(1)).alias("_n"))
     told = numbers.groupBy(*series).agg(
@@ -93,15 +99,23 @@ def by_number(df: DataFrame, series: Sequence[str], number: str, pos: str, keep:
 def open_neighbours(df: DataFrame, series: Sequence[str], pos: str, item: str, flag: str, before: str, after: str):
     """The nearest open items around each row; the printed neighbours in a series without any flags."""
     marked = df.withColumn("_open", F.when(F.col(flag), F.col(item)))
-    told = df.groupBy(*series).agg(F.max(F.col(flag).isNotNull()).alias("_told"))
-    near = ordered.carry(marked, series, pos, "_open", "_before")
-    near = ordered.carry(near, series, pos, "_open", "_after", backward=True)
-    near = ordered.neighbours(near, series, pos, item, "_prev", "_next")
-    told_of = near.join(told, list(series))
+    marked = marked.withColumn("_flagged", F.col(flag).isNotNull())
+    near = ordered.scan(
+        marked,
+        series,
+        pos,
+        {
+            "_before": ordered.known_before("_open"),
+            "_after": ordered.known_after("_open"),
+            "_prev": ordered.before(item),
+            "_next": ordered.after(item),
+            "_told": ordered.whole(F.max, "_flagged"),
+        },
+    )
     return (
-        told_of.withColumn(before, F.when(F.col("_told"), F.col("_before")).otherwise(F.col("_prev")))
+        near.withColumn(before, F.when(F.col("_told"), F.col("_before")).otherwise(F.col("_prev")))
         .withColumn(after, F.when(F.col("_told"), F.col("_after")).otherwise(F.col("_next")))
-        .drop("_open", "_told", "_before", "_after", "_prev", "_next")
+        .drop("_open", "_flagged", "_told", "_before", "_after", "_prev", "_next")
     )
 
 
@@ -125,8 +139,15 @@ def around_number(
             "_probe": F.col(probe).isNotNull().cast("int"),
         }
     )
-    near = ordered.carry(both, series, number, item, "before", ties=["_listed"])
-    near = ordered.carry(near, series, number, item, "after", ties=["_probe"], backward=True)
+    near = ordered.scan(
+        both,
+        series,
+        number,
+        {
+            "before": ordered.known_before(item, ties=["_listed"]),
+            "after": ordered.known_after(item, ties=["_probe"]),
+        },
+    )
     return near.where(F.col(probe).isNotNull()).select(*keys, probe, "before", "after")
 
 
@@ -148,7 +169,7 @@ def captions(df: DataFrame, block: Sequence[str], pos: str, link: str, caption:
 
     A row of ``df`` holds either a link or a caption, the other being null.
     """
-    carried = ordered.carry(df, block, pos, caption, "_caption").where(F.col(link).isNotNull())
+    carried = ordered.scan(df, block, pos, {"_caption": ordered.known_before(caption)}).where(F.col(link).isNotNull())
     told = carried.withColumn("_caption", F.coalesce("_caption", F.lit("")))
     return ordered.first_of_each(told, [*block, link], pos, ["_caption"]).withColumnRenamed("_caption", caption)
 

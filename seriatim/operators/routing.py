@@ -96,6 +96,15 @@ def route(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
+def taken(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """Only the URLs some rule takes, routed; the forms of a host are tried once per URL."""
+    joined = _with_parts(df, url).join(forms_by_host(rules), "_host")
+    return (
+        joined.withColumn("_form", F.explode(F.slice(F.filter("_forms", _takes), 1, 1)))
+        .select(*df.columns, F.col("_form.rule").alias("rule"), F.col("_form.kind").alias("kind"))
+    )
+
+
 def unrouted(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     return route(df, rules, url).where(F.col("rule").isNull()).drop("rule", "kind")
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.functions.text import first_text
+from seriatim.functions.text import first_text, path_segment
 
 #: Statuses in the order a work's summary names them, and how it shows them.
 STATUSES = ("saved", "exists", "locked")
@@ -49,20 +49,20 @@ def result_status(pages_there: Column, archive_there: Column, readable: Column)
     )
 
 
-def summarise(results: DataFrame, work: Sequence[str], title: str, folder: str, save_dir: str, status: str) -> DataFrame:
+def summarise(results: DataFrame, folders: DataFrame, work: Sequence[str], title: str, folder: str, status: str) -> DataFrame:
     """One line per work: ``level``, ``lead``, counts and ``message``.
 
-    ``folder`` is the work's directory, ``save_dir`` an episode's. Every column
-    of the aggregate combines before the shuffle.
+    ``folders`` names each work's directory (columns ``work`` or some of them,
+    and ``folder``). Results are counted first, combined before the shuffle, so
+    names meet one row per work.
     """
     counts = {s: F.count_if(F.col(status) == s).alias(s) for s in STATUSES}
     told = results.groupBy(*work).agg(
         *counts.values(),
         F.count(F.lit(1)).alias("episodes"),
         F.min(title).alias("_title"),
-        F.min(folder).alias("_folder"),
-        F.min(save_dir).alias("_dir"),
     )
+    told = told.join(folders.withColumnRenamed(folder, "_folder"), [c for c in work if c in folders.columns])
     lead = F.coalesce(*[F.when(F.col(s) > 0, F.lit(s)) for s in STATUSES])
     rest = [
         F.when((F.col(s) > 0) & (F.col("lead") != s), F.concat(F.col(s).cast("string"), F.lit(f" {SHOWN[s]}")))
@@ -75,12 +75,13 @@ def summarise(results: DataFrame, work: Sequence[str], title: str, folder: str,
         F.concat_ws(", ", F.concat(led, F.lit(" episodes")), *rest), F.lit(")"),
     )
     locked = F.concat(F.lit("skip: '"), F.col("_title"), F.lit("' needs a purchase, a wait or a login."))
-    one = F.when(F.col("lead") == "locked", locked).otherwise(F.concat(shown, F.lit(": "), F.col("_dir")))
+    save_dir = F.concat_ws("/", "_folder", path_segment(F.col("_title")))
+    one = F.when(F.col("lead") == "locked", locked).otherwise(F.concat(shown, F.lit(": "), save_dir))
     return (
         told.withColumn("lead", lead)
         .withColumn("level", F.when(F.col("lead") == "locked", F.lit("warning")).otherwise(F.lit("info")))
         .withColumn("message", F.when(F.col("episodes") == 1, one).otherwise(many))
-        .drop("_title", "_folder", "_dir")
+        .drop("_title", "_folder")
     )
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from seriatim.plans import columns, graph, joins, links, listing, routing, sources, stream, works
+from seriatim.plans import columns, graph, joins, links, listing, routing, sources, stream, visits, works
 from seriatim.plans.registry import Run
 
-MODULES = (sources, routing, links, columns, listing, joins, graph, works, stream)
+MODULES = (sources, routing, links, columns, listing, joins, graph, works, stream, visits)
 
 
 def queries() -> dict[str, Run]:

@@ -61,12 +61,12 @@ def j2(spark, folder):
         F.lit(None).cast("date").alias("published"),
     )
     listed = views.listing(spark, folder).select("series_id", "pos", "episode_id", "label", "listed")
-    placed = ordered.number_rows(listed, ["series_id"], "pos", "number")
-    placed = ordered.neighbours(placed, ["series_id"], "pos", "episode_id", "before", "after").select(
+    outputs = {"number": ordered.place(), "before": ordered.before("episode_id"), "after": ordered.after("episode_id")}
+    placed = ordered.scan(listed, ["series_id"], "pos", outputs).select(
         "episode_id", F.col("label").alias("title"), F.col("listed").alias("published"), "number", "before", "after"
     )
-    filled = joins.filled_from_listing(episodes, placed.select("episode_id", "title", "published"), "episode_id", "readable", ["title", "published"])
-    return filled.join(placed.select("episode_id", "number", "before", "after"), "episode_id", "left").drop("readable")
+    fields = ["title", "published", "number", "before", "after"]
+    return joins.filled_from_listing(episodes, placed, "episode_id", "readable", fields, always=fields[2:]).drop("readable")
 
 
 @query(

@@ -106,8 +106,7 @@ def w4_conditional(spark, folder):
     """Reversed only for the series whose supplier's balance says it prints newest first."""
     supplier = table(spark, folder, "supplier", "s_suppkey", "s_acctbal")
     flag = supplier.select(F.col("s_suppkey").alias("series_id"), (F.col("s_acctbal") > 4000).alias("newest_first"))
-    printed = _printed(spark, folder).join(flag, "series_id")
-    return listing.directed(printed, _SERIES, "item", "pos", "newest_first").drop("newest_first")
+    return listing.directed(_printed(spark, folder), flag, _SERIES, "item", "pos", "newest_first")
 
 
 @query(
@@ -209,18 +208,21 @@ def w9(spark, folder):
     "w10_open_neighbours",
     sql(
         "listing",
+        "series",
         body="""
 WITH near AS (SELECT series_id, episode_id,
   last_value(CASE WHEN open THEN episode_id END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ob,
   first_value(CASE WHEN open THEN episode_id END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS oa,
   lag(episode_id) OVER (PARTITION BY series_id ORDER BY pos) AS pb, lead(episode_id) OVER (PARTITION BY series_id ORDER BY pos) AS pa FROM listing)
-SELECT series_id, episode_id, CASE WHEN series_id < 100 THEN pb ELSE ob END AS before, CASE WHEN series_id < 100 THEN pa ELSE oa END AS after FROM near""",
+SELECT series_id, episode_id, CASE WHEN writer = 'HOUSEHOLD' THEN pb ELSE ob END AS before, CASE WHEN writer = 'HOUSEHOLD' THEN pa ELSE oa END AS after
+FROM near JOIN series USING (series_id)""",
     ),
 )
 def w10(spark, folder):
-    """The nearest open episodes; the first hundred series tell no flags, so theirs are the printed ones."""
+    """The nearest open episodes; one writer's series tell no flags, so theirs are the printed ones."""
     listed = views.listing(spark, folder).select("series_id", "pos", "episode_id", "open")
-    flagged = listed.withColumn("open", F.when(F.col("series_id") >= 100, F.col("open")))
+    writers = views.series(spark, folder).select("series_id", "writer")
+    flagged = listed.join(writers, "series_id").withColumn("open", F.when(F.col("writer") != "HOUSEHOLD", F.col("open")))
     near = listing.open_neighbours(flagged, _SERIES, "pos", "episode_id", "open", "before", "after")
     return near.select("series_id", "episode_id", "before", "after")
 

@@ -181,23 +181,32 @@ def episode(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def landed(spark: SparkSession, folder: str) -> DataFrame:
-    """What is there already of an episode: its pages, its archive."""
-    lines = table(spark, folder, "lineitem", "l_orderkey", "l_shipdate")
-    return lines.groupBy(F.col("l_orderkey").alias("episode_id")).agg(
-        F.bool_or(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")).alias("pages_there"),
-        F.bool_or(F.col("l_shipdate") < F.lit("1996-07-01").cast("timestamp_ntz")).alias("archive_there"),
-    )
+#: What counts as there already of an episode, its pages or its archive: a page shipped before this day.
+_THERE = {"pages_there": "1997-01-01", "archive_there": "1996-07-01"}
 
 
 def result(spark: SparkSession, folder: str) -> DataFrame:
     """Every episode with what a visit makes of it."""
-    seen = episode(spark, folder).join(landed(spark, folder), "episode_id", "left")
-    there = status.result_status(
-        status.known(F.col("pages_there")), status.known(F.col("archive_there")), F.col("readable")
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate")
+    facts = lines.groupBy(F.col("l_orderkey").alias("episode_id")).agg(
+        F.count_distinct("l_linenumber").alias("n_pages"),
+        *[F.bool_or(F.col("l_shipdate") < F.lit(day).cast("timestamp_ntz")).alias(name) for name, day in _THERE.items()],
     )
-    return seen.select(
-        "series_id", "pos", "episode_id", "label", "published", "n_pages", "readable", there.alias("status")
+    readable = F.col("open") & F.col("n_pages").isNotNull()
+    there = status.result_status(status.known(F.col("pages_there")), status.known(F.col("archive_there")), readable)
+    return (
+        listing(spark, folder)
+        .join(facts, "episode_id", "left")
+        .select(
+            "series_id",
+            "pos",
+            "episode_id",
+            "label",
+            F.col("listed").alias("published"),
+            F.coalesce("n_pages", F.lit(0)).alias("n_pages"),
+            readable.alias("readable"),
+            there.alias("status"),
+        )
     )
 
 
@@ -220,13 +229,17 @@ def edge(spark: SparkSession, folder: str) -> DataFrame:
     episode nobody landed (a dangling link), by its priority.
     """
     listed = listing(spark, folder).select("series_id", "pos", "episode_id", "priority")
-    linked = ordered.neighbours(listed, ["series_id"], "pos", "episode_id", "prev_node", "after")
-    first = listed.groupBy("series_id").agg(F.min("episode_id").alias("_first"))
+    outputs = {
+        "prev_node": ordered.before("episode_id"),
+        "after": ordered.after("episode_id"),
+        "_first": ordered.whole(F.min, "episode_id"),
+    }
+    linked = ordered.scan(listed, ["series_id"], "pos", outputs)
     after = (
         F.when(F.col("after").isNotNull(), F.col("after"))
         .when(F.col("priority").like("2-%"), F.col("_first"))
         .when(F.col("priority").like("3-%"), -F.col("episode_id") - 1)
     )
-    return linked.join(first, "series_id").select(
+    return linked.select(
         "series_id", F.col("episode_id").alias("node"), "prev_node", after.alias("next_node")
     )

@@ -43,7 +43,7 @@ def a2(spark, folder):
 
 _SUMMARY = """
 WITH one AS (SELECT r.series_id, year(r.published) AS year, count(*) FILTER (WHERE status = 'saved') AS saved, count(*) FILTER (WHERE status = 'exists') AS "exists",
-    count(*) FILTER (WHERE status = 'locked') AS locked, count(*) AS episodes, min(s.host || '/' || s.title || ' ' || year(r.published)) AS folder,
+    count(*) FILTER (WHERE status = 'locked') AS locked, count(*) AS episodes, min(s.host || '/' || s.title) AS folder,
     min(r.label) AS label FROM result r JOIN series s USING (series_id) GROUP BY r.series_id, year(r.published)),
 led AS (SELECT *, CASE WHEN saved > 0 THEN 'saved' WHEN "exists" > 0 THEN 'exists' ELSE 'locked' END AS lead FROM one)
 SELECT series_id, year, saved, "exists", locked, episodes, lead, CASE lead WHEN 'locked' THEN 'warning' ELSE 'info' END AS level,
@@ -65,13 +65,8 @@ def _yearly(spark, folder):
 def a3(spark, folder):
     results = _yearly(spark, folder).select("series_id", "year", "label", "status")
     works = views.series(spark, folder).select("series_id", "host", "title")
-    title = F.concat_ws(" ", "title", F.col("year").cast("string"))
-    placed = (
-        results.join(works, "series_id")
-        .withColumn("folder", F.concat_ws("/", "host", title))
-        .withColumn("save_dir", F.concat_ws("/", "folder", "label"))
-    )
-    return status.summarise(placed, ["series_id", "year"], "label", "folder", "save_dir", "status")
+    folders = works.select("series_id", F.concat_ws("/", "host", "title").alias("folder"))
+    return status.summarise(results, folders, ["series_id", "year"], "label", "folder", "status")
 
 
 @query(

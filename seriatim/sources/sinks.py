@@ -38,7 +38,8 @@ def page_manifest(
         held = ordered.first_of_each(pages, [episode], pos, [*ties, *[c for c in rest if c not in ties]], ties=ties)
         numbered = held.withColumn("page_index", F.lit(0).cast("bigint")).withColumn("page_count", F.lit(1).cast("bigint"))
     else:
-        placed = ordered.number_rows(pages, [episode], pos, "_place", ties=ties, count="page_count")
+        outputs = {"_place": ordered.place(), "page_count": ordered.size()}
+        placed = ordered.scan(pages, [episode], pos, outputs, ties=ties)
         numbered = placed.withColumn("page_index", F.col("_place") - 1).drop("_place")
     return numbered.withColumn("file_name", file_name(F.col("page_index"), F.col("page_count")))
 

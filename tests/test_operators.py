@@ -48,7 +48,9 @@ SPAN = 17
 
 def test_number_rows(series):
     rows, df = series
-    got = ordered.number_rows(df, ["s"], "pos", "n", count="size", span=SPAN).collect()
+    outputs = {"n": ordered.place(), "size": ordered.size(), "top": ordered.whole(F.max, "v")}
+    got = ordered.scan(df, ["s"], "pos", outputs, span=SPAN).collect()
+    assert {(r["s"], r["top"]) for r in got} == {(s, g[-1][2]) for s, g in grouped(rows).items()}
     down = ordered.number_rows(df, ["s"], "pos", "n", descending=True, span=SPAN).collect()
     want = {(s, r[1]): (i + 1, len(g)) for s, g in grouped(rows).items() for i, r in enumerate(g)}
     assert {(r["s"], r["pos"]): (r["n"], r["size"]) for r in got} == want
@@ -70,7 +72,8 @@ def test_neighbours_are_each_others_inverse(series):
 @pytest.mark.parametrize("inclusive", [False, True])
 def test_carry(series, backward, inclusive):
     rows, df = series
-    got = ordered.carry(df, ["s"], "pos", "k", "out", backward=backward, inclusive=inclusive, span=SPAN).collect()
+    output = (ordered.known_after if backward else ordered.known_before)("k", inclusive=inclusive)
+    got = ordered.scan(df, ["s"], "pos", {"out": output}, span=SPAN).collect()
     found = {(r["s"], r["pos"]): r["out"] for r in got}
     for s, g in grouped(rows).items():
         line = g[::-1] if backward else g
@@ -84,7 +87,7 @@ def test_carry(series, backward, inclusive):
 
 def test_running_sum_and_islands(series):
     rows, df = series
-    sums = {(r["s"], r["pos"]): r["out"] for r in ordered.running_sum(df, ["s"], "pos", "v", "out", span=SPAN).collect()}
+    sums = {(r["s"], r["pos"]): r["out"] for r in ordered.scan(df, ["s"], "pos", {"out": ordered.running("v")}, span=SPAN).collect()}
     isles = {(r["s"], r["pos"]): r["out"] for r in ordered.islands(df, ["s"], "pos", "k", "out", span=SPAN).collect()}
     for s, g in grouped(rows).items():
         total = isle = 0
@@ -310,9 +313,11 @@ def test_summary(spark):
         "skipped": ["exists"],
         "shut one": ["locked"],
     }.items():
-        rows += [(work, f"t{n}", f"d/{work}", f"d/{work}/t{n}", s) for n, s in enumerate(states)]
-    df = spark.createDataFrame(rows, "work string, title string, folder string, dir string, status string")
-    got = {r["work"]: (r["level"], r["message"]) for r in status.summarise(df, ["work"], "title", "folder", "dir", "status").collect()}
+        rows += [(work, f"t{n}", s) for n, s in enumerate(states)]
+    df = spark.createDataFrame(rows, "work string, title string, status string")
+    folders = df.select("work", F.concat(F.lit("d/"), F.col("work")).alias("folder")).distinct()
+    told = status.summarise(df, folders, ["work"], "title", "folder", "status").collect()
+    got = {r["work"]: (r["level"], r["message"]) for r in told}
     assert got == {
         "mixed": ("info", "saved: d/mixed (2 episodes, 1 skipped, 1 locked)"),
         "there": ("info", "skipped: d/there (1 episodes, 1 locked)"),
