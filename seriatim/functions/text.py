@@ -20,7 +20,7 @@ def fold_digits(text: Column) -> Column:
 
 def positive_int(text: Column) -> Column:
     """A whole number above zero, white space around it ignored; null for anything else."""
-    number = F.when(strip(text).rlike(r"^\+?[0-9]+$"), strip(text)).try_cast("bigint")
+    number = F.regexp_extract(text, rf"^{SPACE}*\+?([0-9]+){SPACE}*$", 1).try_cast("bigint")
     return F.when(number > 0, number)
 
 
@@ -194,14 +194,7 @@ def number_token(updated: Column) -> Column:
 
 def date_beside_number(updated: Column) -> Column:
     """What an "updated" line says beside its first number token."""
-    token = number_token(updated)
-    place = F.instr(updated, token)
-    rest = F.when(
-        token != "",
-        F.concat(
-            F.substr(updated, F.lit(1), F.greatest(place - 1, F.lit(0))), F.substr(updated, place + F.length(token))
-        ),
-    ).otherwise(updated)
+    rest = F.regexp_replace(updated, rf"(?s)^(.*?){EPISODE_NUMBER}", "$1")
     return F.regexp_replace(rest, rf"^{DATE_MARKS}+|{DATE_MARKS}+$", "")
 
 

@@ -86,7 +86,7 @@ def force_https(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """Query, fragment, page suffix and closing slash cut, scheme forced to https."""
-    return F.regexp_replace(force_https(drop_query(url)), r"(\.json|\.html)?/?$", "")
+    return force_https(F.regexp_replace(url, r"(\.json|\.html)?/?([?#][\s\S]*)?$", ""))
 
 
 def same_page(left: Column, right: Column) -> Column:
@@ -180,11 +180,11 @@ def content_id(title: Column, volume: Column) -> Column:
 
 
 def content_title(code: Column) -> Column:
-    return F.try_to_number(F.regexp_extract(code, "^[0-9]([0-9]{10})[0-9]{4}$", 1), F.lit("9999999999")).cast("bigint")
+    return F.regexp_extract(code, "^[0-9]([0-9]{10})[0-9]{4}$", 1).try_cast("bigint")
 
 
 def content_volume(code: Column) -> Column:
-    return F.try_to_number(F.regexp_extract(code, "^[0-9][0-9]{10}([0-9]{4})$", 1), F.lit("9999")).cast("int")
+    return F.regexp_extract(code, "^[0-9][0-9]{10}([0-9]{4})$", 1).try_cast("int")
 
 
 def work_of_product(product: Column) -> Column:

@@ -107,24 +107,34 @@ def same_host_links(pages: DataFrame, within: str, path_regex: str, base: str =
     return links.where(U.path(link).rlike(path_regex) & (U.host(link) == U.host(F.col(base))))
 
 
+#: Page numbers one task expands at a time.
+PAGES_PER_TASK = 10_000
+
+
 def expand_pages(df: DataFrame, url: str, last: str) -> DataFrame:
     """One row per page of a numbered range in ``url``; rows without a range pass through.
 
     ``last`` bounds an open-ended range. Adds ``page_url``, ``page_no``,
     ``open_ended`` and ``ranged``. A range the wrong way round has no pages.
+    A few rows may stand for very many pages, so ranges are cut into stretches
+    and spread before they are expanded.
     """
-    parts = F.col("_range")
-    upto = F.coalesce(parts["stop"], F.col(last))
+    parts, start, upto = F.col("_range"), F.col("_from"), F.col("_upto")
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # ``sequence`` counts down when asked to, so only ranges the right way round reach it.
-    numbers = F.when(parts["first"] <= upto, F.sequence(parts["first"], upto))
+    stretches = F.when(parts["first"] <= upto, F.sequence(parts["first"], upto, F.lit(PAGES_PER_TASK).cast("bigint")))
     plain = F.array(F.lit(None).cast("bigint"))
+    numbers = F.sequence(start, F.least(start + (PAGES_PER_TASK - 1), upto))
     return (
         df.withColumn("_range", U.page_range(F.col(url)))
-        .withColumn("page_no", F.explode(F.when(parts.isNull(), plain).otherwise(numbers)))
+        .withColumn("_upto", F.coalesce(parts["stop"], F.col(last).cast("bigint")))
+        .withColumn("_from", F.explode(F.when(parts.isNull(), plain).otherwise(stretches)))
+        .repartition(spread, url, "_from")
+        .withColumn("page_no", F.explode(F.when(start.isNull(), plain).otherwise(numbers)))
         .withColumn("ranged", parts.isNotNull())
         .withColumn("open_ended", F.col("ranged") & parts["stop"].isNull())
         .withColumn("page_url", F.coalesce(U.numbered(parts, F.col("page_no")), F.col(url)))
-        .drop("_range")
+        .drop("_range", "_from", "_upto")
     )
 
 
@@ -168,6 +178,8 @@ def paginate(
     fresh = fresh_links(readable, group, page_no)
     if open_ended is False:
         return fresh
+    # Written once: both the stop and the links before it are read off them.
+    fresh = written(fresh, "fresh")
     walked = pages if open_ended is True else pages.where(F.col(open_ended))
     stop = _stopped_before(walked, fresh, group, page_no, failed)
     return (

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from seriatim.functions import urls as U
 from seriatim.operators import chain, links, ordered, routing
+from seriatim.sources.shared import written
 
 
 def find_rule(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
@@ -75,8 +76,11 @@ def search(templates: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFram
     )
     landed = pages.select(U.canonical(F.col("url")).alias("_page"), "page_id")
     first = landed.groupBy("_page").agg(F.min("page_id").alias("page_id"))
-    asked = expanded.join(first, "_page", "left").select(
-        "search", "page_no", "open_ended", "page_id", F.col("page_id").isNull().alias("failed")
+    asked = written(
+        expanded.join(first, "_page", "left").select(
+            "search", "page_no", "open_ended", "page_id", F.col("page_id").isNull().alias("failed")
+        ),
+        "asked",
     )
     taken = links.downloadable_links(pages, rules).select("page_id", "pos", "link", "rule", "kind")
     found = asked.join(taken, "page_id").select("search", "page_no", "pos", "link")
