@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seriatim.functions.bind import let
+from seriatim.functions.bind import let, whole
 from seriatim.functions.urls import strip
 
 #: Seconds Japan is ahead of UTC, all year.
@@ -35,8 +35,8 @@ def _digits(text: Column) -> Column:
 
 def _zone_seconds(zone: Column) -> Column:
     """Seconds an offset such as ``+09:00`` is ahead of UTC; 0 for ``Z`` and zone names."""
-    hours = F.substr(zone, F.lit(2), F.lit(2)).try_cast("int")
-    minutes = F.right(zone, F.lit(2)).try_cast("int")
+    hours = whole(F.substr(zone, F.lit(2), F.lit(2)), "int")
+    minutes = whole(F.right(zone, F.lit(2)), "int")
     ahead = hours * 3600 + minutes * 60
     return F.when(F.startswith(zone, F.lit("+")), ahead).when(F.startswith(zone, F.lit("-")), -ahead).otherwise(F.lit(0))
 
@@ -45,11 +45,11 @@ def _day_of(day: Column, time: Column, zone: Column) -> Column:
     """The Japan day of a wall-clock moment; its own day when it names no zone."""
 
     def part(n: int) -> Column:
-        return F.coalesce(F.split_part(time, F.lit(":"), F.lit(n)).try_cast("int"), F.lit(0))
+        return F.coalesce(whole(F.split_part(time, F.lit(":"), F.lit(n)), "int"), F.lit(0))
 
     seconds = part(1) * 3600 + part(2) * 60 + part(3)
     shifted = F.floor((seconds - _zone_seconds(zone) + JAPAN_AHEAD) / 86400).cast("int")
-    date = day.try_cast("date")
+    date = F.nullif(day, F.lit("")).try_cast("date")
     return F.when(zone == "", date).otherwise(F.date_add(date, shifted))
 
 

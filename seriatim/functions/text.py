@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seriatim.functions.bind import whole
 from seriatim.functions.urls import SPACE, strip
 
 #: Full-width digits and their ASCII forms.
@@ -20,13 +21,13 @@ def fold_digits(text: Column) -> Column:
 
 def positive_int(text: Column) -> Column:
     """A whole number above zero, white space around it ignored; null for anything else."""
-    number = F.regexp_extract(text, rf"^{SPACE}*\+?([0-9]+){SPACE}*$", 1).try_cast("bigint")
+    number = whole(F.regexp_extract(text, rf"^{SPACE}*\+?([0-9]+){SPACE}*$", 1))
     return F.when(number > 0, number)
 
 
 def label_number(label: Column) -> Column:
     """The first run of digits in a label, full-width ones folded."""
-    return F.regexp_extract(fold_digits(label), "[0-9]+", 0).try_cast("bigint")
+    return whole(F.regexp_extract(fold_digits(label), "[0-9]+", 0))
 
 
 def first_text(*choices: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seriatim.functions.bind import whole
+
 #: RFC 3986 appendix B, one group per part of a URL.
 URL_PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?"
 
@@ -180,11 +182,11 @@ def content_id(title: Column, volume: Column) -> Column:
 
 
 def content_title(code: Column) -> Column:
-    return F.regexp_extract(code, "^[0-9]([0-9]{10})[0-9]{4}$", 1).try_cast("bigint")
+    return whole(F.regexp_extract(code, "^[0-9]([0-9]{10})[0-9]{4}$", 1))
 
 
 def content_volume(code: Column) -> Column:
-    return F.regexp_extract(code, "^[0-9][0-9]{10}([0-9]{4})$", 1).try_cast("int")
+    return whole(F.regexp_extract(code, "^[0-9][0-9]{10}([0-9]{4})$", 1), "int")
 
 
 def work_of_product(product: Column) -> Column:
@@ -224,8 +226,8 @@ def page_range(url: Column) -> Column:
     return F.when(
         url.rlike(PAGE_RANGE),
         F.struct(
-            start.try_cast("bigint").alias("first"),
-            F.regexp_extract(url, PAGE_RANGE, 2).try_cast("bigint").alias("stop"),
+            whole(start).alias("first"),
+            whole(F.regexp_extract(url, PAGE_RANGE, 2)).alias("stop"),
             F.when(F.startswith(start, F.lit("0")), F.length(start)).otherwise(F.lit(0)).alias("width"),
             F.substr(url, F.lit(1), cut - 1).alias("before"),
             F.substr(url, cut + F.length(F.regexp_extract(url, PAGE_RANGE, 0))).alias("after"),

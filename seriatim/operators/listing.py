@@ -78,7 +78,7 @@ def name_key(name: Column) -> Column:
     shaped = number != ""
     return F.struct(
         F.when(shaped, F.regexp_extract(name, EPISODE_NAME, 1)).otherwise(name).alias("letters"),
-        F.when(shaped, number.try_cast("double")).otherwise(F.lit(float("inf"))).alias("number"),
+        F.when(shaped, F.nullif(number, F.lit("")).try_cast("double")).otherwise(F.lit(float("inf"))).alias("number"),
         F.when(shaped, F.regexp_extract(name, EPISODE_NAME, 3)).otherwise(F.lit("")).alias("rest"),
     )
 

@@ -27,6 +27,47 @@ def read_batches(spark: SparkSession, path: str, schema: StructType, before: int
     return df if before is None else df.where(F.col(BATCH) < before)
 
 
+#: Batches between two snapshots of a state table.
+SNAPSHOT_EVERY = 100
+
+Merge = Callable[[DataFrame], DataFrame]
+
+
+def last_snapshot(before: int, every: int = SNAPSHOT_EVERY) -> int:
+    """The latest batch before this one that began with a snapshot; 0 for none."""
+    return max(before - 1, 0) // every * every
+
+
+def read_state(
+    spark: SparkSession, path: str, schema: StructType, merge: Merge, before: int, every: int = SNAPSHOT_EVERY
+) -> DataFrame:
+    """The state all batches before this one add up to: the latest snapshot and the batches since.
+
+    ``merge`` folds rows of one key into one and can fold its own results again.
+    """
+    since = last_snapshot(before, every)
+    deltas = read_batches(spark, f"{path}/delta", schema, before).where(F.col(BATCH) >= since).drop(BATCH)
+    if since == 0:
+        return merge(deltas)
+    held = read_batches(spark, f"{path}/snapshot", schema).where(F.col(BATCH) == since).drop(BATCH)
+    return merge(held.unionByName(deltas))
+
+
+def write_state(
+    spark: SparkSession, df: DataFrame, path: str, merge: Merge, batch_id: int, every: int = SNAPSHOT_EVERY
+) -> None:
+    """Add a batch's own merged rows; every so many batches first fold what came before into a snapshot."""
+    if batch_id > 0 and batch_id % every == 0:
+        write_batch(read_state(spark, path, df.schema, merge, batch_id, every), f"{path}/snapshot", batch_id)
+    write_batch(merge(df), f"{path}/delta", batch_id)
+
+
+def batches_written(spark: SparkSession, path: str, schema: StructType) -> int:
+    """How many batches a state table has: one more than its last batch."""
+    last = read_batches(spark, f"{path}/delta", schema).select(F.max(BATCH).alias("last")).first()["last"]
+    return 0 if last is None else last + 1
+
+
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hand everything that has landed to ``handle``, batch by batch, then stop."""
     started = (

@@ -18,19 +18,20 @@ def run(stream: DataFrame, key: str, order: str, state: str, frm: str, to: str,
     """
     found, last = f"{path}/found", f"{path}/last"
 
+    def latest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.max(order).alias(order), F.max_by(state, order).alias(state))
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = batch.select(key, order, state)
-        latest = seen.groupBy(key).agg(F.max(order).alias(order), F.max_by(state, order).alias(state))
         rows = seen.withColumn("_new", F.lit(True))
         if batch_id > 0:
-            held = batches.read_batches(spark, last, seen.schema, before=batch_id).drop(batches.BATCH)
+            held = batches.read_state(spark, last, seen.schema, latest, batch_id)
             mine = held.join(seen.select(key).distinct(), key, "left_semi")
-            before = mine.groupBy(key).agg(F.max(order).alias(order), F.max_by(state, order).alias(state))
-            rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
+            rows = rows.unionByName(mine.withColumn("_new", F.lit(False)))
         turned = watch.transitions(rows, key, order, state, frm, to).where("_new").drop("_new")
         batches.write_batch(turned, found, batch_id)
-        batches.write_batch(latest, last, batch_id)
+        batches.write_state(spark, seen, last, latest, batch_id)
 
     batches.run_available(stream, handle, checkpoint)
 

@@ -22,7 +22,7 @@ def run(stream: DataFrame, path: str, checkpoint: str) -> None:
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         seen = batch.select("entry", "episode", "seq", "status", F.lit(1).cast("bigint").alias("visits"))
-        batches.write_batch(_latest(seen), path, batch_id)
+        batches.write_state(batch.sparkSession, seen, path, _latest, batch_id)
 
     batches.run_available(stream, handle, checkpoint)
 
@@ -31,8 +31,8 @@ SCHEMA = StructType(
     [
         StructField("entry", LongType()),
         StructField("episode", LongType()),
-        StructField("status", StringType()),
         StructField("seq", LongType()),
+        StructField("status", StringType()),
         StructField("visits", LongType()),
     ]
 )
@@ -40,7 +40,8 @@ SCHEMA = StructType(
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """The status of every episode seen so far, and how often it was visited."""
-    return _latest(batches.read_batches(spark, path, SCHEMA).drop(batches.BATCH))
+    upto = batches.batches_written(spark, path, SCHEMA)
+    return batches.read_state(spark, path, SCHEMA, _latest, upto)
 
 
 def watchlist(spark: SparkSession, path: str) -> DataFrame:

@@ -45,6 +45,22 @@ def test_batch_run_twice_changes_nothing(spark, tmp_path):
     assert batches.read_batches(spark, path, rows.schema, before=1).count() == 1
 
 
+@pytest.mark.parametrize("every", [2, 100])
+def test_state_is_the_same_with_and_without_snapshots(spark, tmp_path, every):
+    path = str(tmp_path / "state")
+
+    def merge(df):
+        return df.groupBy("k").agg(F.sum("n").cast("bigint").alias("n"))
+
+    for batch in [*range(5), 4]:
+        rows = spark.createDataFrame([(batch % 2, 1), (7, 1)], "k bigint, n bigint")
+        batches.write_state(spark, rows, path, merge, batch, every)
+    upto = batches.batches_written(spark, path, rows.schema)
+    assert upto == 5
+    got = batches.read_state(spark, path, rows.schema, merge, upto, every).collect()
+    assert sorted(map(tuple, got)) == [(0, 3), (1, 2), (7, 5)]
+
+
 @pytest.mark.parametrize("upto", [1, 3])
 def test_opened_finds_turns_between_batches(spark, tmp_path, upto):
     path = str(tmp_path / "table")
