@@ -68,11 +68,11 @@ def query_value(url: Column, key: str) -> Column:
     return F.when(found != "", F.substr(found, F.lit(len(key) + 2)))
 
 
-def has_query_key(url: Column, key: Column) -> Column:
-    """Whether the query carries ``key`` with a value; ``key`` may differ per row."""
-    held = F.concat(F.lit("&"), query(url), F.lit("&"))
-    return F.contains(held, F.concat(F.lit("&"), key, F.lit("="))) & ~F.contains(
-        held, F.concat(F.lit("&"), key, F.lit("=&"))
+def query_holds(held: Column, key: Column) -> Column:
+    """Whether a query string carries ``key`` with a value; ``key`` may differ per row."""
+    asked = F.concat(F.lit("&"), held, F.lit("&"))
+    return F.contains(asked, F.concat(F.lit("&"), key, F.lit("="))) & ~F.contains(
+        asked, F.concat(F.lit("&"), key, F.lit("=&"))
     )
 
 

@@ -52,12 +52,10 @@ def _with_parts(df: DataFrame, url: str) -> DataFrame:
 
 
 def _takes(form: Column) -> Column:
-    asked = F.concat(F.lit("&"), F.col("_query"), F.lit("&"))
-    held = F.contains(asked, F.concat(F.lit("&"), form["query_key"], F.lit("=")))
     return (
         F.array_contains(form["schemes"], F.col("_scheme"))
         & F.rlike(F.col("_path"), form["path_regex"])
-        & ((form["query_key"] == "") | held)
+        & ((form["query_key"] == "") | U.query_holds(F.col("_query"), form["query_key"]))
     )
 
 
