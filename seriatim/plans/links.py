@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriatim.functions import urls as U
-from seriatim.operators import chain, links, ordered
+from seriatim.operators import chain, links
 from seriatim.plans import views
 from seriatim.plans.registry import Registry
 from seriatim.plans.views import sql
