@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriatim.llm import mixing, packing, quality, repeats, simhash
+from seriatim.llm import languages, mixing, neighbours, packing, quality, repeats, scoring, sharding, simhash, token_counts
+from seriatim.llm.shipping import ship
 from seriatim.plans.registry import Registry
 from seriatim.sources.tables import table
 
@@ -75,32 +76,57 @@ FROM taken WHERE epochs > 0
 """
 
 
+@REGISTRY.query("op1_scoring")
+def op1_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.scored(table(ship(spark), folder, "documents"))
+
+
 @REGISTRY.query("op2_mixing", MIXING_SQL)
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = table(ship(spark), folder, "documents")
     chosen = mixing.mixed(docs, TREE, {"lang": WEIGHT_SQL}, share=(4, 5), max_epochs=2, seed=17)
     return chosen.drop("_k1", "_k2")
 
 
 @REGISTRY.query("op3_packing")
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.packed(table(spark, folder, "documents"))
+    return packing.packed(table(ship(spark), folder, "documents"))
+
+
+@REGISTRY.query("op4_sharding")
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(ship(spark), folder, "documents"))
+
+
+@REGISTRY.query("op5_neighbours")
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(ship(spark), folder, "embeddings"))
 
 
 @REGISTRY.query("op6_repeats")
 def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, folder, "documents"))
+    return repeats.without_repeats(table(ship(spark), folder, "documents"))
+
+
+@REGISTRY.query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(ship(spark), folder, "documents"))
 
 
 @REGISTRY.query("op8_simhash")
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    found = simhash.near_duplicates(table(ship(spark), folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @REGISTRY.query("op9_quality")
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.quality(table(spark, folder, "documents"))
+    return quality.quality(table(ship(spark), folder, "documents"))
+
+
+@REGISTRY.query("op10_languages")
+def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.identified(table(ship(spark), folder, "documents"))
 
 
 def queries() -> dict:
