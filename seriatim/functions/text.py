@@ -20,8 +20,8 @@ def fold_digits(text: Column) -> Column:
 
 
 def positive_int(text: Column) -> Column:
-    """A whole number above zero, white space around it ignored; null for anything else."""
-    number = whole(F.regexp_extract(text, rf"^{SPACE}*\+?([0-9]+){SPACE}*$", 1))
+    """A whole number above zero, white space around it ignored and full-width digits folded; null for anything else."""
+    number = whole(F.regexp_extract(fold_digits(text), rf"^{SPACE}*\+?([0-9]+){SPACE}*$", 1))
     return F.when(number > 0, number)
 
 

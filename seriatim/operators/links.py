@@ -8,6 +8,7 @@ shuffle, and a page is never larger than its own text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,23 +18,49 @@ from seriatim.operators import ordered, routing
 from seriatim.sources.shared import written
 
 #: What holds no anchors although it may look so.
-HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>"
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+#: What a body shows only without scripts.
+NOSCRIPT = r"(?is)<noscript\b.*?</noscript\s*>"
+#: An attribute's value, and the attributes that stand before the one looked for.
+_VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+_OTHERS = rf"(?:\s+(?!href\s*=)[^\s>\"'=]+(?:\s*=\s*{_VALUE})?)*+"
+#: The rest of a tag; a quoted value may hold its closing sign.
+_REST = r"[^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+"
 #: An anchor's href, double-quoted, single-quoted or bare.
-ANCHOR_HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+ANCHOR_HREF = rf"(?is)<a{_OTHERS}\s+href\s*=\s*({_VALUE})"
 #: A whole anchor, its text included.
-ANCHOR = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>.*?</a\s*>"
-TAG = r"(?s)<[^>]*>"
+ANCHOR = rf"(?is)<a{_OTHERS}\s+href\s*=\s*{_VALUE}{_REST}>.*?</a\s*>"
+TAG = rf"(?s)<{_REST}>|<[^>]*>"
+#: A character reference, by number or by name.
+REFERENCE = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|&|[^&]+"
 
 
 def visible(html: Column) -> Column:
     return F.regexp_replace(html, HIDDEN, "")
 
 
+def _referred(part: Column) -> Column:
+    """What one character reference stands for; anything else as it is."""
+    hexadecimal = F.lower(F.substring(part, 3, 1)) == "x"
+    digits = F.when(hexadecimal, F.regexp_extract(part, "^&#[xX](.*);$", 1)).otherwise(
+        F.hex(F.regexp_extract(part, "^&#([0-9]+);$", 1).try_cast("bigint"))
+    )
+    code = F.conv(digits, 16, 10).try_cast("bigint")
+    sign = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    names = F.create_map(*(F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))))
+    named = F.try_element_at(names, F.regexp_extract(part, "^&(.*);$", 1))
+    return (
+        F.when(~F.startswith(part, F.lit("&")), part)
+        .when(F.startswith(part, F.lit("&#")), F.when(valid, sign).otherwise(part))
+        .otherwise(F.coalesce(named, part))
+    )
+
+
 def unescape(text: Column) -> Column:
-    """The entities an attribute or a label usually holds."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+    """Character references undone, each once: by number, and by the names HTML 4 knows."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _referred)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
 
 def _unquoted(href: Column) -> Column:
@@ -60,8 +87,9 @@ def anchors(html: Column) -> Column:
 
 
 def block(html: Column, tag: str) -> Column:
-    """What stands between the first ``<tag>`` and its end; ``""`` without one."""
-    return F.regexp_extract(visible(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+    """What stands between every ``<tag>`` and its end, in a row; ``""`` without one."""
+    found = F.regexp_extract_all(visible(html), F.lit(rf"(?is)<{tag}\b{_REST}>(.*?)</{tag}\s*>"), F.lit(1))
+    return F.array_join(found, "\n")
 
 
 def resolved_links(pages: DataFrame, base: str = "url", html: str = "html") -> DataFrame:
@@ -79,7 +107,7 @@ def resolved_links(pages: DataFrame, base: str = "url", html: str = "html") -> D
 def page_links(pages: DataFrame, base: str = "url", html: str = "html", within: str | None = None) -> DataFrame:
     """A page's links in page order, each once, fragments dropped, the page itself left out.
 
-    ``within`` narrows to the first block of that tag. ``pos`` counts the
+    ``within`` narrows to the blocks of that tag. ``pos`` counts the
     distinct links of the page from 1.
     """
     markup = F.col(html) if within is None else block(F.col(html), within)
@@ -101,7 +129,7 @@ def downloadable_links(pages: DataFrame, rules: DataFrame, base: str = "url", ht
 
 
 def same_host_links(pages: DataFrame, within: str, path_regex: str, base: str = "url", html: str = "html") -> DataFrame:
-    """Links of one block whose path has the given shape and whose host is the page's own."""
+    """Links of the blocks of one tag whose path has the given shape and whose host is the page's own."""
     links = page_links(pages, base, html, within)
     link = F.col("link")
     return links.where(U.path(link).rlike(path_regex) & (U.host(link) == U.host(F.col(base))))
@@ -230,7 +258,8 @@ def body_blocks(html: Column, is_image: Callable[[Column], Column]) -> Column:
 
     ``is_image`` says of a block's markup whether it is a page image.
     """
-    parts = F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))
+    shown = F.regexp_replace(html, NOSCRIPT, "")
+    parts = F.regexp_extract_all(shown, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))
 
     def block_of(markup: Column) -> Column:
         image = is_image(markup)

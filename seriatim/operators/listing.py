@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.functions.text import label_number
+from seriatim.functions.text import fold_digits, label_number
 from seriatim.operators import ordered
 from seriatim.sources.shared import written
 
@@ -73,7 +73,11 @@ EPISODE_NAME = r"^([^0-9]*)([0-9]+(?:\.[0-9]+)?)(.*)$"
 
 
 def name_key(name: Column) -> Column:
-    """``01`` < ``12.5`` < ``jk01``: letters, then the number, then the rest; a name without a number sorts by itself."""
+    """``01`` < ``12.5`` < ``jk01``: letters, then the number, then the rest; a name without a number sorts by itself.
+
+    Full-width digits count as digits.
+    """
+    name = fold_digits(name)
     number = F.regexp_extract(name, EPISODE_NAME, 2)
     shaped = number != ""
     return F.struct(

@@ -34,7 +34,8 @@ def upsert(watchlist: DataFrame, updates: DataFrame) -> DataFrame:
     ``updates`` has ``seq``, ``url``, ``replacing`` (the entry's former url or
     null), ``title``, ``search``. An update changes the first entry under its
     new or its former url, else it is appended; an empty title keeps the old
-    one; of several updates for one entry the last by ``seq`` counts.
+    one; of several updates for one entry the last by ``seq`` counts, and for
+    the title the last that has one.
     """
     keys = F.explode(F.array_distinct(F.array("url", F.coalesce("replacing", "url")))).alias("_url")
     hits = (
@@ -44,23 +45,23 @@ def upsert(watchlist: DataFrame, updates: DataFrame) -> DataFrame:
         .agg(F.min("pos").alias("_target"))
     )
     aimed = updates.join(hits, "seq", "left")
-    row = F.max(F.struct("seq", "url", "title", "search")).alias("_new")
-    changes = aimed.where(F.col("_target").isNotNull()).groupBy(F.col("_target").alias("pos")).agg(row)
+    title = F.max_by("title", F.when(F.col("title") != "", F.col("seq"))).alias("_title")
+    row = F.max(F.struct("seq", "url", "search")).alias("_new")
+    changes = aimed.where(F.col("_target").isNotNull()).groupBy(F.col("_target").alias("pos")).agg(row, title)
     changed = watchlist.join(changes, "pos", "left")
-    title = F.coalesce(F.nullif(F.col("_new.title"), F.lit("")), F.col("title"))
     kept = changed.select(
         "pos",
         F.coalesce(F.col("_new.url"), F.col("url")).alias("url"),
-        title.alias("title"),
+        F.coalesce("_title", "title").alias("title"),
         F.coalesce(F.col("_new.search"), F.col("search")).alias("search"),
     )
     # Updates without an entry go to the end in order; one url is appended once, its last update counting.
     fresh = aimed.where(F.col("_target").isNull()).groupBy("url").agg(
-        F.min("seq").alias("_at"), F.max(F.struct("seq", "title", "search")).alias("_new")
+        F.min("seq").alias("_at"), F.max(F.struct("seq", "search")).alias("_new"), title
     )
     end = watchlist.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("end")).scalar()
     appended = ordered.number_rows(fresh, [], "_at", "_n").select(
-        (end + F.col("_n")).alias("pos"), "url", F.col("_new.title").alias("title"), F.col("_new.search").alias("search")
+        (end + F.col("_n")).alias("pos"), "url", F.coalesce("_title", F.lit("")).alias("title"), F.col("_new.search").alias("search")
     )
     return kept.unionByName(appended)
 

@@ -113,6 +113,8 @@ def e2(spark, folder):
     stop = F.when(F.endswith("site", F.lit("/en")), F.col("last").cast("string")).otherwise(F.lit(""))
     template = F.concat(F.lit("https://"), F.col("site"), F.lit("/["), F.col("first").cast("string"), F.lit("-"), stop, F.lit("]"))
     templates = span.select(template.alias("search"), "last")
-    found = visits.search(templates, pages, views.site_rule(spark, folder))
+    # a landed page of these sites is the same with any query
+    named = pages.withColumn("page", U.canonical(url))
+    found = visits.search(templates, named, views.site_rule(spark, folder), page="page")
     site = F.regexp_extract("search", "^https://(.*)/\\[", 1)
     return found.select(site.alias("site"), "page_no", "link", "rule", "kind")

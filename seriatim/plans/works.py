@@ -107,7 +107,8 @@ new AS (SELECT o_orderkey AS seq, CASE WHEN o_orderpriority < '2' THEN 'w' || o_
     CASE WHEN o_orderpriority < '2' THEN NULL WHEN o_orderpriority < '3' THEN 'x' || o_orderkey ELSE 'w' || o_custkey END AS replacing,
     CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'title ' || o_orderkey END AS title, o_orderpriority > '5' AS search FROM orders),
 aim AS (SELECT n.*, (SELECT min(pos) FROM watched w WHERE w.url = n.url OR w.url = n.replacing) AS target FROM new n),
-last AS (SELECT * FROM aim WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target ORDER BY seq DESC) = 1)
+last AS (SELECT * EXCLUDE (title), (SELECT arg_max(b.title, b.seq) FROM aim b WHERE b.target = a.target AND b.title <> '') AS title
+  FROM aim a WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target ORDER BY seq DESC) = 1)
 """
 
 

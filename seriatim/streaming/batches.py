@@ -80,10 +80,10 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
 
 
 def landed_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of the files of one table as they land in a folder."""
+    """A stream of the files of one table as they land: a folder ``<name>.parquet``, or the one file of that name."""
+    # as a pattern, which only this name meets: a plain path would have to be a folder
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(f"{folder}/{name}[.]parquet")
     )

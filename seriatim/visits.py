@@ -64,17 +64,18 @@ def visit(
     return reached.join(episodes, "url")
 
 
-def search(templates: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
+def search(templates: DataFrame, pages: DataFrame, rules: DataFrame, page: str = "url") -> DataFrame:
     """The links that numbered search pages newly offer, with the rule that takes each.
 
     ``templates`` has ``search`` (a URL, usually with a page range) and ``last``
     (where an open-ended range ends at the latest). A page that never landed
-    has failed; of several landings of one page the first counts.
+    has failed; of several landings of one page the first counts. Pages are
+    told apart by ``page``, of which only the fragment is cut.
     """
     expanded = links.expand_pages(templates.distinct(), "search", "last").select(
-        "search", F.coalesce("page_no", F.lit(0)).alias("page_no"), "open_ended", U.canonical(F.col("page_url")).alias("_page")
+        "search", F.coalesce("page_no", F.lit(0)).alias("page_no"), "open_ended", U.drop_fragment(F.col("page_url")).alias("_page")
     )
-    landed = pages.select(U.canonical(F.col("url")).alias("_page"), "page_id")
+    landed = pages.select(U.drop_fragment(F.col(page)).alias("_page"), "page_id")
     first = landed.groupBy("_page").agg(F.min("page_id").alias("page_id"))
     asked = written(
         expanded.join(first, "_page", "left").select(
@@ -82,7 +83,8 @@ def search(templates: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFram
         ),
         "asked",
     )
-    taken = links.downloadable_links(pages, rules).select("page_id", "pos", "link", "rule", "kind")
+    wanted = pages.join(asked.select("page_id").where("page_id IS NOT NULL").distinct(), "page_id", "left_semi")
+    taken = links.downloadable_links(wanted.drop(*({page} - {"url"})), rules).select("page_id", "pos", "link", "rule", "kind")
     found = asked.join(taken, "page_id").select("search", "page_no", "pos", "link")
     fresh = links.paginate(asked, found, ["search"], "page_no", "failed", open_ended="open_ended")
     return routing.route(fresh, rules, "link")

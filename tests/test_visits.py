@@ -71,6 +71,16 @@ def test_search_closed_open_and_plain(spark, site):
     assert found == {"[1-4]": [(1, "1"), (1, "2"), (4, "3")], "[1-]": [(1, "1"), (1, "2")], "4": [(0, "3")]}
 
 
+def test_search_pages_differ_by_query(spark, site):
+    pages = spark.createDataFrame(
+        [(n, f"{H}/list?page={n}#top", f'<noscript><a title="a>b" href="/e/{n}">x</a></noscript>') for n in (1, 2, 3)],
+        "page_id int, url string, html string",
+    )
+    templates = spark.createDataFrame([(f"{H}/list?page=[1-3]", 3)], "search string, last int")
+    rows = visits.search(templates, pages, site[0]).collect()
+    assert sorted((r["page_no"], r["link"].rsplit("/", 1)[1]) for r in rows) == [(1, "1"), (2, "2"), (3, "3")]
+
+
 def test_rule_that_needs_a_query_value(spark):
     rules = spark.createDataFrame(
         [(1, 1, "q", "a.example.com", ["https"], "episode", "^/v$", "id", "", None)], routing.RULE_SCHEMA
