@@ -15,48 +15,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from seriatim.llm.rows import texts_of
+from seriatim.llm.word_ids import word_ids
 
 WINDOW = 4096
 #: Open windows of one task; with their ids they are what it holds.
 OPEN = 512
-#: Words whose ids a task remembers.
-WORDS = 400_000
+#: Texts whose new words are learned together.
+TOGETHER = 2500
 END = 2
 
 
-class WordIds:
-    """Ids of texts by a tokenizer that drops white space: a text's ids are those of its words in a row."""
-
-    def __init__(self, file: str) -> None:
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = list(dict.fromkeys(w for w in words if w not in known))
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        here = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
-        out = b"".join([known[w] if w in known else here[w] for w in words])
-        if len(here) <= WORDS:
-            known.update(here)
-        return out
-
-
 class Packer:
     """Windows filled piece by piece; a piece is (document, start, ids as bytes, tokens of the document)."""
 
@@ -157,7 +131,7 @@ def packed(
     names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         end = np.asarray([END], "<u4").tobytes()
         id_type = pa.int64()
@@ -171,8 +145,10 @@ def packed(
         for batch in batches:
             id_type = batch.column("_id").type
             ids = batch.column("_id").to_pylist()
-            for k, t in enumerate(texts_of(batch.column("_text"))):
-                packer.add(ids[k], words.ids(t) + end)
+            texts = texts_of(batch.column("_text"))
+            for k in range(0, len(texts), TOGETHER):
+                for i, found in zip(ids[k : k + TOGETHER], words.many(texts[k : k + TOGETHER])):
+                    packer.add(i, found + end)
                 if len(packer.rows) > 20000:
                     yield rows()
         packer.close_open(True)

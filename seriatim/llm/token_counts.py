@@ -35,7 +35,7 @@ def tokenizer_of(file: str) -> Tokenizer:
     return Tokenizer.from_file(public_tokenizers.path(file))
 
 
-def _spelled() -> dict[str, int]:
+def byte_spelling() -> dict[str, int]:
     """The characters by which byte-level vocabularies spell bytes: printable ones stand for themselves."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -45,7 +45,7 @@ def _spelled() -> dict[str, int]:
 @functools.cache
 def whole_tokens(file: str) -> frozenset[str]:
     """Vocabulary strings proved to encode alone as one token."""
-    tokenizer, spelled, strings = tokenizer_of(file), _spelled(), []
+    tokenizer, spelled, strings = tokenizer_of(file), byte_spelling(), []
     for word in tokenizer.get_vocab(with_added_tokens=False):
         try:
             strings.append(bytes(spelled[c] for c in word).decode())

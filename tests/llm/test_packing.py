@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from seriatim.llm import packing
+from seriatim.llm import packing, word_ids
 
 
 def ids_of(text):
@@ -29,9 +29,14 @@ def texts():
 
 
 def test_ids_as_by_the_library():
-    words = packing.WordIds("word_bpe_49k.json")
+    words = word_ids.WordIds("word_bpe_49k.json")
     for t in texts():
         assert np.frombuffer(words.ids((t or "").encode()), "<u4").tolist() == ids_of(t)[:-1]
+    rng = random.Random(9)
+    marks = [chr(c) for c in range(33, 256)]
+    long = [" ".join("".join(rng.choice(marks if k % 3 else "aabcdeéß's") for _ in range(rng.randrange(1, 40))) for _ in range(300)) for k in range(30)]
+    for t, found in zip(long, words.many([t.encode() for t in long])):
+        assert np.frombuffer(found, "<u4").tolist() == ids_of(t)[:-1]
 
 
 @pytest.mark.parametrize("window, parts", [(4096, 3), (64, 2)])
