@@ -14,16 +14,23 @@ JAPAN_AHEAD = 9 * 3600
 EPOCH_IN_MILLIS = 100_000_000_000
 #: Ways a day is written, anywhere in a text.
 WRITTEN_DAY = r"([0-9]{4})[年/.\-]([0-9]{1,2})[月/.\-]([0-9]{1,2})"
-#: An ISO moment: day, time to the second, offset.
+#: An ISO moment, spelt out or compact: year, month, day, hour, minute, second, offset.
 ISO_MOMENT = (
-    r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2})?)(?:[.,][0-9]+)?"
+    r"^([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})(?:[T ]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2}))?)?(?:[.,][0-9]+)?"
     r"(Z|[+\-][0-9]{2}:?[0-9]{2})?)?$"
 )
-#: An HTTP date: day, month name, year, time, zone.
+#: An HTTP date: day, month name, year of two or four digits, time, zone.
 HTTP_DATE = (
-    r"^(?:[A-Za-z]{3,9}, *)?([0-9]{1,2})[ \-]([A-Za-z]{3})[ \-]([0-9]{4}) +([0-9]{2}:[0-9]{2}(?::[0-9]{2})?)"
-    r"(?: +(GMT|UTC|UT|[+\-][0-9]{4}))?$"
+    r"^(?:[A-Za-z]{3,9}, *)?([0-9]{1,2})[ \-]([A-Za-z]{3})[ \-]([0-9]{4}|[0-9]{2}) +([0-9]{2}:[0-9]{2}(?::[0-9]{2})?)"
+    r"(?: +([A-Za-z]{1,5}|[+\-][0-9]{4}))?$"
 )
+#: Zone names of mail dates and the hours each is ahead of UTC.
+NAMED_ZONES = {
+    "UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "AST": -4, "ADT": -3, "EST": -5, "EDT": -4,
+    "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7,
+}
+#: Two-digit years from here on are of the 1900s, smaller ones of the 2000s.
+CENTURY_TURNS = 69
 #: Month names of HTTP dates, three letters each, in order.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
@@ -53,6 +60,19 @@ def _day_of(day: Column, time: Column, zone: Column) -> Column:
     return F.when(zone == "", date).otherwise(F.date_add(date, shifted))
 
 
+def _named_zone(zone: Column) -> Column:
+    """A zone of a mail date as an offset; none for ``-0000`` and for names that stand for no zone."""
+    offsets = {name: f"{'-' if hours < 0 else '+'}{abs(hours):02d}00" for name, hours in NAMED_ZONES.items()}
+    known = F.create_map(*[F.lit(text) for pair in offsets.items() for text in pair])
+    told = F.coalesce(F.try_element_at(known, F.upper(zone)), F.lit(""))
+    return F.when(zone == "-0000", F.lit("")).when(zone.rlike(r"^[+\-]"), zone).otherwise(told)
+
+
+def _full_year(year: Column) -> Column:
+    century = F.when(whole(year, "int") < CENTURY_TURNS, F.lit("20")).otherwise(F.lit("19"))
+    return F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
+
+
 def _groups(text: Column, pattern: str, count: int) -> Column:
     """The groups of a pattern over the whole text, matched once."""
     marks = "\x01".join(f"${n}" for n in range(1, count + 1))
@@ -74,7 +94,10 @@ def written_day(text: Column) -> Column:
 
 
 def _iso_day(text: Column) -> Column:
-    told = let(_groups(text, ISO_MOMENT, 3), lambda g: _day_of(g[0], g[1], g[2]))
+    def read(g: Column) -> Column:
+        return _day_of(_spelt(g[0], g[2], g[3]), F.concat_ws(":", g[4], g[5], g[6]), g[7])
+
+    told = let(_groups(text, ISO_MOMENT, 8), read)
     return F.when(text.rlike(ISO_MOMENT), told)
 
 
@@ -84,7 +107,7 @@ def http_day(text: Column) -> Column:
     def read(g: Column) -> Column:
         place = F.instr(F.lit(MONTHS), F.lower(g[1]))
         number = F.floor((place + 2) / 3).cast("string")
-        return F.when((place > 0) & (place % 3 == 1), _day_of(_spelt(g[2], number, g[0]), g[3], g[4]))
+        return F.when((place > 0) & (place % 3 == 1), _day_of(_spelt(_full_year(g[2]), number, g[0]), g[3], _named_zone(g[4])))
 
     return F.when(text.rlike(HTTP_DATE), let(_groups(text, HTTP_DATE, 5), read))
 

@@ -4,8 +4,10 @@ A link table has one row per node with at most one link out of it, so a walk
 is a path that ends, or runs into itself. Walks advance by doubling: in round
 k every walk takes the 2^k-step jump from all nodes it has reached, so a chain
 of n nodes takes log2(n) rounds, and what is kept is the walks themselves, one
-row per node reached, never pairs of nodes. Every round is written to the
-shared folder, so a lost executor repeats one round at most.
+row per node reached, never pairs of nodes. Only walks that filled the last
+round go on, and a round writes only what it newly reached, to the shared
+folder, so a lost executor repeats one round at most. Jumps of earlier rounds
+are removed.
 
 A node many others link to (a third of all links may name the same one) makes
 its join key hot on the side that repeats it; the other side has the node
@@ -14,10 +16,13 @@ once, so Spark splits the hot side at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.sources.shared import counted, written
+from seriatim.sources.shared import counted, discard, measured, written
 
 
 def _steps(edges: DataFrame, node: str, link: str, stop: str | None = None) -> DataFrame:
@@ -26,6 +31,11 @@ def _steps(edges: DataFrame, node: str, link: str, stop: str | None = None) -> D
     return written(known.select(F.col(node).alias("_at"), F.col(link).alias("_to")), "steps")
 
 
+def _same(columns: Sequence[str]) -> Column:
+    """One key of all columns, in which nulls are equal."""
+    return F.struct(*columns)
+
+
 def _jumps(steps: DataFrame) -> DataFrame:
     """The links a walk can take: those that name a node with a record."""
     return steps.where(F.col("_to").isNotNull()).join(steps.select(F.col("_at").alias("_to")), "_to", "left_semi")
@@ -34,7 +44,9 @@ def _jumps(steps: DataFrame) -> DataFrame:
 def _doubled(jump: DataFrame, name: str) -> DataFrame:
     """Jumps twice as far; those that would lead past a walk's end are gone."""
     on = jump.select(F.col("_at").alias("_to"), F.col("_to").alias("_next"))
-    return written(jump.join(on, "_to").select("_at", F.col("_next").alias("_to")), name)
+    doubled = written(jump.join(on, "_to").select("_at", F.col("_next").alias("_to")), name)
+    discard(jump)
+    return doubled
 
 
 def walk(
@@ -59,23 +71,46 @@ def walk(
         starts.select(*seeds.columns, F.col(seed).alias(node), F.lit(0).cast("bigint").alias("depth")), "walk"
     )
     jump = written(_jumps(steps).select("_at", "_to"), "jump")
-    size, step = -1, 1
-    while held != size:
-        size = held
+    parts, step, going = [reach], 1, reach
+    while held:
         further = (
-            reach.join(jump, reach[node] == jump["_at"])
+            going.join(jump, going[node] == jump["_at"])
             .withColumn(node, F.col("_to"))
             .withColumn("depth", F.col("depth") + step)
             .drop("_at", "_to")
         )
-        # The least depth per node is when a looping walk first came by.
-        reach, held = counted(
-            reach.unionByName(further).groupBy(*seeds.columns, node).agg(F.min("depth").alias("depth")), "walk"
-        )
-        if held != size:
-            jump = _doubled(jump, "jump")
-            step *= 2
-    return reach
+        # The least depth per node is when a looping walk first came by; nodes it had before are not new.
+        least = going.unionByName(further).groupBy(*seeds.columns, node).agg(F.min("depth").alias("depth"))
+        last = 2 * step - 1
+        part, seen = measured(least.where(F.col("depth") >= step), "walk", full=F.count_if(F.col("depth") == last))
+        parts.append(part)
+        # A walk that did not get as far as the jump allows has ended.
+        held = seen["full"]
+        if held:
+            full = part.where(F.col("depth") == last).select(_same(seeds.columns).alias("_walk"))
+            walks = reduce(DataFrame.unionByName, parts).withColumn("_walk", _same(seeds.columns))
+            going = walks.join(full, "_walk", "left_semi").drop("_walk")
+            jump, step = _doubled(jump, "jump"), 2 * step
+    discard(jump)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ends(edges: DataFrame, node: str, link: str, end: str) -> DataFrame:
+    """Where the links from each node lead in the end; a node without a link is its own ``end``.
+
+    For links that never come back to a node. One row per node throughout.
+    """
+    at, left = measured(
+        edges.select(F.col(node).alias("_at"), F.coalesce(link, node).alias("_to")), "ends", moves=F.count_if(F.col(link).isNotNull())
+    )
+    while left["moves"]:
+        on = at.select(F.col("_at").alias("_to"), F.col("_to").alias("_next"))
+        further = at.join(on, "_to", "left").select("_at", "_to", F.coalesce("_next", "_to").alias("_next"))
+        moved = F.count_if(F.col("_next") != F.col("_to"))
+        nearer, left = measured(further, "ends", moves=moved)
+        discard(at)
+        at = nearer.select("_at", F.col("_next").alias("_to"))
+    return at.select(F.col("_at").alias(node), F.col("_to").alias(end))
 
 
 def both_ways(edges: DataFrame, seeds: DataFrame, node: str, prev: str, next_: str, seed: str) -> DataFrame:

@@ -24,6 +24,8 @@ def as_of(
     numbered = pages.where(F.col(number).isNotNull()).withColumn(start, F.lit(None).cast(kind)).withColumn("_page", F.lit(1))
     marks = starts.where(F.col(number).isNotNull()).groupBy(*keys).agg(F.min(start).alias(start))
     both = numbered.unionByName(marks.withColumn("_page", F.lit(0)), allowMissingColumns=True)
+    # Many pages may share a number: blocks are cut inside it, the row's own hash settling the order.
+    both = ordered.range_blocks(both, group, [number, "_page", F.xxhash64(*pages.columns)])
     found = ordered.scan(both, group, number, {"_start": ordered.known_before(start)}, ties=["_page"]).where("_page = 1")
     found = found.withColumn(start, F.col("_start")).select(*pages.columns, start)
     names = starts.where(F.col(number).isNull()).groupBy(*group, name).agg(F.min(start).alias(start))

@@ -129,30 +129,25 @@ def around_number(
     """For numbers that need not be listed: the last item before each and the first after it.
 
     ``listing`` has series, ``number``, ``item``; ``probes`` has series,
-    ``number`` and an id column ``probe``. One pass over the union, no join of
-    pairs.
+    ``number`` and an id column ``probe``. Of items sharing a number the
+    greatest stands before, the least after. One pass over the union, no join
+    of pairs: a listed number has a row below its probes, seen from below, and
+    one above them, seen from above, so that one order serves both ways and may
+    be cut into blocks anywhere.
     """
     keys = [*series, number]
-    kind = listing.schema[item].dataType
-    listed = listing.select(*keys, item, F.lit(None).cast(probes.schema[probe].dataType).alias(probe))
-    asked = probes.select(*keys, F.lit(None).cast(kind).alias(item), probe)
-    both = listed.unionByName(asked).withColumns(
-        {
-            # Strictly before and strictly after: a probe comes first among equals in either direction.
-            "_listed": F.col(probe).isNull().cast("int"),
-            "_probe": F.col(probe).isNotNull().cast("int"),
-        }
-    )
-    near = ordered.scan(
-        both,
-        series,
-        number,
-        {
-            "before": ordered.known_before(item, ties=["_listed"]),
-            "after": ordered.known_after(item, ties=["_probe"]),
-        },
+    nothing, asker = F.lit(None).cast(listing.schema[item].dataType), F.lit(None).cast(probes.schema[probe].dataType)
+    listed = listing.groupBy(*keys).agg(F.min(item).alias("_least"), F.max(item).alias("_greatest"))
+    sides = F.array(
+        F.struct(F.lit(0).alias("_side"), nothing.alias("_low"), F.col("_least").alias("_high")),
+        F.struct(F.lit(2).alias("_side"), F.col("_greatest").alias("_low"), nothing.alias("_high")),
     )
-    return near.where(F.col(probe).isNotNull()).select(*keys, probe, "before", "after")
+    shown = listed.select(*keys, F.inline(sides)).withColumn(probe, asker)
+    asked = probes.select(*keys, F.lit(1).alias("_side"), nothing.alias("_low"), nothing.alias("_high"), probe)
+    cut = ordered.range_blocks(shown.unionByName(asked), series, [number, "_side", probe])
+    outputs = {"before": ordered.known_before("_low"), "after": ordered.known_after("_high")}
+    near = ordered.scan(cut, series, number, outputs, ties=["_side"])
+    return near.where("_side = 1").select(*keys, probe, "before", "after")
 
 
 def number_from_neighbours(before: Column, after: Column) -> Column:

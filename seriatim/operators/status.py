@@ -54,7 +54,7 @@ def summarise(results: DataFrame, folders: DataFrame, work: Sequence[str], title
 
     ``folders`` names each work's directory (columns ``work`` or some of them,
     and ``folder``). Results are counted first, combined before the shuffle, so
-    names meet one row per work.
+    names meet one row per work. A work without a folder row has an empty folder name.
     """
     counts = {s: F.count_if(F.col(status) == s).alias(s) for s in STATUSES}
     told = results.groupBy(*work).agg(
@@ -62,7 +62,8 @@ def summarise(results: DataFrame, folders: DataFrame, work: Sequence[str], title
         F.count(F.lit(1)).alias("episodes"),
         F.min(title).alias("_title"),
     )
-    told = told.join(folders.withColumnRenamed(folder, "_folder"), [c for c in work if c in folders.columns])
+    told = told.join(folders.withColumnRenamed(folder, "_folder"), [c for c in work if c in folders.columns], "left")
+    told = told.withColumn("_folder", F.coalesce("_folder", F.lit("")))
     lead = F.coalesce(*[F.when(F.col(s) > 0, F.lit(s)) for s in STATUSES])
     rest = [
         F.when((F.col(s) > 0) & (F.col("lead") != s), F.concat(F.col(s).cast("string"), F.lit(f" {SHOWN[s]}")))
@@ -74,6 +75,7 @@ def summarise(results: DataFrame, folders: DataFrame, work: Sequence[str], title
         shown, F.lit(": "), F.col("_folder"), F.lit(" ("),
         F.concat_ws(", ", F.concat(led, F.lit(" episodes")), *rest), F.lit(")"),
     )
+    # The wording of the line for one locked episode.
     locked = F.concat(F.lit("skip: '"), F.col("_title"), F.lit("' needs a purchase, a wait or a login."))
     save_dir = F.concat_ws("/", "_folder", path_segment(F.col("_title")))
     one = F.when(F.col("lead") == "locked", locked).otherwise(F.concat(shown, F.lit(": "), save_dir))

@@ -19,17 +19,17 @@ query = REGISTRY.query
 @query(
     "j1_as_of_start",
     """
-SELECT p.event_id, CASE WHEN p.event_type = 'view'
+SELECT p.event_id, CASE WHEN p.event_type IN ('view', 'click')
     THEN (SELECT max(s.event_id) FROM events s WHERE s.user_id = p.user_id AND s.event_type = 'signup' AND s.event_id <= p.event_id)
     ELSE (SELECT min(s.event_id) FROM events s WHERE s.user_id = p.user_id AND s.event_type = 'purchase' AND s.props = p.props) END AS start
-FROM events p WHERE p.event_type IN ('view', 'error')""",
+FROM events p WHERE p.event_type IN ('view', 'click', 'error')""",
 )
 def j1(spark, folder):
-    """Views take the sign-up at or before them, errors only a purchase of the same name."""
+    """Views and clicks take the sign-up at or before them, errors only a purchase of the same name."""
     events = table(spark, folder, "events", "event_id", "user_id", "event_type", "props")
     kind = F.col("event_type")
-    pages = events.where(kind.isin("view", "error")).select(
-        "event_id", "user_id", F.when(kind == "view", F.col("event_id")).alias("number"), F.col("props").alias("name")
+    pages = events.where(kind.isin("view", "click", "error")).select(
+        "event_id", "user_id", F.when(kind != "error", F.col("event_id")).alias("number"), F.col("props").alias("name")
     )
     starts = events.where(kind.isin("signup", "purchase")).select(
         "user_id",
@@ -150,13 +150,14 @@ def j6_runs(spark, folder):
         "listing",
         body="""
 SELECT series_id, episode_id, pos FROM listing WHERE priority LIKE '1-%'
-UNION ALL SELECT series_id, episode_id, pos FROM listing l WHERE priority LIKE '2-%'
+UNION ALL SELECT series_id, episode_id, pos FROM listing l WHERE priority NOT LIKE '1-%'
   AND NOT EXISTS (SELECT 1 FROM listing p WHERE p.series_id = l.series_id AND p.priority LIKE '1-%')""",
     ),
 )
 def j6_fallback(spark, folder):
     listed = views.listing(spark, folder).select("series_id", "episode_id", "pos", "priority")
-    preferred, second = (listed.where(F.col("priority").like(like)).drop("priority") for like in ("1-%", "2-%"))
+    first = F.col("priority").like("1-%")
+    preferred, second = (listed.where(which).drop("priority") for which in (first, ~first))
     return joins.preferred_or_else(preferred, second, ["series_id"])
 
 

@@ -15,7 +15,7 @@ from seriatim.operators.links import unescape
 
 def script_json(html: Column, element_id: str) -> Column:
     """The body of ``<script id=...>`` as a variant; null when absent or no JSON."""
-    body = F.regexp_extract(html, rf"(?is)<script\b[^>]*\bid\s*=\s*[\"']{element_id}[\"'][^>]*>(.*?)</script\s*>", 1)
+    body = F.regexp_extract(html, rf"(?is)<script\b[^>]*(?<![\w\-])id\s*=\s*[\"']{element_id}[\"'][^>]*>(.*?)</script\s*>", 1)
     return F.try_parse_json(F.nullif(U.strip(body), F.lit("")))
 
 
@@ -27,8 +27,9 @@ def attribute_json(html: Column, attribute: str) -> Column:
 
 
 def assigned_json(html: Column, name: str) -> Column:
-    """The array a script assigns to ``name``, up to the bracket and semicolon that end it."""
-    body = F.regexp_extract(html, rf"(?is)\b{name}\s*=\s*(\[.*?\])\s*(?:;|</script)", 1)
+    """The array a script assigns to ``name``, up to the bracket and semicolon that end it; those in strings end nothing."""
+    text, ends = r'"(?:[^"\\]++|\\.)*+"', r"\](?=\s*(?:;|</script))"
+    body = F.regexp_extract(html, rf"(?is)\b{name}\s*=\s*(\[(?:[^\]\"]++|{text}|(?!{ends})\])*+\])\s*(?:;|</script)", 1)
     return F.try_parse_json(F.nullif(body, F.lit("")))
 
 

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths handed out and not yet removed, by application; the driver's own names of folders, no data.
+_handed_out: dict[str, set[str]] = {}
+#: Where a table that ``written`` gave lies.
+_lies_at: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
+    """The folder named in ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
 
     Only a local session without one gets a folder of its own: on a cluster a
     machine's own folder would be lost with the machine.
@@ -18,10 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -29,7 +36,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of the shared folder no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``written`` gave and that no plan in use reads any more."""
+    path = _lies_at.pop(df, None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+        _handed_out[df.sparkSession.sparkContext.applicationId].discard(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Remove what this application has left in the shared folder; how many tables that were.
+
+    To be called once the results are consumed: DataFrames that read those tables fail afterwards.
+    """
+    paths = _handed_out.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +76,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """``written``, with the number of rows the write itself counted."""
+    table, seen = measured(df, name)
+    return table, seen["rows"]
+
+
+def measured(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``written``, with ``rows`` and further aggregates the write itself worked out."""
     spark = df.sparkSession
     path, seen = new_path(spark, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    also = [value.alias(key) for key, value in counts.items()]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *also).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _lies_at[table] = path
+    return table, seen.get
