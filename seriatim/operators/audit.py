@@ -33,6 +33,11 @@ def inventory(rules: DataFrame) -> DataFrame:
     )
 
 
+def inventory_forms(rules: DataFrame) -> DataFrame:
+    """What ``inventory`` counts: each host of a rule with every URL form it takes there."""
+    return rules.select("priority", "rule", F.lower("host").alias("host"), "form", "kind").distinct()
+
+
 def registry_gaps(rules: DataFrame, publishers: DataFrame, samples: DataFrame, url: str = "url") -> DataFrame:
     """What the registry lacks, as ``host`` and ``problem``.
 

@@ -100,16 +100,16 @@ def ends(edges: DataFrame, node: str, link: str, end: str) -> DataFrame:
 
     For links that never come back to a node. One row per node throughout.
     """
-    at, left = measured(
-        edges.select(F.col(node).alias("_at"), F.coalesce(link, node).alias("_to")), "ends", moves=F.count_if(F.col(link).isNotNull())
-    )
+    first = edges.select(F.col(node).alias("_at"), F.coalesce(link, node).alias("_to"))
+    at, left = measured(first, "ends", moves=F.count_if(F.col("_to") != F.col("_at")))
     while left["moves"]:
         on = at.select(F.col("_at").alias("_to"), F.col("_to").alias("_next"))
-        further = at.join(on, "_to", "left").select("_at", "_to", F.coalesce("_next", "_to").alias("_next"))
-        moved = F.count_if(F.col("_next") != F.col("_to"))
-        nearer, left = measured(further, "ends", moves=moved)
+        further = at.select("_at", "_to").join(on, "_to", "left").select(
+            "_at", F.coalesce("_next", "_to").alias("_to"), (F.col("_next") != F.col("_to")).alias("_moved")
+        )
+        nearer, left = measured(further, "ends", moves=F.count_if("_moved"))
         discard(at)
-        at = nearer.select("_at", F.col("_next").alias("_to"))
+        at = nearer
     return at.select(F.col("_at").alias(node), F.col("_to").alias(end))
 
 

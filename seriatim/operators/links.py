@@ -7,7 +7,7 @@ shuffle, and a page is never larger than its own text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -166,12 +166,16 @@ def expand_pages(df: DataFrame, url: str, last: str) -> DataFrame:
     )
 
 
-def fresh_links(links: DataFrame, group: list[str], page_no: str, link: str = "link", pos: str = "pos") -> DataFrame:
+def fresh_links(
+    links: DataFrame, group: list[str], page_no: str, link: str = "link", pos: str = "pos", keep: Sequence[str] = ()
+) -> DataFrame:
     """Links not seen on an earlier page of their group: one row per (group, link) at its first page and place.
 
+    ``keep`` names further columns of that row.
+
     A map-side combined minimum per link; a hot group is spread by its links.
     """
-    return ordered.first_of_each(links, [*group, link], page_no, [pos], ties=[pos])
+    return ordered.first_of_each(links, [*group, link], page_no, [pos, *keep], ties=[pos])
 
 
 def _stopped_before(pages: DataFrame, fresh: DataFrame, group: list[str], page_no: str, failed: str) -> DataFrame:
@@ -193,6 +197,7 @@ def paginate(
     failed: str,
     *,
     open_ended: bool | str,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Fresh links of a group's pages, page after page.
 
@@ -203,7 +208,7 @@ def paginate(
     group is.
     """
     readable = links.join(pages.where(~F.col(failed)).select(*group, page_no), [*group, page_no], "left_semi")
-    fresh = fresh_links(readable, group, page_no)
+    fresh = fresh_links(readable, group, page_no, keep=keep)
     if open_ended is False:
         return fresh
     # Written once: both the stop and the links before it are read off them.

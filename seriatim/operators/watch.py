@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriatim.operators import chain, ordered
+from seriatim.sources.shared import written
 
 
 def next_entries(visited: DataFrame, entry: str, depth: str, url: str, title: str, state: str) -> DataFrame:
@@ -32,19 +33,26 @@ def upsert(watchlist: DataFrame, updates: DataFrame) -> DataFrame:
     """The watch list with updates applied: ``pos``, ``url``, ``title``, ``search``.
 
     ``updates`` has ``seq``, ``url``, ``replacing`` (the entry's former url or
-    null), ``title``, ``search``. An update changes the first entry under its
-    new or its former url, else it is appended; an empty title keeps the old
-    one; of several updates for one entry the last by ``seq`` counts, and for
-    the title the last that has one.
+    null), ``title``, ``search``. An update changes the first entry the list
+    held under its new or its former url; where it held none, the update goes on
+    from the last one before it that gave either url, and so changes what that
+    one changed or appended. What is left is appended in order. Of several
+    updates for one entry the last by ``seq`` counts, and for the title the
+    last that has one.
     """
-    keys = F.explode(F.array_distinct(F.array("url", F.coalesce("replacing", "url")))).alias("_url")
+    updates = written(updates, "updates")
     hits = (
-        updates.select("seq", keys)
+        _named(updates)
         .join(watchlist.select(F.col("url").alias("_url"), "pos"), "_url")
         .groupBy("seq")
         .agg(F.min("pos").alias("_target"))
     )
-    aimed = updates.join(hits, "seq", "left")
+    hits = written(hits, "hits")
+    open_ = updates.join(hits, "seq", "left_anti")
+    roots = chain.ends(_linked(updates, open_), "seq", "_from", "_root")
+    # Roots are few or the updates themselves; an update's target is that of its root.
+    targets = hits.withColumnRenamed("seq", "_root")
+    aimed = written(updates.join(roots, "seq").join(targets, "_root", "left"), "aimed")
     title = F.max_by("title", F.when(F.col("title") != "", F.col("seq"))).alias("_title")
     row = F.max(F.struct("seq", "url", "search")).alias("_new")
     changes = aimed.where(F.col("_target").isNotNull()).groupBy(F.col("_target").alias("pos")).agg(row, title)
@@ -55,32 +63,68 @@ def upsert(watchlist: DataFrame, updates: DataFrame) -> DataFrame:
         F.coalesce("_title", "title").alias("title"),
         F.coalesce(F.col("_new.search"), F.col("search")).alias("search"),
     )
-    # Updates without an entry go to the end in order; one url is appended once, its last update counting.
-    fresh = aimed.where(F.col("_target").isNull()).groupBy("url").agg(
-        F.min("seq").alias("_at"), F.max(F.struct("seq", "search")).alias("_new"), title
-    )
+    fresh = aimed.where(F.col("_target").isNull()).groupBy("_root").agg(row, title)
     end = watchlist.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("end")).scalar()
-    appended = ordered.number_rows(fresh, [], "_at", "_n").select(
-        (end + F.col("_n")).alias("pos"), "url", F.coalesce("_title", F.lit("")).alias("title"), F.col("_new.search").alias("search")
+    appended = ordered.number_rows(fresh, [], "_root", "_n").select(
+        (end + F.col("_n")).alias("pos"),
+        F.col("_new.url").alias("url"),
+        F.coalesce("_title", F.lit("")).alias("title"),
+        F.col("_new.search").alias("search"),
     )
     return kept.unionByName(appended)
 
 
-def patrol(watchlist: DataFrame, edges: DataFrame, episodes: DataFrame) -> DataFrame:
+def _named(updates: DataFrame) -> DataFrame:
+    """The one or two urls each update looks an entry up by."""
+    urls = F.array_distinct(F.array("url", F.coalesce("replacing", "url")))
+    return updates.select("seq", F.explode(urls).alias("_url"))
+
+
+def _linked(updates: DataFrame, open_: DataFrame) -> DataFrame:
+    """Every update with the one it goes on from, as ``_from``; null for those that start from the list or from nothing."""
+    nobody = F.lit(None).cast(updates.schema["seq"].dataType)
+    gives = updates.select("seq", F.col("url").alias("_url"), F.col("seq").alias("_by"), F.lit(1).alias("_gives"))
+    asks = _named(open_).select("seq", "_url", nobody.alias("_by"), F.lit(0).alias("_gives"))
+    # an update does not go on from itself: it asks before it gives
+    seen = ordered.scan(gives.unionByName(asks), ["_url"], "seq", {"_from": ordered.known_before("_by")}, ties=["_gives"])
+    last = seen.where("_gives = 0").groupBy("seq").agg(F.max("_from").alias("_from"))
+    return updates.select("seq").join(last, "seq", "left")
+
+
+def _series_visits(watchlist: DataFrame, listings: DataFrame, episodes: DataFrame) -> DataFrame:
+    """What visits to the series entries read: each listed episode once, at its first place."""
+    series = watchlist.where("NOT chain AND NOT search").select(F.col("pos").alias("entry"), F.col("url").alias("series_url"))
+    listed = series.join(listings.withColumnRenamed("pos", "depth"), "series_url")
+    once = listed.groupBy("entry", F.col("episode_url").alias("url")).agg(F.min("depth").alias("depth"))
+    return once.join(episodes.select("url", "series_title", "status"), "url")
+
+
+def patrol(watchlist: DataFrame, edges: DataFrame, episodes: DataFrame, listings: DataFrame | None = None) -> DataFrame:
     """Re-visit every entry of the watch list and give the list to keep.
 
     ``watchlist``: ``pos``, ``url``, ``title``, ``search``, ``chain`` (a chain
-    entry is walked on from its episode; series and search pages stay as they
-    are). ``edges``: ``url``, ``next_url``. ``episodes``: ``url``, ``series_title``,
-    ``status``. An entry whose url has no episode fails and is kept.
+    entry is walked on from its episode). ``edges``: ``url``, ``next_url``.
+    ``episodes``: ``url``, ``series_title``, ``status``. ``listings``:
+    ``series_url``, ``pos``, ``episode_url``; a series entry visits the episodes
+    listed there, stays where it is and takes the title of the last. An entry
+    without an episode, or with locked ones only, is kept as it is; so is a
+    search entry, whose links ``seriatim.visits.search_again`` gives.
     """
     seeds = watchlist.where("chain").select(F.col("pos").alias("entry"), F.col("url").alias("start"))
     walked = chain.walk(edges.select("url", "next_url"), seeds, "url", "next_url", "start")
     visited = walked.join(episodes.select("url", "series_title", "status"), "url")
-    stands = next_entries(visited, "entry", "depth", "url", "series_title", "status")
+    stands = next_entries(visited, "entry", "depth", "url", "series_title", "status").withColumn("_stays", F.lit(False))
+    if listings is not None:
+        seen = _series_visits(watchlist, listings, episodes)
+        series = next_entries(seen, "entry", "depth", "url", "series_title", "status")
+        stands = stands.unionByName(series.withColumn("_stays", F.lit(True)))
     moved = watchlist.select(F.col("pos").alias("entry"), F.col("url").alias("replacing")).join(stands, "entry")
     updates = moved.select(
-        F.col("entry").alias("seq"), "url", "replacing", F.col("series_title").alias("title"), F.lit(False).alias("search")
+        F.col("entry").alias("seq"),
+        F.when(F.col("_stays"), F.col("replacing")).otherwise(F.col("url")).alias("url"),
+        "replacing",
+        F.col("series_title").alias("title"),
+        F.lit(False).alias("search"),
     )
     return upsert(watchlist.select("pos", "url", "title", "search"), updates)
 
@@ -89,5 +133,3 @@ def transitions(observed: DataFrame, key: str, order: str, state: str, frm: str,
     """Observations where a key's state turned from ``frm`` to ``to`` since the one before."""
     seen = ordered.neighbours(observed, [key], order, state, "_before", "_after")
     return seen.where((F.col("_before") == frm) & (F.col(state) == to)).drop("_before", "_after")
-
-

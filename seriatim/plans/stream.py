@@ -61,12 +61,11 @@ def t1_watchlist(spark, folder):
 
 @query("t2_new_items", _OBSERVED + "SELECT DISTINCT entry, episode FROM seen")
 def t2(spark, folder):
-    """Every (entry, episode) the first time it is seen; kept for as long as the crawl spans."""
+    """Every (entry, episode) the first time it is seen."""
     path = new_path(spark, "news")
-    stream = _stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    items = news.new_items(stream, ["entry", "episode"], "ts", "40 days").select("entry", "episode")
-    news.write_available(items, f"{path}/table", f"{path}/checkpoint")
-    return spark.read.schema("entry bigint, episode bigint").parquet(f"{path}/table")
+    stream = _stream(spark, folder).select("entry", "episode")
+    news.first_seen(stream, stream.columns, f"{path}/table", f"{path}/checkpoint")
+    return batches.read_batches(spark, f"{path}/table", stream.schema).drop(batches.BATCH)
 
 
 _TURNED = (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriatim.functions import dates as D
 from seriatim.functions import urls as U
-from seriatim.operators import audit, routing, status, watch
+from seriatim.operators import audit, ordered, routing, status, watch
 from seriatim.plans import views
 from seriatim.plans.registry import Registry
 from seriatim.plans.views import sql
@@ -152,6 +152,41 @@ def a6(spark, folder):
     return watch.upsert(watched, updates)
 
 
+@query(
+    "a6_watchlist_moves",
+    """
+WITH watched AS (SELECT c_custkey AS pos, 'w' || c_custkey AS url, c_name AS title, false AS search FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'),
+new AS (SELECT o_custkey, o_orderkey AS seq, 'e' || o_orderkey AS url, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'title ' || o_orderkey END AS title,
+    o_orderpriority > '5' AS search FROM orders),
+stand AS (SELECT o_custkey, min(seq) AS first, arg_max(url, seq) AS url, arg_max(title, seq) FILTER (WHERE title <> '') AS title,
+    arg_max(search, seq) AS search FROM new GROUP BY o_custkey)
+SELECT w.pos, coalesce(s.url, w.url) AS url, coalesce(s.title, w.title) AS title, coalesce(s.search, w.search) AS search
+FROM watched w LEFT JOIN stand s ON s.o_custkey = w.pos
+UNION ALL SELECT (SELECT max(pos) FROM watched) + row_number() OVER (ORDER BY first), url, coalesce(title, ''), search
+FROM stand WHERE NOT EXISTS (SELECT 1 FROM watched WHERE pos = o_custkey)""",
+)
+def a6_moves(spark, folder):
+    """Entries that move on with every order of their customer; customers not on the list are appended once."""
+    customer = table(spark, folder, "customer", "c_custkey", "c_name", "c_mktsegment")
+    orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+
+    def tag(letter, column):
+        return F.concat(F.lit(letter), F.col(column).cast("string"))
+
+    watched = customer.where("c_mktsegment <> 'HOUSEHOLD'").select(
+        F.col("c_custkey").alias("pos"), tag("w", "c_custkey").alias("url"), F.col("c_name").alias("title"), F.lit(False).alias("search")
+    )
+    moves = ordered.scan(orders, ["o_custkey"], "o_orderkey", {"before": ordered.before("o_orderkey")})
+    updates = moves.select(
+        F.col("o_orderkey").alias("seq"),
+        tag("e", "o_orderkey").alias("url"),
+        F.coalesce(tag("e", "before"), tag("w", "o_custkey")).alias("replacing"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(tag("title ", "o_orderkey")).alias("title"),
+        (F.substring("o_orderpriority", 1, 1) == "5").alias("search"),
+    )
+    return watch.upsert(watched, updates)
+
+
 @query(
     "a7_patrol",
     sql(
@@ -162,7 +197,7 @@ before AS (SELECT pos, CASE WHEN kind = 'HOUSEHOLD' THEN 'search/' || pos WHEN k
     ELSE 'episode/' || coalesce(first, -1 - pos) END AS url, '' AS title, kind = 'HOUSEHOLD' AS search, kind, name FROM entry),
 stand AS (SELECT series_id, coalesce(min(episode_id) FILTER (WHERE status = 'locked'), max(episode_id)) AS at
   FROM result GROUP BY series_id HAVING NOT bool_and(status = 'locked'))
-SELECT b.pos, CASE WHEN moved THEN 'episode/' || s.at ELSE b.url END AS url, CASE WHEN moved THEN b.name ELSE b.title END AS title, b.search
+SELECT b.pos, CASE WHEN moved THEN 'episode/' || s.at ELSE b.url END AS url, CASE WHEN moved OR (kind = 'MACHINERY' AND s.at IS NOT NULL) THEN b.name ELSE b.title END AS title, b.search
 FROM (SELECT *, kind NOT IN ('HOUSEHOLD', 'MACHINERY') AS walked FROM before) b LEFT JOIN stand s ON s.series_id = b.pos,
 LATERAL (SELECT walked AND s.at IS NOT NULL AS moved)""",
     ),
@@ -193,7 +228,10 @@ def a7(spark, folder):
     episodes = views.result(spark, folder).join(titles, "series_id").select(
         url_of("episode", F.col("episode_id")).alias("url"), "series_title", "status"
     )
-    return watch.patrol(watched, edges, episodes)
+    listings = views.listing(spark, folder).select(
+        url_of("series", F.col("series_id")).alias("series_url"), "pos", url_of("episode", F.col("episode_id")).alias("episode_url")
+    )
+    return watch.patrol(watched, edges, episodes, listings)
 
 
 @query(
@@ -204,6 +242,15 @@ def a8(spark, folder):
     return audit.inventory(views.site_rule(spark, folder))
 
 
+@query(
+    "a8_inventory_forms",
+    sql("site_rule", body="SELECT DISTINCT priority, rule, lower(host) AS host, form, kind FROM site_rule"),
+)
+def a8_forms(spark, folder):
+    """The whole inventory: every host of every rule with the forms it takes."""
+    return audit.inventory_forms(views.site_rule(spark, folder))
+
+
 @query(
     "a9_availability",
     sql(

@@ -5,17 +5,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from seriatim.streaming import batches
 
 
 def new_items(stream: DataFrame, keys: Sequence[str], at: str, keep_for: str) -> DataFrame:
     """Each item once within ``keep_for`` of its event time.
 
     The watermark bounds the state: an item seen again later than that counts
-    as new. Exact first-ever items are a batch anti-join against what is known.
+    as new; ``first_seen`` never forgets.
     """
     return stream.withWatermark(at, keep_for).dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_seen(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> None:
+    """Each item once, however far apart its sightings lie: a batch keeps what no earlier batch wrote.
+
+    What was written is the state, so none is held in memory and none expires.
+    """
+    key = F.struct(*keys).alias("_key")  # nulls are equal in it
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(*keys).distinct()
+        if batch_id > 0:
+            held = batches.read_batches(batch.sparkSession, path, fresh.schema, batch_id)
+            fresh = fresh.select("*", key).join(held.select(key), "_key", "left_anti").drop("_key")
+        batches.write_batch(fresh, path, batch_id)
+
+    batches.run_available(stream, handle, checkpoint)
+
+
 def write_available(items: DataFrame, path: str, checkpoint: str) -> None:
     """Write what has landed to a folder, once per item, then stop."""
     started = (

@@ -40,13 +40,16 @@ def visit(
     *,
     bulk: bool = False,
     back: bool = False,
+    report: bool = False,
 ) -> DataFrame:
     """Every episode a visit to each URL reads, with what became of it.
 
     A series URL stands for the episodes it lists; an episode URL for itself
     and, with ``bulk``, the ones after it, with ``back`` the ones before it.
-    URLs no rule takes and listed episodes without a record are left out.
-    ``place`` is the reading order inside a visit.
+    URLs no rule takes and listed episodes without a record are left out, or
+    with ``report`` come as rows of status ``unrouted`` and ``failed``, a series
+    without a listing and an episode without a link record too. ``place`` is the
+    reading order inside a visit.
     """
     routed = find_rule(urls.select("url").distinct(), rules)
     listed = series_urls(routed.where("kind = 'series'"), listings).select(
@@ -61,16 +64,32 @@ def visit(
     else:
         walked = seeds.select("visit", F.col("visit").alias("url"), F.lit(0).cast("bigint").alias("depth"))
     reached = listed.unionByName(walked.withColumnRenamed("depth", "place"))
-    return reached.join(episodes, "url")
+    if not report:
+        return reached.join(episodes, "url")
+    # What led nowhere stands for itself, at no place.
+    asked = routed.select(F.col("url").alias("visit"), F.coalesce("kind", F.lit("")).alias("_kind"))
+    nowhere = asked.join(reached.select("visit").distinct(), "visit", "left_anti")
+    nowhere = nowhere.select("visit", F.col("visit").alias("url"), F.lit(None).cast("bigint").alias("place"), "_kind")
+    known = episodes.withColumn("_known", F.lit(True))
+    told = reached.withColumn("_kind", F.lit("episode")).unionByName(nowhere).join(known, "url", "left")
+    lost = F.when(F.col("_kind") == "", F.lit("unrouted")).when(F.col("_known").isNull() | F.col("place").isNull(), F.lit("failed"))
+    return told.withColumn("status", F.coalesce(lost, F.col("status"))).drop("_kind", "_known")
 
 
-def search(templates: DataFrame, pages: DataFrame, rules: DataFrame, page: str = "url") -> DataFrame:
+def search_again(watchlist: DataFrame, pages: DataFrame, rules: DataFrame, last: str, page: str = "url") -> DataFrame:
+    """``search`` for the search entries of a watch list; ``last`` names its column for the end of open ranges."""
+    templates = watchlist.where("search").select(F.col("url").alias("search"), F.col(last).alias("last"))
+    return search(templates, pages, rules, page)
+
+
+def search(templates: DataFrame, pages: DataFrame, rules: DataFrame, page: str = "url", only: str | None = None) -> DataFrame:
     """The links that numbered search pages newly offer, with the rule that takes each.
 
     ``templates`` has ``search`` (a URL, usually with a page range) and ``last``
     (where an open-ended range ends at the latest). A page that never landed
     has failed; of several landings of one page the first counts. Pages are
-    told apart by ``page``, of which only the fragment is cut.
+    told apart by ``page``, of which only the fragment is cut. ``only`` names the
+    one rule whose links count.
     """
     expanded = links.expand_pages(templates.distinct(), "search", "last").select(
         "search", F.coalesce("page_no", F.lit(0)).alias("page_no"), "open_ended", U.drop_fragment(F.col("page_url")).alias("_page")
@@ -84,7 +103,7 @@ def search(templates: DataFrame, pages: DataFrame, rules: DataFrame, page: str =
         "asked",
     )
     wanted = pages.join(asked.select("page_id").where("page_id IS NOT NULL").distinct(), "page_id", "left_semi")
-    taken = links.downloadable_links(wanted.drop(*({page} - {"url"})), rules).select("page_id", "pos", "link", "rule", "kind")
-    found = asked.join(taken, "page_id").select("search", "page_no", "pos", "link")
-    fresh = links.paginate(asked, found, ["search"], "page_no", "failed", open_ended="open_ended")
-    return routing.route(fresh, rules, "link")
+    mine = rules if only is None else rules.where(F.col("rule") == only)
+    taken = links.downloadable_links(wanted.drop(*({page} - {"url"})), mine).select("page_id", "pos", "link", "rule", "kind")
+    found = asked.join(taken, "page_id").select("search", "page_no", "pos", "link", "rule", "kind")
+    return links.paginate(asked, found, ["search"], "page_no", "failed", open_ended="open_ended", keep=["rule", "kind"])
