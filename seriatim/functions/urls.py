@@ -86,8 +86,23 @@ def force_https(url: Column) -> Column:
     return F.regexp_replace(url, "^[hH][tT][tT][pP]:", "https:")
 
 
+def drop_suffix(url: Column, suffix: str) -> Column:
+    """A closing ``suffix`` such as ``.json`` cut once, and nothing else."""
+    return F.when(F.endswith(url, F.lit(suffix)), F.left(url, F.length(url) - len(suffix))).otherwise(url)
+
+
+def drop_slashes(url: Column) -> Column:
+    """Closing slashes cut, and nothing else."""
+    return F.rtrim(url, F.lit("/"))
+
+
 def canonical(url: Column) -> Column:
-    """Query, fragment, page suffix and closing slash cut, scheme forced to https."""
+    """All cuts in one: query, fragment, ``.json`` or ``.html`` and closing slash, scheme forced to https.
+
+    For sites known to spell one page in all these ways. Elsewhere the rules
+    stand alone: ``drop_suffix``, ``force_https``, ``drop_slashes``,
+    ``drop_query``; ``.html`` then stays.
+    """
     return force_https(F.regexp_replace(url, r"(\.json|\.html)?/?([?#][\s\S]*)?$", ""))
 
 

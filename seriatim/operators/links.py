@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriatim.functions import urls as U
+from seriatim.functions.bind import let
 from seriatim.operators import ordered, routing
 from seriatim.sources.shared import written
 
@@ -258,6 +259,47 @@ def listing_end(
     )
 
 
+#: The class of images that are characters of the text.
+EMOJI = "emoji"
+#: The class of the block that holds the page of a one-block comic.
+COMIC_BLOCK = "comic-image"
+IMAGE = rf"(?is)<img\b{_REST}>"
+#: Blocks of a body, and images that stand alone in it.
+BODY_BLOCK = rf"(?is)<(p|div|figure|h[1-6]|ul|ol|blockquote|table|section)\b{_REST}>.*?</\1\s*>|<img\b{_REST}>"
+
+
+def page_images(markup: Column) -> Column:
+    """The sources of a block's images in order; emoji and images without a source are none."""
+    tags = F.regexp_extract_all(markup, F.lit(IMAGE), F.lit(0))
+    emoji = rf"(?is)\sclass\s*=\s*(?:\"(?:[^\"]*\s)?{EMOJI}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{EMOJI}(?:\s[^']*)?'|{EMOJI}[\s>/])"
+    own = F.filter(tags, lambda tag: ~tag.rlike(emoji))
+    sources = F.transform(own, lambda tag: _unquoted(F.regexp_extract(tag, r"(?is)\ssrc\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)))
+    return F.filter(sources, lambda source: source != "")
+
+
+def article_blocks(html: Column) -> Column:
+    """A body's blocks as ``(image, prose)``: so many page images, or so many characters of prose.
+
+    A block with text is prose, whatever images stand in it. A body with a
+    ``comic-image`` block has that block alone. A block ends at the first end of
+    its own tag, so one nested in another of its kind counts as the next; text
+    outside all blocks is not counted.
+    """
+    shown = F.regexp_replace(visible(html), NOSCRIPT, "")
+    comic = rf"(?is)<div\b[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?{COMIC_BLOCK}(?:\s[^\"']*)?[\"'][^>]*>.*?</div\s*>"
+
+    def block_of(markup: Column) -> Column:
+        prose = F.length(text_of(markup))
+        images = F.when(prose > 0, F.lit(0)).otherwise(F.size(page_images(markup)))
+        return F.struct(images.alias("image"), prose.alias("prose"))
+
+    def read(only: Column) -> Column:
+        alone = F.array(F.struct(F.size(page_images(only)).alias("image"), F.lit(0).alias("prose")))
+        return F.when(only != "", alone).otherwise(F.transform(F.regexp_extract_all(shown, F.lit(BODY_BLOCK), F.lit(0)), block_of))
+
+    return let(F.regexp_extract(shown, comic, 0), read)
+
+
 def body_blocks(html: Column, is_image: Callable[[Column], Column]) -> Column:
     """A body's paragraphs as ``(image, prose)``: a page image, or so many characters of prose.
 
@@ -278,15 +320,16 @@ def body_blocks(html: Column, is_image: Callable[[Column], Column]) -> Column:
 def own_pages(blocks: Column) -> Column:
     """``(images, prose)``: the page images, and the prose between the first and the last of them.
 
-    One fold over the blocks: prose counts once an image stands before and
+    ``image`` of a block is a count, or whether it is one image. One fold over the blocks: prose counts once an image stands before and
     another one after it.
     """
     start = F.struct(F.lit(0).alias("images"), F.lit(0).alias("prose"), F.lit(0).alias("pending"))
 
     def step(held: Column, b: Column) -> Column:
-        image = b["image"]
+        images = b["image"].cast("int")
+        image = images > 0
         return F.struct(
-            (held["images"] + image.cast("int")).alias("images"),
+            (held["images"] + images).alias("images"),
             F.when(image, held["prose"] + held["pending"]).otherwise(held["prose"]).alias("prose"),
             F.when(image | (held["images"] == 0), F.lit(0)).otherwise(held["pending"] + b["prose"]).alias("pending"),
         )

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from seriatim import visits
-from seriatim.functions import dates
+from seriatim.functions import dates, urls
 from seriatim.operators import chain, listing, links, watch
 from seriatim.sources import crawl, shared
 from seriatim.streaming import batches, news
@@ -153,3 +153,23 @@ def test_shared_tables_go(spark):
     assert not os.path.exists(path)
     other = shared.written(spark.range(3), "kept").inputFiles()[0].removeprefix("file:").replace("//", "/")
     assert shared.cleanup(spark) > 0 and not os.path.exists(other)
+
+
+def test_article_blocks(spark):
+    bodies = {
+        '<p><img src="1"><img src="2"></p><p>said</p><figure><img src="3"/></figure>': (3, 4),
+        '<p><img class="emoji" src="e"></p><p><img src="1"></p><p>text <img src="2"></p>': (1, 0),
+        '<p>long text</p><div class="wide comic-image"><img src="1"><img src="2"></div><p><img src="3"></p>': (2, 0),
+        '<img src="1"><p>ab</p><noscript><img src="9"></noscript><img src="">': (1, 0),
+        "": (0, 0),
+    }
+    df = spark.createDataFrame([(b,) for b in bodies], "html string")
+    got = {r["html"]: tuple(r["own"]) for r in df.select("html", links.own_pages(links.article_blocks(F.col("html"))).alias("own")).collect()}
+    assert got == bodies
+
+
+def test_single_url_rules(spark):
+    told = {"https://a/e/1.json": "https://a/e/1", "https://a/e/1.html": "https://a/e/1.html", "https://a/e/1.json/": "https://a/e/1.json/"}
+    df = spark.createDataFrame([(u,) for u in told], "u string")
+    assert {r["u"]: r["c"] for r in df.select("u", urls.drop_suffix(F.col("u"), ".json").alias("c")).collect()} == told
+    assert df.select(urls.drop_slashes(F.lit("https://a/e//")).alias("c")).first()["c"] == "https://a/e"
