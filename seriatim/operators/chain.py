@@ -95,6 +95,24 @@ def walk(
     return reduce(DataFrame.unionByName, parts)
 
 
+def links_inside(edges: DataFrame, node: str, link: str, title: str, starts: DataFrame | None = None) -> DataFrame:
+    """The link table with those links nulled that lead out of an episode; every node keeps its record.
+
+    A link leads out where the node it names has another ``title`` (null is a
+    title like any other) or is one of ``starts``, a table of one column: the
+    first pages of listed episodes. A walk from a start then stays in its episode.
+    """
+    onto = edges.select(F.col(node).alias("_onto"), F.struct(title).alias("_titled"))
+    starts_one = F.lit(False)
+    if starts is not None:
+        first = starts.select(F.col(starts.columns[0]).alias("_onto"), F.lit(True).alias("_starts")).distinct()
+        onto, starts_one = onto.join(first, "_onto", "left"), F.col("_starts").isNotNull()
+    onto = onto.withColumn("_first", starts_one).select("_onto", "_titled", "_first")
+    out = F.col("_first") | (F.col("_titled") != F.struct(title))
+    kept = F.when(F.col("_onto").isNull() | ~out, F.col(link))
+    return edges.join(onto, F.col(link) == F.col("_onto"), "left").withColumn(link, kept).select(*edges.columns)
+
+
 def ends(edges: DataFrame, node: str, link: str, end: str) -> DataFrame:
     """Where the links from each node lead in the end; a node without a link is its own ``end``.
 

@@ -136,6 +136,39 @@ def same_host_links(pages: DataFrame, within: str, path_regex: str, base: str =
     return links.where(U.path(link).rlike(path_regex) & (U.host(link) == U.host(F.col(base))))
 
 
+def own_work_links(
+    pages: DataFrame, within: str | None, path_regex: str, own: str = "^/([^/]+)", base: str = "url", html: str = "html"
+) -> DataFrame:
+    """Links that name the page's own work, whatever their host.
+
+    The first group of ``path_regex`` over a link's path is the link's work, that
+    of ``own`` over the page's path the page's; a link or page without one has none.
+    """
+    links = page_links(pages, base, html, within)
+    return links.where(U.path_group(F.col("link"), path_regex) == U.path_group(F.col(base), own))
+
+
+def shaped_links(
+    pages: DataFrame, path_regex: str, base: str = "url", html: str = "html", within: str | None = None
+) -> DataFrame:
+    """Links whose path has the given shape, on any host, the page itself included.
+
+    Query and fragment are cut before repeats are dropped; ``pos`` counts what
+    is left from 1.
+    """
+    markup = F.col(html) if within is None else block(F.col(html), within)
+    kept = [c for c in pages.columns if c != html]
+    found = F.transform(F.col("_hrefs"), lambda h: U.drop_query(U.resolve_from(F.col("_base"), h)))
+    shaped = F.filter(F.array_distinct(found), lambda link: U.path(link).rlike(path_regex))
+    return (
+        pages.withColumn("_base", U.base_parts(F.col(base)))
+        .withColumn("_hrefs", F.array_distinct(hrefs(markup)))
+        .select(*kept, F.posexplode(shaped).alias("_at", "link"))
+        .withColumn("pos", F.col("_at") + 1)
+        .drop("_at")
+    )
+
+
 #: Page numbers one task expands at a time.
 PAGES_PER_TASK = 10_000
 

@@ -96,3 +96,26 @@ def g4(spark, folder):
     )
     walked = chain.walk(edges, seeds, "page", "next_page", "seed", stop="blank")
     return walked.select("episode_id", (F.col("page") - F.col("episode_id") * 10).cast("int").alias("page_no"), "depth")
+
+
+@query(
+    "g4_titled_walk",
+    sql(
+        "edge",
+        body="""
+WITH RECURSIVE page AS (SELECT e.node, e.next_node, NOT l.open AS starts, l.priority LIKE '5-%' AS title FROM edge e JOIN listing l ON l.episode_id = e.node),
+walk AS (SELECT node AS seed, node, 0 AS depth FROM page WHERE starts
+  UNION ALL SELECT w.seed, t.node, w.depth + 1 FROM walk w JOIN page p ON p.node = w.node JOIN page t ON t.node = p.next_node
+  WHERE NOT t.starts AND t.title = p.title)
+SELECT seed, node, CAST(depth AS BIGINT) AS depth FROM walk""",
+    ),
+)
+def g4_titled(spark, folder):
+    """A walk from every listed start, up to where the title changes or another listed start comes."""
+    listed = views.listing(spark, folder).select(
+        F.col("episode_id").alias("node"), "open", F.col("priority").like("5-%").alias("title")
+    )
+    starts = listed.where("NOT open").select("node")
+    pages = views.edge(spark, folder).select("node", "next_node").join(listed.drop("open"), "node")
+    inside = chain.links_inside(pages, "node", "next_node", "title", starts)
+    return chain.walk(inside, starts.withColumnRenamed("node", "seed"), "node", "next_node", "seed")

@@ -96,6 +96,39 @@ def l3(spark, folder):
     return scoped.select("page_id", "pos", "link")
 
 
+@query(
+    "l3_own_work_links",
+    r"""
+WITH one AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS origin, regexp_extract(url, '^[a-z]+://[^/]*/([a-z])', 1) AS own,
+               unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href,
+               unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) + 1)) AS idx FROM pages),
+seen AS (SELECT page_id, url, own, origin || href AS link, href, min(idx) AS idx FROM one GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS pos FROM seen WHERE link <> split_part(url, '#', 1))
+SELECT page_id, pos, link FROM placed WHERE regexp_extract(href, '^/([a-z])[a-z]+$', 1) = own AND own <> ''""",
+)
+def l3_own(spark, folder):
+    """Links to the page's own work; here a work is the first letter of a path."""
+    scoped = links.own_work_links(views.pages(spark, folder), None, "^/([a-z])[a-z]+$", "^/([a-z])")
+    return scoped.select("page_id", "pos", "link")
+
+
+@query(
+    "l3_shaped_links",
+    r"""
+WITH one AS (SELECT page_id, regexp_extract(url, '^([a-z]+:)', 1) AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS origin,
+               unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href,
+               unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) + 1)) AS idx FROM pages),
+spelt AS (SELECT page_id, idx, href, CASE WHEN regexp_matches(href, '^/[a-z]{3}$') THEN scheme || '//other.example.org' ELSE origin END || href AS link FROM one),
+seen AS (SELECT page_id, link, min(idx) AS idx FROM spelt WHERE regexp_matches(href, '^/[a-z]{2,6}$') GROUP BY ALL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS pos, link FROM seen""",
+)
+def l3_shaped(spark, folder):
+    """Links of one shape on any host; short ones are respelt to another host, with a query that is cut again."""
+    respelt = F.regexp_replace("html", '<a href="/([a-z]{3})">', '<a href="//other.example.org/$1?from=$1#top">')
+    pages = views.pages(spark, folder).withColumn("html", respelt)
+    return links.shaped_links(pages, "^/[a-z]{2,6}$").select("page_id", "pos", "link")
+
+
 _PAGED = r"""
 WITH page AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS lang, url LIKE '%#top' AS failed FROM pages),
 seen AS (SELECT p.lang, p.page_id, a.href, min(a.idx) AS idx FROM page p JOIN anchor a USING (page_id) WHERE NOT p.failed GROUP BY ALL),

@@ -102,6 +102,8 @@ def sql(*views: str, body: str) -> str:
         return body
     tables = ",\n".join(f"{name} AS ({SQL[name]})" for name in _with_needs(views))
     joined = body.lstrip()
+    if joined.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {tables},\n{joined[15:]}"
     return f"WITH {tables},\n{joined[5:]}" if joined.startswith("WITH ") else f"WITH {tables}\n{body}"
 
 

@@ -467,3 +467,28 @@ def test_embedded_json(spark):
 
 def test_same_page(spark):
     assert spark.range(1).select(U.same_page(F.lit("https://a/b/"), F.lit("https://a/b"))).first()[0]
+
+
+def test_links_of_the_own_work_and_of_a_shape(spark):
+    html = (
+        '<ul><li><a href="/w1/2.html">a</a></li><li><a href="http://b.example.com/w1/3.html">b</a></li>'
+        '<li><a href="/w2/1.html">c</a></li></ul><a href="/w1/4.html?p=1">d</a><a href="/w1/4.html#x">d</a><a href="/w1/">e</a>'
+    )
+    df = spark.createDataFrame([("https://a.example.com/w1/list.html", html), ("https://a.example.com/", html), (None, None)], "url string, html string")
+    own = links.own_work_links(df, "ul", "^/([^/]+)/[0-9]+[.]html$").collect()
+    assert [(r.pos, r.link) for r in own] == [(1, "https://a.example.com/w1/2.html"), (2, "http://b.example.com/w1/3.html")]
+    shaped = links.shaped_links(df.limit(1), "^/w1/[0-9]+[.]html$").orderBy("pos").collect()
+    assert [r.link.split("/", 3)[3] for r in shaped] == ["w1/2.html", "w1/3.html", "w1/4.html"]
+    assert [r.pos for r in shaped] == [1, 2, 3]
+
+
+def test_walk_stays_inside_an_episode(spark):
+    rows = [(1, 2, "a"), (2, 3, "a"), (3, 4, "b"), (4, 5, None), (5, 6, None), (6, 4, None), (7, 8, "c"), (8, None, "c"), (9, 99, "d")]
+    df = spark.createDataFrame(rows, "n bigint, next bigint, title string")
+    starts = spark.createDataFrame([(1,), (3,), (4,), (7,), (8,)], "s bigint")
+    inside = chain.links_inside(df, "n", "next", "title", starts)
+    assert inside.count() == len(rows) and inside.columns == df.columns
+    walked = chain.walk(inside, starts, "n", "next", "s").collect()
+    assert {(r.s, r.n) for r in walked} == {(1, 1), (1, 2), (3, 3), (4, 4), (4, 5), (4, 6), (7, 7), (8, 8)}
+    free = {(r.n, r.next) for r in chain.links_inside(df, "n", "next", "title").collect()}
+    assert (2, None) in free and (3, None) in free and (6, 4) in free and (9, 99) in free and (7, 8) in free
