@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriatim.operators import watch
+from seriatim.operators import ordered, watch
 from seriatim.plans.registry import Registry
 from seriatim.sources.shared import new_path
 from seriatim.sources.tables import table
@@ -59,6 +59,29 @@ def t1_watchlist(spark, folder):
     return patrol.watchlist(spark, f"{path}/table")
 
 
+@query(
+    "t1_patrol_rounds",
+    _OBSERVED
+    + """, stand AS (SELECT entry, CASE WHEN bool_and(status = 'locked') THEN min(episode)
+    ELSE coalesce(min(episode) FILTER (WHERE status = 'locked'), max(episode)) END AS episode, NOT bool_and(status = 'locked') AS moved
+  FROM latest WHERE entry IS NOT NULL AND episode IS NOT NULL GROUP BY entry)
+SELECT entry AS pos, entry || '/' || episode AS url, CASE WHEN moved THEN 'work ' || entry ELSE '' END AS title FROM stand""",
+)
+def t1_rounds(spark, folder):
+    """Every entry walked on from its first episode as statuses land, the list updated batch by batch."""
+    name = F.concat_ws("/", "entry", "episode")
+    listed = _observed(table(spark, folder, "events")).dropna(subset=["entry", "episode"]).select("entry", "episode").distinct()
+    linked = ordered.scan(listed.withColumn("url", name), ["entry"], "episode", {"next_url": ordered.after("url")})
+    watched = listed.groupBy("entry").agg(F.min("episode").alias("episode")).select(
+        F.col("entry").alias("pos"), name.alias("url"), F.lit("").alias("title"), F.lit(False).alias("search"), F.lit(True).alias("chain")
+    )
+    visits = _stream(spark, folder).dropna(subset=["entry", "episode"])
+    stream = visits.select(name.alias("url"), F.concat(F.lit("work "), "entry").alias("series_title"), "status", "seq")
+    path = new_path(spark, "patrol")
+    patrol.rounds(stream, watched, linked.select("url", "next_url"), f"{path}/table", f"{path}/checkpoint")
+    return patrol.rounds_list(spark, f"{path}/table", watched.schema).select("pos", "url", "title")
+
+
 @query("t2_new_items", _OBSERVED + "SELECT DISTINCT entry, episode FROM seen")
 def t2(spark, folder):
     """Every (entry, episode) the first time it is seen."""

@@ -41,7 +41,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever Spark keeps it; nothing where there is none."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -50,7 +51,7 @@ def discard(df: DataFrame) -> None:
     """Remove a table that ``written`` gave and that no plan in use reads any more."""
     path = _lies_at.pop(df, None)
     if path is not None:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
         _handed_out[df.sparkSession.sparkContext.applicationId].discard(path)
 
 
@@ -61,7 +62,7 @@ def cleanup(spark: SparkSession) -> int:
     """
     paths = _handed_out.pop(spark.sparkContext.applicationId, set())
     for path in paths:
-        _delete(spark, path)
+        delete(spark, path)
     return len(paths)
 
 

@@ -1,8 +1,9 @@
 """Tables that grow by one folder per micro-batch.
 
 A batch writes what it adds under its own id and overwrites only that, so a
-batch run twice leaves what it left the first time. State is merged when read;
-a batch costs what it brings, not what has piled up.
+batch run twice leaves what it left the first time. Writing costs what a batch
+brings. State is merged when read, from the latest snapshot and the batches
+since; what no batch reads again is removed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from seriatim.sources.shared import delete
+
 BATCH = "batch"
 
 
@@ -56,9 +59,18 @@ def read_state(
 def write_state(
     spark: SparkSession, df: DataFrame, path: str, merge: Merge, batch_id: int, every: int = SNAPSHOT_EVERY
 ) -> None:
-    """Add a batch's own merged rows; every so many batches first fold what came before into a snapshot."""
+    """Add a batch's own merged rows; every so many batches first fold what came before into a snapshot.
+
+    The batches and the snapshot that the snapshot before holds are removed
+    then: this batch run again reads from that one on.
+    """
     if batch_id > 0 and batch_id % every == 0:
         write_batch(read_state(spark, path, df.schema, merge, batch_id, every), f"{path}/snapshot", batch_id)
+        folded = range(max(batch_id - 2 * every, 0), batch_id - every)
+        for old in folded:
+            delete(spark, f"{path}/delta/{BATCH}={old}")
+        if folded:
+            delete(spark, f"{path}/snapshot/{BATCH}={folded[0]}")
     write_batch(merge(df), f"{path}/delta", batch_id)
 
 

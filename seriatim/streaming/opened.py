@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from seriatim.operators import watch
+from seriatim.operators import ordered
+from seriatim.sources.shared import counted, discard
 from seriatim.streaming import batches
 
+TURNED = "turned"
+
 
 def run(stream: DataFrame, key: str, order: str, state: str, frm: str, to: str, path: str, checkpoint: str) -> None:
-    """Write transitions under ``path``/found, the last state per key under ``path``/last.
+    """Write decisions under ``path``/found, observations under ``path``/seen, the last state per key under ``path``/last.
 
-    Observations land in ``order``; a batch sees the last state each of its
-    keys had before it, so a turn between two batches is found as well.
+    A batch sees the last state each of its keys had before it, so a turn
+    between two batches is found as well. Where an observation lands after a
+    later one of its key, the batch reads that key's history and decides again
+    on the observations its own ones stand before; only then is history read.
+    ``order`` tells the observations of a key apart and holds no nulls.
     """
-    found, last = f"{path}/found", f"{path}/last"
+    at_found, at_seen, at_last = f"{path}/found", f"{path}/seen", f"{path}/last"
 
     def latest(rows: DataFrame) -> DataFrame:
         return rows.groupBy(key).agg(F.max(order).alias(order), F.max_by(state, order).alias(state))
@@ -24,18 +30,37 @@ def run(stream: DataFrame, key: str, order: str, state: str, frm: str, to: str,
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = batch.select(key, order, state)
-        rows = seen.withColumn("_new", F.lit(True))
+        rows, late, n_late = seen.withColumn("_new", F.lit(True)), None, 0
+        if batch_id > 0:
+            held = batches.read_state(spark, at_last, seen.schema, latest, batch_id)
+            first = seen.groupBy(key).agg(F.min(order).alias("_first"))
+            mine, _ = counted(held.join(first, key), "held")
+            late, n_late = counted(mine.where(F.col("_first") < F.col(order)).select(key), "late")
+            before = mine.drop("_first")
+            if n_late:
+                history = batches.read_batches(spark, at_seen, seen.schema, batch_id).drop(batches.BATCH)
+                before = before.join(late, key, "left_anti").unionByName(history.join(late, key, "left_semi"))
+            rows = rows.unionByName(before.select(key, order, state, F.lit(False).alias("_new")))
+        # one value of both: a state may be null, the row before may not be there
+        rows = rows.withColumn("_it", F.struct(F.col(state).alias("state"), "_new"))
+        placed = ordered.scan(rows, [key], order, {"_before": ordered.before("_it")})
+        turned = F.coalesce((F.col("_before.state") == frm) & (F.col(state) == to), F.lit(False))
+        again = ~F.col("_new") & F.coalesce("_before._new", F.lit(False))
+        decided = placed.withColumn(TURNED, turned).where((F.col("_new") & F.col(TURNED)) | again)
+        batches.write_batch(decided.select(key, order, state, TURNED), at_found, batch_id)
+        batches.write_batch(seen, at_seen, batch_id)
+        batches.write_state(spark, seen, at_last, latest, batch_id)
         if batch_id > 0:
-            held = batches.read_state(spark, last, seen.schema, latest, batch_id)
-            mine = held.join(seen.select(key).distinct(), key, "left_semi")
-            rows = rows.unionByName(mine.withColumn("_new", F.lit(False)))
-        turned = watch.transitions(rows, key, order, state, frm, to).where("_new").drop("_new")
-        batches.write_batch(turned, found, batch_id)
-        batches.write_state(spark, seen, last, latest, batch_id)
+            discard(late)
+            discard(mine)
 
     batches.run_available(stream, handle, checkpoint)
 
 
 def found(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All transitions found so far; ``schema`` is that of the key, order and state columns."""
-    return batches.read_batches(spark, f"{path}/found", schema).drop(batches.BATCH)
+    """All transitions as the last decision on each has it; ``schema`` is that of the key, order and state columns."""
+    key, order, state = schema.names
+    stored = StructType([*schema.fields, StructField(TURNED, BooleanType())])
+    decided = batches.read_batches(spark, f"{path}/found", stored)
+    last = F.max_by(F.struct(state, TURNED), batches.BATCH).alias("_last")
+    return decided.groupBy(key, order).agg(last).where(f"_last.{TURNED}").select(key, order, f"_last.{state}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from seriatim.operators import watch
+from seriatim.sources.shared import discard, written
 from seriatim.streaming import batches
 
 
@@ -17,14 +18,9 @@ def _latest(observed: DataFrame) -> DataFrame:
     )
 
 
-def run(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Fold a stream of observations (``entry``, ``episode``, ``seq``, ``status``) into the catalogue under ``path``."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.select("entry", "episode", "seq", "status", F.lit(1).cast("bigint").alias("visits"))
-        batches.write_state(batch.sparkSession, seen, path, _latest, batch_id)
-
-    batches.run_available(stream, handle, checkpoint)
+def _last_standing(standings: DataFrame) -> DataFrame:
+    """Where each entry stood after the last batch that brought news of it."""
+    return standings.groupBy("entry").agg(F.max_by("episode", "at").alias("episode"), F.max("at").alias("at"))
 
 
 SCHEMA = StructType(
@@ -37,14 +33,88 @@ SCHEMA = StructType(
     ]
 )
 
+_STANDING = StructType([StructField("entry", LongType()), StructField("episode", LongType()), StructField("at", LongType())])
+
+
+def run(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Fold a stream of observations (``entry``, ``episode``, ``seq``, ``status``) into catalogue and watch list under ``path``.
+
+    A batch works out anew where the entries stand that it has news of, and
+    updates those on the list.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = batch.select("entry", "episode", "seq", "status", F.lit(1).cast("bigint").alias("visits"))
+        batches.write_state(spark, seen, f"{path}/catalogue", _latest, batch_id)
+        held = batches.read_state(spark, f"{path}/catalogue", SCHEMA, _latest, batch_id + 1)
+        told = held.join(seen.select("entry").distinct(), "entry", "left_semi").withColumn("title", F.col("episode"))
+        stands = watch.next_entries(told, "entry", "episode", "episode", "title", "status").drop("title")
+        # an entry whose episodes have all become locked stays where it was
+        moved = stands.withColumn("at", F.lit(batch_id).cast("bigint")).select(*_STANDING.names)
+        batches.write_state(spark, moved, f"{path}/watchlist", _last_standing, batch_id)
+
+    batches.run_available(stream, handle, checkpoint)
+
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """The status of every episode seen so far, and how often it was visited."""
-    upto = batches.batches_written(spark, path, SCHEMA)
-    return batches.read_state(spark, path, SCHEMA, _latest, upto)
+    upto = batches.batches_written(spark, f"{path}/catalogue", SCHEMA)
+    return batches.read_state(spark, f"{path}/catalogue", SCHEMA, _latest, upto)
 
 
 def watchlist(spark: SparkSession, path: str) -> DataFrame:
     """Where every entry stands: its first locked episode, else the last one reached."""
-    held = catalogue(spark, path).withColumn("title", F.col("episode"))
-    return watch.next_entries(held, "entry", "episode", "episode", "title", "status").drop("title")
+    upto = batches.batches_written(spark, f"{path}/watchlist", _STANDING)
+    return batches.read_state(spark, f"{path}/watchlist", _STANDING, _last_standing, upto).drop("at")
+
+
+_VISITED = StructType(
+    [
+        StructField("url", StringType()),
+        StructField("series_title", StringType()),
+        StructField("status", StringType()),
+        StructField("seq", LongType()),
+    ]
+)
+
+
+def _last_visit(visited: DataFrame) -> DataFrame:
+    """The latest visit of every episode, repeats combined before the shuffle."""
+    last = F.max(F.struct("seq", "series_title", "status")).alias("_last")
+    return visited.groupBy("url").agg(last).select("url", "_last.series_title", "_last.status", "_last.seq")
+
+
+def rounds(
+    stream: DataFrame, watched: DataFrame, edges: DataFrame, path: str, checkpoint: str, listings: DataFrame | None = None
+) -> None:
+    """One patrol of the watch list per batch of visits, each going on from the list the one before left.
+
+    ``stream``: ``url``, ``series_title``, ``status``, ``seq``. ``watched``,
+    ``edges`` and ``listings`` as ``watch.patrol`` takes them; ``watched`` is the
+    list before the first batch. A batch run again starts from the same list
+    and leaves the same.
+    """
+
+    names = ["pos", "url", "title", "search", "chain"]
+    schema = watched.select(*names).schema
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = batch.select(*_VISITED.names)
+        batches.write_state(spark, seen, f"{path}/visited", _last_visit, batch_id)
+        visits = batches.read_state(spark, f"{path}/visited", _VISITED, _last_visit, batch_id + 1)
+        before = watched.select(*names) if batch_id == 0 else rounds_list(spark, path, schema, batch_id)
+        before, visits = written(before, "watched"), written(visits, "visits")
+        after = watch.patrol(before, edges, visits, listings)
+        batches.write_batch(after.join(before.select("pos", "chain"), "pos").select(*names), f"{path}/list", batch_id)
+        discard(before)
+        discard(visits)
+
+    batches.run_available(stream, handle, checkpoint)
+
+
+def rounds_list(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """The watch list as the last batch, or the one before a given batch, left it."""
+    left = batches.read_batches(spark, f"{path}/list", schema, before)
+    return left.where(F.col(batches.BATCH) == left.agg(F.max(batches.BATCH).alias("last")).scalar()).drop(batches.BATCH)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,48 @@ def test_new_items_once(spark, tmp_path):
     news.write_available(items, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_late_observations_give_what_all_at_once_gives(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), n, rng.choice(["locked", "saved", "exists", None])) for n in range(40)]
+    rng.shuffle(rows)
+    for n in range(4):
+        spark.createDataFrame(rows[n * 10 : n * 10 + 10], "k bigint, n bigint, s string").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    stream = spark.readStream.schema("k bigint, n bigint, s string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    path = str(tmp_path / "table")
+    opened.run(stream, "k", "n", "s", "locked", "saved", path, str(tmp_path / "checkpoint"))
+    want = set()
+    for key in (1, 2, 3):
+        mine = sorted(r[1:] for r in rows if r[0] == key)
+        want |= {(key, at, s) for (_, was), (at, s) in zip(mine, mine[1:]) if was == "locked" and s == "saved"}
+    got = opened.found(spark, path, stream.schema).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_patrol_keeps_an_entry_that_locks_again(spark, tmp_path):
+    table = str(tmp_path / "table")
+    landed = [[(1, 1, 1, "saved"), (1, 2, 2, "saved")], [(1, 1, 3, "locked"), (1, 2, 4, "locked"), (2, 5, 5, "exists")]]
+    for n, rows in enumerate(landed):
+        spark.createDataFrame(rows, "entry bigint, episode bigint, seq bigint, status string").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema("entry bigint, episode bigint, seq bigint, status string").parquet(f"{tmp_path}/in*")
+        patrol.run(stream, table, str(tmp_path / "checkpoint"))
+    assert {tuple(r) for r in patrol.watchlist(spark, table).collect()} == {(1, 2), (2, 5)}
+
+
+def test_patrol_rounds_walk_on_from_the_list_before(spark, tmp_path):
+    schema = "url string, series_title string, status string, seq bigint"
+    watched = spark.createDataFrame(
+        [(1, "a1", "", False, True), (2, "b1", "old", False, True), (3, "q", "", True, False)],
+        "pos bigint, url string, title string, search boolean, chain boolean",
+    )
+    edges = spark.createDataFrame([("a1", "a2"), ("a2", "a3"), ("a3", None), ("b1", "b2"), ("b2", None)], "url string, next_url string")
+    landed = [[("a1", "A", "saved", 1), ("a2", "A", "locked", 2), ("b1", "B", "locked", 3)], [("a2", "A", "saved", 4), ("a3", "A", "saved", 5)]]
+    want = [{(1, "a2", "A"), (2, "b1", "old"), (3, "q", "")}, {(1, "a3", "A"), (2, "b1", "old"), (3, "q", "")}]
+    for n, rows in enumerate(landed):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in*")
+        patrol.rounds(stream, watched, edges, str(tmp_path / "table"), str(tmp_path / "checkpoint"))
+        got = patrol.rounds_list(spark, str(tmp_path / "table"), watched.schema).collect()
+        assert {(r.pos, r.url, r.title) for r in got} == want[n]
