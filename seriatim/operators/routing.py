@@ -34,6 +34,34 @@ def register_rules(*tables: DataFrame) -> DataFrame:
     return merged
 
 
+def rules_of_forms(forms: DataFrame, schemes: tuple[str, ...] = ("http", "https")) -> DataFrame:
+    """A rule table of URL forms as people write them down, in ``RULE_SCHEMA``.
+
+    ``forms`` has ``priority``, ``form``, ``rule``, ``kind``, ``url_form``,
+    ``publisher`` and ``host_publisher``. In the path of ``url_form`` a name in
+    angle brackets stands for one segment or a part of one, as in
+    ``https://a.example.com/w/<work>/<n>.html``; all else stands for itself and
+    a closing slash may be there or not. A query ``?id=<id>`` asks for that
+    parameter, the first where several are named. The rules take ``schemes``,
+    whichever the form is written with.
+    """
+    form = F.col("url_form")
+    literal = F.regexp_replace(U.path(form), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    shape = F.rtrim(F.regexp_replace(literal, "<[^<>]*>", "[^/]+"), F.lit("/"))
+    return forms.select(
+        F.col("priority").cast("int"),
+        F.col("form").cast("int"),
+        "rule",
+        U.host(form).alias("host"),
+        F.array(*[F.lit(scheme) for scheme in schemes]).alias("schemes"),
+        "kind",
+        F.concat(F.lit("^"), shape, F.lit("/?$")).alias("path_regex"),
+        F.regexp_extract(U.query(form), "^([^=&]+)=", 1).alias("query_key"),
+        "publisher",
+        "host_publisher",
+    )
+
+
 def forms_by_host(rules: DataFrame) -> DataFrame:
     """One row per host: its URL forms in registry order.
 

@@ -397,3 +397,35 @@ def x1(spark, folder):
     )
     rules = routing.register_rules(views.site_rule(spark, folder), more)
     return routing.route(views.pages(spark, folder, "page_id", "url"), rules).select("page_id", "rule")
+
+
+@query(
+    "x1_rules_of_forms",
+    r"""
+WITH part AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+    regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, '&' || regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS query FROM pages),
+kind AS (SELECT page_id, url, CASE WHEN NOT host LIKE '%.com' THEN NULL WHEN regexp_matches(path, '^/[^/]+/[^/]+[.]html/?$') THEN 'article'
+    WHEN NOT regexp_matches(path, '^/[^/]+/[^/]+/?$') THEN NULL WHEN regexp_matches(query, '&page=[^&]') THEN 'part' ELSE 'work' END AS kind FROM part)
+SELECT page_id, url, CASE WHEN kind IS NOT NULL THEN 'com' END AS rule, kind FROM kind""",
+)
+def x1_forms(spark, folder):
+    """Pages routed with rules written as URL forms, three for every host under .com."""
+    pages = views.pages(spark, folder, "page_id", "url")
+    hosts = pages.select(U.host(F.col("url")).alias("host")).where(F.col("host").like("%.com")).distinct()
+    spelt = {"article": "/<lang>/<id>.html", "part": "/<lang>/<id>?page=<n>", "work": "/<lang>/<id>"}
+    forms = F.array(
+        *[
+            F.struct(F.lit(n).alias("form"), F.lit(kind).alias("kind"), F.lit(path).alias("path"))
+            for n, (kind, path) in enumerate(spelt.items(), 1)
+        ]
+    )
+    table_ = hosts.select("host", F.inline(forms)).select(
+        F.lit(1).alias("priority"),
+        "form",
+        F.lit("com").alias("rule"),
+        "kind",
+        F.concat(F.lit("https://"), "host", "path").alias("url_form"),
+        F.lit("Com House").alias("publisher"),
+        F.lit(None).cast("string").alias("host_publisher"),
+    )
+    return routing.route(pages, routing.rules_of_forms(table_))

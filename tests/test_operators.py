@@ -492,3 +492,29 @@ def test_walk_stays_inside_an_episode(spark):
     assert {(r.s, r.n) for r in walked} == {(1, 1), (1, 2), (3, 3), (4, 4), (4, 5), (4, 6), (7, 7), (8, 8)}
     free = {(r.n, r.next) for r in chain.links_inside(df, "n", "next", "title").collect()}
     assert (2, None) in free and (3, None) in free and (6, 4) in free and (9, 99) in free and (7, 8) in free
+
+
+def test_rules_of_forms(spark):
+    forms = [
+        ("https://a.example.com/w/<work id>/e.p<n>.html", "episode"),
+        ("http://a.example.com/w/<work>/", "series"),
+        ("https://a.example.com/read?id=<id>&x=<x>", "viewer"),
+        ("https://a.example.com/", "top"),
+    ]
+    rows = [(1, n, "one", kind, form, "House", None) for n, (form, kind) in enumerate(forms)]
+    names = "priority int, form int, rule string, kind string, url_form string, publisher string, host_publisher string"
+    table = routing.rules_of_forms(spark.createDataFrame(rows, names))
+    want = {
+        "http://A.example.com/w/7/e.p12.html": "episode",
+        "https://a.example.com/w/7/e.p12.html/?q": "episode",
+        "https://a.example.com/w/7/exp12.html": None,
+        "https://a.example.com/w/7": "series",
+        "https://a.example.com/w/7/8": None,
+        "https://a.example.com/read?x=1&id=5": "viewer",
+        "https://a.example.com/read?x=1": None,
+        "https://a.example.com": "top",
+        "ftp://a.example.com/": None,
+    }
+    urls = spark.createDataFrame([(u,) for u in want], "url string")
+    got = {r.url: r.kind for r in routing.route(urls, routing.register_rules(table)).collect()}
+    assert got == want
