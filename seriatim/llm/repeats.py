@@ -12,11 +12,15 @@ that covers it also starts anywhere else in the table, the same text included.
    refinement and Kasai's common prefixes tell which windows are equal.
 3. *Merging.* Only anchors dealt over several shards go on: each shard hands
    over one window of each kind, sorted, and the shards' runs are merged by
-   binary search.
+   binary search. Neighbouring windows go together under the bytes they share;
+   those of an anchor with more than ``ROUTE_SHARDS`` shards go one by one
+   under all of their bytes, so texts that differ at a passage's edge do not
+   meet there.
 4. A text's windows meet its bytes again and the covered bytes go.
 
 Both joins with the texts read one shuffle of them. Copies of a passage meet
-in steps bounded by ``SHARD_ANCHORS``, so no task takes a whole group.
+in steps bounded by ``SHARD_ANCHORS``, so no task takes a whole group; where
+windows go one by one, a merged group has one row a shard.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ BITS = 21
 ARRAY = 1 << BITS
 #: Offsets from the anchor that are compared as one group when shards are merged.
 STEP = 22
+#: An anchor dealt over more shards hands over each window by itself.
+ROUTE_SHARDS = 32
 
 _U = np.uint64
 
@@ -369,15 +375,15 @@ def _split(table: pa.Table, most: int) -> Iterator[pa.Table]:
         begin = end
 
 
-def _shard_of(length: int):
+def _shard_of(length: int, route_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, ["_anchor", "_salt"], GATHERED):
-            yield from _one_array(table, length)
+            yield from _one_array(table, length, route_shards)
 
     return run
 
 
-def _one_array(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+def _one_array(table: pa.Table, length: int, route_shards: int) -> Iterator[pa.RecordBatch]:
     """Whole groups of pieces: windows found equal, and what goes on to be merged."""
     parts = list(_split(table, ARRAY - 1))
     for part, table in enumerate(parts):
@@ -418,6 +424,10 @@ def _one_array(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         core_lo = mark - group * STEP
         core_hi = mark - np.minimum(group * STEP + STEP - 1, length - GRAM) + length
         new = np.concatenate([[True], (np.diff(place) != 1) | (np.diff(group) != 0) | (np.diff(mark) != 0)])
+        # equal windows have one anchor and so one number of shards: all of them go the same way
+        single = salts[shown][own] > route_shards
+        new |= single
+        core_lo, core_hi = np.where(single, place, core_lo), np.where(single, place + length, core_hi)
         at = np.flatnonzero(new)
         end = np.concatenate([at[1:], [len(place)]]) - 1
         route = np.array(
@@ -541,8 +551,10 @@ def _cut_of(length: int, passed: list[str], with_text: bool):
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = 200, shard_anchors: int = SHARD_ANCHORS) -> DataFrame:
-    """Stretches of window starts (``_from`` to ``_to``) whose ``length`` bytes also start elsewhere, by row identity.
+def handed_over(
+    docs: DataFrame, length: int = 200, shard_anchors: int = SHARD_ANCHORS, route_shards: int = ROUTE_SHARDS
+) -> DataFrame:
+    """What the shards found: equal windows, whose ``_owner`` is 0, and windows to be merged by ``_route``.
 
     ``docs`` as made by ``keyed``.
     """
@@ -567,7 +579,17 @@ def repeated_windows(docs: DataFrame, length: int = 200, shard_anchors: int = SH
         .mapInArrow(_pieces_of(length, shard_anchors), _PIECE)
     )
     shards = pieces.repartition("_anchor", "_salt").sortWithinPartitions("_anchor", "_salt", *KEY, "_from")
-    found = shards.mapInArrow(_shard_of(length), _FOUND)
+    return shards.mapInArrow(_shard_of(length, route_shards), _FOUND)
+
+
+def repeated_windows(
+    docs: DataFrame, length: int = 200, shard_anchors: int = SHARD_ANCHORS, route_shards: int = ROUTE_SHARDS
+) -> DataFrame:
+    """Stretches of window starts (``_from`` to ``_to``) whose ``length`` bytes also start elsewhere, by row identity.
+
+    ``docs`` as made by ``keyed``.
+    """
+    found = handed_over(docs, length, shard_anchors, route_shards)
     merged = found.repartition("_route").sortWithinPartitions("_route", "_owner", *KEY, "_from")
     return merged.mapInArrow(_merged_of(length), _SPAN)
 
@@ -580,6 +602,7 @@ def without_repeats(
     shard_anchors: int = SHARD_ANCHORS,
     with_text: bool = False,
     keep: tuple[str, ...] = (),
+    route_shards: int = ROUTE_SHARDS,
 ) -> DataFrame:
     """One row per document: ``doc_id``, the ``keep`` columns, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
@@ -592,7 +615,7 @@ def without_repeats(
         raise ValueError(f"length must be {2 * GRAM} or more")
     docs = keyed(docs, doc_id, text, keep)
     spans = (
-        repeated_windows(docs, length, shard_anchors)
+        repeated_windows(docs, length, shard_anchors, route_shards)
         .groupBy(*KEY)
         .agg(F.collect_list(F.struct("_from", "_to")).alias("_spans"))
     )

@@ -69,6 +69,27 @@ def test_shorter_strings_and_kept_text(spark):
     assert got[1].kept == "é" * 10 + "1" and got[3].kept == "alone"
 
 
+def test_different_edges_of_one_passage_do_not_meet(spark):
+    rng = random.Random(9)
+    noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(230))
+    passage = noise() + noise()
+    rows = [(n, noise() + passage + noise()) for n in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    most = 100
+    found = repeats.handed_over(repeats.keyed(docs, "doc_id", "text"), shard_anchors=most, route_shards=1)
+    crowd = found.where("_owner <> 0").groupBy("_route").count().agg({"count": "max"}).first()[0]
+    assert 2 <= crowd <= 2000 // most + 1
+    got = repeats.without_repeats(docs, shard_anchors=most, route_shards=1)
+    assert Counter(map(tuple, got.collect())) == brute(rows, 200)
+
+
+def test_windows_that_go_one_by_one_meet_across_shards(spark):
+    rows = rows_of(11)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = repeats.without_repeats(docs, shard_anchors=1, route_shards=1)
+    assert Counter(map(tuple, got.collect())) == brute(rows, 200)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert repeats.without_repeats(docs).collect() == []
