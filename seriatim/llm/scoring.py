@@ -4,7 +4,7 @@ The n-gram count tables of all orders are partitioned by hash: a text shard
 sends each bucket the sorted hashes of its different n-grams with their
 numbers, the bucket adds them up and answers with the totals in the same
 order. Rows of both tables are such blocks, not single n-grams, which keeps
-the shuffle near eight bytes an n-gram. The answers join the shard's exploded
+the shuffle below eight bytes an n-gram, as differences of hashes. The answers join the shard's exploded
 n-grams again, and scores are summed for each document.
 
 An n-gram of a group of copies is counted in its shard first, so a frequent
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from seriatim.llm.rows import texts_of
 
-ORDER, BACKOFF, LEAST = 2, 0.4, 2
+ORDER, BACKOFF, LEAST = 3, 0.4, 2
 _U = np.uint64
 #: Words whose hashes a task remembers.
 WORDS = 500_000
@@ -62,6 +62,16 @@ def _shard_grams(words: list[np.ndarray], order: int) -> Iterator[np.ndarray]:
         yield np.concatenate([np.zeros(0, _U), *(grams_of(w, k) for w in words)])
 
 
+def _packed(ordered: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte by byte: their upper bytes are zeros and compress away."""
+    return np.diff(ordered, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(block, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
+
+
 def _asked(order: int, buckets: int):
     cuts = [(k << 64) // buckets for k in range(1, buckets)]
 
@@ -76,7 +86,7 @@ def _asked(order: int, buckets: int):
         for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
             out["_bucket"].append(b)
             out["_shard"].append(shard)
-            out["_grams"].append(found[lo:hi].tobytes())
+            out["_grams"].append(_packed(found[lo:hi]))
             out["_counts"].append(times[lo:hi].astype(np.uint32).tobytes())
             out["_words"].append(total)
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
@@ -87,7 +97,7 @@ def _asked(order: int, buckets: int):
 
 def _answered(table: pa.Table) -> pa.Table:
     """Totals of one bucket, in each shard's order."""
-    asked = [np.frombuffer(x, _U) for x in table.column("_grams").to_pylist()]
+    asked = [_unpacked(x) for x in table.column("_grams").to_pylist()]
     counts = [np.frombuffer(x, np.uint32) for x in table.column("_counts").to_pylist()]
     every = np.concatenate(asked)
     order = np.argsort(every, kind="stable")
@@ -115,16 +125,16 @@ def backed_off(words: np.ndarray, known: np.ndarray, total: np.ndarray, n_words:
         return total[np.searchsorted(known, h)]
 
     n = len(words)
-    one = counts(grams_of(words, 1))
-    score = np.log(one / n_words)
+    before = counts(grams_of(words, 1))
+    score = np.log(before / n_words)
     for k in range(2, order + 1):
         # the best score of each word so far serves where its longer history is too rare
         if n < k:
             break
         whole = counts(grams_of(words, k))
-        before = counts(grams_of(words, k - 1))[: n - k + 1]
-        longer = np.log(whole / before)
+        longer = np.log(whole / before[: n - k + 1])
         score[k - 1 :] = np.where(whole >= least, longer, score[k - 1 :] + np.log(backoff))
+        before = whole
     return float(score.sum())
 
 

@@ -41,5 +41,13 @@ def test_scores_as_by_plain_version(spark, order, least, shards):
         assert mine == pytest.approx(want)
 
 
+def test_scores_look_back_two_words_unless_told(spark):
+    rng = random.Random(17)
+    rows = [(n, " ".join(rng.choice("abcde") for _ in range(30))) for n in range(40)]
+    got = scoring.scored(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for mine, want in zip(sorted(map(tuple, got)), sorted(plain(rows, 3, 2)), strict=True):
+        assert mine == pytest.approx(want)
+
+
 def test_empty_table(spark):
     assert scoring.scored(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
