@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriatim.llm import languages, mixing, neighbours, packing, quality, repeats, scoring, sharding, simhash, token_counts
+from seriatim.llm import divergence, languages, mixing, neighbours, packing, quality, repeats, scoring, sharding, simhash, token_counts
 from seriatim.llm.shipping import ship
 from seriatim.plans.registry import Registry
 from seriatim.sources.tables import table
@@ -129,6 +129,47 @@ def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return languages.identified(table(ship(spark), folder, "documents"))
 
 
+DIVERGENCE_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+words AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(t.n, 0) AS total, coalesce(l.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN totals t USING (lang, source) LEFT JOIN langs l USING (lang)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v))::HUGEINT AS p,
+         (1 + (1000000000::HUGEINT * (k.n + 1)) // (l.n + l.v))::HUGEINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@REGISTRY.query("op13_divergence", DIVERGENCE_SQL)
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(ship(spark), folder, "documents"))
+
+
 def queries() -> dict:
     return dict(REGISTRY.queries)
 
