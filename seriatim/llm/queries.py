@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriatim.llm import divergence, languages, mixing, neighbours, packing, quality, repeats, scoring, sharding, simhash, token_counts
+from seriatim.llm import divergence, encoding, languages, mixing, neighbours, packing, quality, repeats, scoring, sharding, simhash, token_counts
 from seriatim.llm.shipping import ship
 from seriatim.plans.registry import Registry
 from seriatim.sources.tables import table
@@ -129,6 +129,17 @@ def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return languages.identified(table(ship(spark), folder, "documents"))
 
 
+@REGISTRY.query("op11_encoding")
+def op11_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    found = encoding.decoded(encoding.encoded(table(ship(spark), folder, "documents")))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 DIVERGENCE_SQL = """
 WITH docs AS (
   SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
