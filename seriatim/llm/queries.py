@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriatim.llm import divergence, encoding, languages, mixing, neighbours, packing, quality, repeats, scoring, sharding, simhash, token_counts
+from seriatim.llm import divergence, encoding, languages, mixing, negatives, neighbours, packing, quality, repeats, scoring, sharding, simhash, token_counts
 from seriatim.llm.shipping import ship
 from seriatim.plans.registry import Registry
 from seriatim.sources.tables import table
@@ -140,6 +140,34 @@ def op11_encoding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+NEGATIVES_SQL = """
+WITH held AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM held a JOIN held c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
+@REGISTRY.query("op12_negatives", NEGATIVES_SQL)
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(ship(spark), folder, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.select("vec_id", "embedding", relabelled.alias("label")))
+
+
 DIVERGENCE_SQL = """
 WITH docs AS (
   SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
