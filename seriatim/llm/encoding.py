@@ -15,7 +15,6 @@ characters its pattern tables may know differently (unassigned ones).
 
 from __future__ import annotations
 
-import bisect
 import functools
 import heapq
 import itertools
@@ -31,34 +30,38 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seriatim.llm.lexicon import Lexicon, compiled
-from seriatim.llm.rows import texts_of
+from seriatim.llm.rows import slices_of, texts_of, units_of
 from seriatim.llm.token_counts import byte_spelling
-from seriatim.sources.shared import new_path
+from seriatim.sources.shared import new_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Units of the lexicon, and the longest of them in bytes: the bounds of its size.
 WORDS, LONGEST = 100_000, 32
 #: Counts a task holds before it hands them on, merged units a worker remembers, and bytes worked on at once.
-HELD, REMEMBERED, AT_ONCE = 300_000, 200_000, 4 << 20
-#: Blanks beyond ASCII, in UTF-8 and as characters.
-_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_BLANKS = "\t-\r \x85\xa0  -     　"
-_UNIT = re.compile(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
-_LETTERS = re.compile(rb" ?[A-Za-z]+")
+HELD, REMEMBERED, AT_ONCE = 150_000, 150_000, 4 << 20
+#: Signs of ASCII that the pattern takes together at the end of a word.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _NONE = np.iinfo(np.int32).max
-_WIDE_UNIT = re.compile(f" ?[^{_BLANKS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]")
 
 
-def units_of(text: bytes) -> list[bytes]:
-    """The parts of a text without special strings that the tokenizer treats by themselves."""
-    if not text.isascii() and _WIDE.search(text):
-        return [u.encode() for u in _WIDE_UNIT.findall(text.decode())]
-    return _UNIT.findall(text)
+def _special(found: dict) -> dict[bytes, int]:
+    return {t["content"].encode(): t["id"] for t in found["added_tokens"]}
+
+
+@functools.cache
+def spelling_of(file: str) -> list[bytes]:
+    """The bytes each id stands for."""
+    with open(public_tokenizers.path(file)) as f:
+        found = json.load(f)
+    spelled, special = byte_spelling(), _special(found)
+    words = {i: bytes(spelled[c] for c in w) for w, i in found["model"]["vocab"].items() if i not in special.values()}
+    words |= {i: w for w, i in special.items()}
+    return [words.get(i, b"") for i in range(1 + max(words))]
 
 
 @functools.cache
@@ -71,30 +74,27 @@ class Merges:
     """Exact merging of units, one after another."""
 
     def __init__(self, file: str) -> None:
-        path = public_tokenizers.path(file)
-        with open(path) as f:
-            model = json.load(f)["model"]
-        self.tokenizer = Tokenizer.from_file(path)
-        spelled, vocab = byte_spelling(), model["vocab"]
+        self.file = file
+        with open(public_tokenizers.path(file)) as f:
+            found = json.load(f)
+        model, spelled = found["model"], byte_spelling()
+        vocab = model["vocab"]
         self.single = np.array([vocab[c] for c, _ in sorted(spelled.items(), key=lambda x: x[1])], np.int64)
         keys = np.array([vocab[a] << 16 | vocab[b] for a, b in model["merges"]], np.int64)
         order = np.argsort(keys)
         #: Merges by key, the rank of each, and what the merge of each rank makes.
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in model["merges"]], np.int64)
-        self.key_list = self.keys.tolist()
-        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = _special(found)
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")").split if self.special else None
-        self.spelling: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
-        for word, i in vocab.items():
-            if i not in self.special.values():
-                self.spelling[i] = bytes(spelled[c] for c in word)
-        for word, i in self.special.items():
-            self.spelling[i] = word
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[bytes, bytes] = {}
 
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(public_tokenizers.path(self.file))
+
     def units(self, text: bytes) -> list[bytes]:
         """A text's units; a special string is one."""
         if not self.cut:
@@ -120,14 +120,20 @@ class Merges:
 
     def _parts(self, unit: bytes) -> list[bytes | _Ready]:
         """What the pattern makes of a unit; where the library is to decide, the ids themselves."""
-        if _LETTERS.fullmatch(unit):
-            return [unit]
         if unit in self.special:
             return [_Ready([self.special[unit]])]
         text = unit.decode()
         # up to U+036F every character is assigned
         if max(text) > "\u036f" and any(unicodedata.category(c) == "Cn" for c in text):
             return [_Ready(self.tokenizer.encode(text, add_special_tokens=False).ids)]
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha():
+            return [unit]
+        # most of the rest is a word with signs after it
+        core = word.rstrip(_SIGNS)
+        if core.isalpha():
+            cut = len(unit) - (len(word) - len(core))
+            return [unit[:cut], unit[cut:]]
         return [p.encode() for p in self.split(text)]
 
     def _merged(self, parts: set[bytes]) -> dict[bytes, bytes]:
@@ -185,8 +191,8 @@ class Merges:
         def ask(a: int, b: int) -> None:
             if a >= 0 and b < n:
                 key = ids[a] << 16 | ids[b]
-                at = bisect.bisect_left(self.key_list, key)
-                if at < len(self.key_list) and self.key_list[at] == key:
+                at = int(np.searchsorted(self.keys, key))
+                if at < len(self.keys) and self.keys[at] == key:
                     heapq.heappush(waiting, (int(self.ranks[at]), a, ids[a], ids[b]))
 
         for k in range(n - 1):
@@ -258,10 +264,19 @@ def _counted_of(file: str):
 
 
 def frequent_units(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, words: int = WORDS) -> DataFrame:
-    """The ``words`` units of at most ``LONGEST`` bytes that occur most over all texts: ``unit`` and ``n``."""
+    """The units of at most ``LONGEST`` bytes that occur most over all texts: ``unit`` and ``n``.
+
+    As many of the ``words`` most frequent as there are above some count, so that
+    units that occur equally often are in or out together. The count is read off
+    a histogram: no more than the units themselves go to the driver.
+    """
     named = docs.select(F.col(text).alias("_text"))
-    counts = named.mapInArrow(_counted_of(tokenizer), "unit binary, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
-    return counts.where("n > 1").orderBy(F.desc("n"), "unit").limit(words)
+    found = named.mapInArrow(_counted_of(tokenizer), "unit binary, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    counts = written(found.where("n > 1"), "units")
+    tally = counts.groupBy("n").agg(F.count(F.lit(1)).alias("units"))
+    upto = tally.withColumn("upto", F.sum("units").over(Window.orderBy(F.desc("n"))))
+    least = upto.where(F.col("upto") <= words).agg(F.min("n")).first()[0]
+    return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
 
 
 def share_lexicon(spark: SparkSession, units: list[bytes], tokenizer: str = TOKENIZER) -> str:
@@ -283,18 +298,6 @@ def _mapped(path: str) -> Lexicon:
     return Lexicon.mapped(path)
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Rows worked on at once: at most ``AT_ONCE`` bytes, more only for one long text."""
-    begin, held = 0, 0
-    for n, size in enumerate(sizes):
-        if n > begin and held + size > AT_ONCE:
-            yield begin, n
-            begin, held = n, 0
-        held += size
-    if len(sizes) > begin:
-        yield begin, len(sizes)
-
-
 def encoded(
     docs: DataFrame,
     text: str = "text",
@@ -324,7 +327,7 @@ def encoded(
         encoder = Encoder(tokenizer, _mapped(SparkFiles.get(name)))
         for batch in batches:
             texts = texts_of(batch.column("_text"))
-            for a, b in _slices(list(map(len, texts))):
+            for a, b in slices_of(texts, AT_ONCE):
                 ids, bounds = encoder.many(texts[a:b])
                 arrays = [*(batch.column(c).slice(a, b - a) for c in passed), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*passed, "ids"])
@@ -345,7 +348,8 @@ def decoded(encoded: DataFrame, ids: str = "ids", out: str = "decoded", tokenize
     passed, types = named.columns[:-1], dict(named.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = dict(enumerate(merges_of(tokenizer).spelling))
+        spelling = spelling_of(tokenizer)
+        last = len(spelling) - 1
         for batch in batches:
             column = batch.column("_ids")
             flat, at, texts = column.flatten(), 0, []
@@ -354,8 +358,10 @@ def decoded(encoded: DataFrame, ids: str = "ids", out: str = "decoded", tokenize
                     texts.append(None)
                     continue
                 some = flat.slice(at, n)
-                some = some.drop_null() if some.null_count else some
-                texts.append(b"".join([spelling.get(i, b"") for i in some.to_numpy().tolist()]).decode("utf-8", "replace"))
+                some = (some.drop_null() if some.null_count else some).to_numpy()
+                if n and (some.min(initial=0) < 0 or some.max(initial=0) > last):
+                    some = some[(some >= 0) & (some <= last)]
+                texts.append(b"".join(map(spelling.__getitem__, some.tolist())).decode("utf-8", "replace"))
                 at += n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(texts, pa.string())], names=[*passed, "_out"])
 

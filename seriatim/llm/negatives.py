@@ -166,10 +166,16 @@ def _handed(best: _Best, anchor: np.ndarray, anchor_id: np.ndarray, spans: int)
     return pa.table([pa.array(c) for c in columns], names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
+def _none() -> pa.Table:
+    none = np.zeros(0, np.int64)
+    return _handed(_Best(0, 1), none, none, 1)
+
+
 def _met(anchors: DataFrame, rows: DataFrame, groups: int, blocks: int, work) -> DataFrame:
     """``work`` on every block of rows with every group of anchors."""
-    left = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
-    right = anchors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "_row"), F.lit(groups)))
+    part, block = (F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(n)).cast("int") for seed, n in ((3, groups), (5, blocks)))
+    left = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("block", block)
+    right = anchors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", part)
     return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(work, _FOUND)
 
 
@@ -224,11 +230,13 @@ def hard_negatives(
     blocks, groups = max(1, -(-n // block)), max(1, -(-n_anchors // group))
 
     def positive(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _none()
         x, a = _matrix(left.column("_vector"), dims), _matrix(right.column("_vector"), dims)
         free = np.full((len(a), 1), _INTS.min), np.full((len(a), 1), _INTS.max)
         labels, of = _numbers(left, "_label"), _numbers(right, "_label")
         ids, row, own, own_id = _numbers(left, "_id"), _numbers(left, "_row"), _numbers(right, "_row"), _numbers(right, "_id")
-        out = [_handed(_Best(0, positives), own, own_id, 1)]
+        out = [_none()]
         for one in np.unique(of).tolist():
             k, c = np.flatnonzero(of == one), np.flatnonzero(labels == one)
             best = walked(a[k], of[k], own[k], x[c], labels[c], ids[c], row[c], *(f[k] for f in free), True, positives)
@@ -246,6 +254,8 @@ def hard_negatives(
     )
 
     def negative(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _none()
         x, a = _matrix(left.column("_vector"), dims), _matrix(right.column("_vector"), dims)
         flat = right.column("_scores").combine_chunks().flatten()
         none = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, positives)

@@ -20,7 +20,8 @@ that covers it also starts anywhere else in the table, the same text included.
 
 Both joins with the texts read one shuffle of them. Copies of a passage meet
 in steps bounded by ``SHARD_ANCHORS``, so no task takes a whole group; where
-windows go one by one, a merged group has one row a shard.
+windows go one by one, a merged group has one row a shard. Rows alike in id and
+text give their pieces once, with their number.
 """
 
 from __future__ import annotations
@@ -237,8 +238,8 @@ def equal_windows(data: np.ndarray, ends: np.ndarray, times: np.ndarray, length:
 
 
 _ANCHOR = "_anchor bigint, _k1 bigint, _k2 bigint, _n bigint"
-_PIECE = "_anchor bigint, _salt int, _salts int, _k1 bigint, _k2 bigint, _from bigint, _bytes binary"
-_FOUND = "_route bigint, _owner int, _k1 bigint, _k2 bigint, _from bigint, _to bigint, _bytes binary"
+_PIECE = "_anchor bigint, _salt int, _salts int, _k1 bigint, _k2 bigint, _from bigint, _times bigint, _bytes binary"
+_FOUND = "_route bigint, _owner bigint, _k1 bigint, _k2 bigint, _from bigint, _to bigint, _bytes binary"
 _SPAN = "_k1 bigint, _k2 bigint, _from bigint, _to bigint"
 
 
@@ -277,7 +278,9 @@ def _counts_of(length: int):
 
 def _pieces_of(length: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            batch = _once(batch, seen)
             data, bounds = buffers(batch.column("_text"))
             value, lo, hi = runs(data, bounds, length)
             row = np.searchsorted(bounds, lo, side="right") - 1
@@ -293,17 +296,32 @@ def _pieces_of(length: int, limit: int):
             kept = at >= 0
             value, lo, hi, row, total = value[kept], lo[kept], hi[kept], row[kept], total[at[kept]]
             k1, k2 = (batch.column(k).to_numpy()[row] for k in KEY)
+            times = batch.column("_times").to_numpy()[row]
             salts = -(-total // limit)
             start = lo - bounds[row]
             salt = (_mixed(k1.view(_U) ^ _mixed(start.astype(_U))) % salts.astype(_U)).astype(np.int32)
             for a in range(0, len(lo), 20000):
                 s = slice(a, a + 20000)
                 texts = binary(data, lo[s], hi[s] + length)
-                yield _batch(_PIECE, value[s].view(np.int64), salt[s], salts[s].astype(np.int32), k1[s], k2[s], start[s], texts)
+                yield _batch(_PIECE, value[s].view(np.int64), salt[s], salts[s].astype(np.int32), k1[s], k2[s], start[s], times[s], texts)
 
     return run
 
 
+def _once(batch: pa.RecordBatch, seen: set[tuple[int, int]]) -> pa.RecordBatch:
+    """The batch with only the first of rows alike in id and text; their number stands in ``_times``."""
+    many = np.flatnonzero(batch.column("_times").to_numpy() > 1).tolist()
+    if not many:
+        return batch
+    k1, k2 = (batch.column(k).to_numpy() for k in KEY)
+    kept = np.ones(batch.num_rows, bool)
+    for n in many:
+        key = (int(k1[n]), int(k2[n]))
+        kept[n] = key not in seen
+        seen.add(key)
+    return batch.filter(pa.array(kept))
+
+
 def _pair_search(owner: np.ndarray, known: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Where each (row, value) stands among the sorted (owner, known) pairs; -1 where it is not there."""
     out = np.full(len(row), -1, np.int64)
@@ -393,7 +411,7 @@ def _one_array(table: pa.Table, length: int, route_shards: int) -> Iterator[pa.R
         # pieces alike as a whole enter the array once, with their number
         seen: dict[bytes, int] = {}
         piece = np.array([seen.setdefault(t, len(seen)) for t in texts_of(table.column("_bytes").combine_chunks())])
-        times = np.bincount(piece)
+        times = np.bincount(piece, table.column("_times").to_numpy()).astype(np.int64)
         shown = np.zeros(len(times), np.int64)
         shown[piece[::-1]] = np.arange(len(piece))[::-1]
         whole = b"".join(seen)
@@ -438,7 +456,7 @@ def _one_array(table: pa.Table, length: int, route_shards: int) -> Iterator[pa.R
         for a in range(0, len(at), 20000):
             s = slice(a, a + 20000)
             lo, hi = place[at[s]], place[end[s]]
-            owner = (salt[r[s]] * len(parts) + part + 1).astype(np.int32)
+            owner = (salt[r[s]].astype(np.int64) << 32) + part + 1
             yield _batch(_FOUND, route[s], owner, k1[r[s]], k2[r[s]], lo + shift[s], hi + shift[s], binary(data, lo, hi + length))
 
 
@@ -571,11 +589,13 @@ def handed_over(
         .drop("_n")
         .join(total, "_anchor")
         .groupBy(*KEY)
-        .agg(F.collect_set(F.struct("_anchor", "_n")).alias("_hits"))
+        .agg(F.collect_set(F.struct("_anchor", "_n")).alias("_hits"), F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_times", F.expr("_rows DIV size(_hits)"))
+        .drop("_rows")
     )
     pieces = (
         docs.join(hits.hint("shuffle_hash"), list(KEY))
-        .select(*docs.columns, "_hits")
+        .select(*docs.columns, "_hits", "_times")
         .mapInArrow(_pieces_of(length, shard_anchors), _PIECE)
     )
     shards = pieces.repartition("_anchor", "_salt").sortWithinPartitions("_anchor", "_salt", *KEY, "_from")

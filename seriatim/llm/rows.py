@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +14,12 @@ from pyspark.sql import functions as F
 BLANK = "\\x20\\x09-\\x0D"
 WORD = f"[^{BLANK}]+"
 
+#: Blanks beyond ASCII in UTF-8, and all blanks as characters.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNIT = re.compile(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
+_WIDE_UNIT = re.compile(f" ?[^{_BLANKS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]")
+
 #: Two independent 64-bit hashes of a row's id and text: a row's identity where ids may be null or repeat.
 KEY = ("_k1", "_k2")
 
@@ -50,6 +59,29 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
+def units_of(text: bytes) -> list[bytes]:
+    """The parts of a text that byte-level tokenizers treat by themselves: non-blanks after one blank, or blanks.
+
+    Their pattern cuts before the last blank of a run, which goes with what
+    follows if it is a space, and at every other blank.
+    """
+    if not text.isascii() and _WIDE.search(text):
+        return [u.encode() for u in _WIDE_UNIT.findall(text.decode())]
+    return _UNIT.findall(text)
+
+
+def slices_of(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of texts in a row that hold at most ``most`` bytes together, more only for one long text."""
+    begin, held = 0, 0
+    for n, text in enumerate(texts):
+        if n > begin and held + len(text) > most:
+            yield begin, n
+            begin, held = n, 0
+        held += len(text)
+    if len(texts) > begin:
+        yield begin, len(texts)
+
+
 def binary(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
     """A binary array of the slices ``data[lo:hi]``."""
     size = hi - lo

@@ -6,6 +6,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from seriatim.llm import repeats
@@ -93,3 +95,41 @@ def test_windows_that_go_one_by_one_meet_across_shards(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert repeats.without_repeats(docs).collect() == []
+
+
+def test_runs_of_shards_cut_into_different_numbers_of_parts_stay_apart(monkeypatch):
+    """One shard of an anchor falls into two parts, another into one: both still hold windows of their own."""
+    rng = random.Random(4)
+    window = bytes(rng.choice(b"abcdefgh ") for _ in range(200))
+    anchor = int(repeats.anchors(*repeats.buffers(pa.array([window.decode()])), 200)[0].view("i8")[0])
+
+    def shard(salt, fillers):
+        pieces = [window, *(bytes(rng.choice(b"klmnop ") for _ in range(400)) for _ in range(fillers))]
+        n = len(pieces)
+        columns = {
+            "_anchor": pa.array([anchor] * n, pa.int64()), "_salt": pa.array([salt] * n, pa.int32()), "_salts": pa.array([40] * n, pa.int32()),
+            "_k1": pa.array(range(salt * 100, salt * 100 + n), pa.int64()), "_k2": pa.array([salt] * n, pa.int64()),
+            "_from": pa.array([0] * n, pa.int64()), "_times": pa.array([1] * n, pa.int64()), "_bytes": pa.array(pieces, pa.binary()),
+        }
+        return pa.table(columns)
+
+    def merged(*shards):
+        handed = [b for t in shards for b in repeats._one_array(t, 200, 32)]
+        table = pa.Table.from_batches(handed).filter(pa.compute.field("_owner") != 0).sort_by([("_route", "ascending"), ("_owner", "ascending")])
+        return {(r["_k1"], r["_k2"]) for b in repeats._merge(table.combine_chunks(), 200) for r in b.to_pylist()}
+
+    monkeypatch.setattr(repeats, "ARRAY", 700)
+    for fillers in (0, 1, 2, 5):
+        # the window's own part comes first, so that a shard's number of parts is all that differs
+        assert merged(shard(1, fillers), shard(2, 0)) == {(100, 1), (200, 2)}
+
+
+def test_many_rows_alike(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    rows = [(1, text)] * 5000 + [(2, text[100:450] + "other"), (3, "alone " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for limit in (2000, 50):
+        spans = repeats.repeated_windows(repeats.keyed(docs, "doc_id", "text"), shard_anchors=limit)
+        assert spans.count() < 100
+        assert Counter(map(tuple, repeats.without_repeats(docs, shard_anchors=limit).collect())) == brute(rows, 200)
