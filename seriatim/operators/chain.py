@@ -1,17 +1,21 @@
 """Walks along previous and next links.
 
 A link table has one row per node with at most one link out of it, so a walk
-is a path that ends, or runs into itself. Walks advance by doubling: in round
-k every walk takes the 2^k-step jump from all nodes it has reached, so a chain
-of n nodes takes log2(n) rounds, and what is kept is the walks themselves, one
-row per node reached, never pairs of nodes. Only walks that filled the last
-round go on, and a round writes only what it newly reached, to the shared
-folder, so a lost executor repeats one round at most. Jumps of earlier rounds
-are removed.
-
-A node many others link to (a third of all links may name the same one) makes
-its join key hot on the side that repeats it; the other side has the node
-once, so Spark splits the hot side at run time.
+is a path that ends, or runs into itself. All nodes are placed on their chains
+at once (``ranking``), and walks are read off: a walk from a seed is what its
+path holds from the seed's place on, then what the path holds into which that
+one leads, from where it leads to. Whatever the number of seeds on one chain, it
+is worked out once, and only the result has a row for each seed and node.
+
+The walk over whole paths goes by doubling: in round k every walk takes the
+2^k-step jump from all it has reached, and only walks that filled the last round
+go on. A round writes only what it newly reached, to the shared folder, so a
+lost executor repeats one round at most. Jumps of earlier rounds are removed.
+
+Paths are read in blocks of places, so a chain that holds a third of all nodes
+is many join keys. A node many others link to (a third of all links may name the
+same one) makes its join key hot on the side that repeats it; the other side has
+the node once, so Spark splits the hot side at run time.
 """
 
 from __future__ import annotations
@@ -19,16 +23,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriatim.operators import ranking
+from seriatim.operators.ranking import Ranks
 from seriatim.sources.shared import counted, discard, measured, written
 
 
-def _steps(edges: DataFrame, node: str, link: str, stop: str | None = None) -> DataFrame:
+def _steps(edges: DataFrame, node: str, link: str) -> DataFrame:
     """The nodes with a record and the link out of each, written once: every round starts from them."""
-    known = edges if stop is None else edges.where(~F.col(stop))
-    return written(known.select(F.col(node).alias("_at"), F.col(link).alias("_to")), "steps")
+    return written(edges.select(F.col(node).alias("_at"), F.col(link).alias("_to")), "steps")
 
 
 def _same(columns: Sequence[str]) -> Column:
@@ -65,7 +70,56 @@ def walk(
     counts as having no record. ``seeds`` has one row per walk; its columns are
     kept. Seeds without a record walk nowhere.
     """
-    steps = _steps(edges, node, link, stop)
+    return walk_ranked(ranking.ranked(edges, node, link, stop=stop), seeds, node, seed)
+
+
+def walk_ranked(ranks: Ranks, seeds: DataFrame, node: str, seed: str) -> DataFrame:
+    """``walk`` over chains already ranked."""
+    parts = stretches(ranks, seeds, seed)
+    last = F.expr(f"(_length - 1) DIV {ranking.SPAN}")
+    first = F.when(F.col("_loop"), F.lit(0)).otherwise(F.expr(f"_entry DIV {ranking.SPAN}"))
+    cut = parts.withColumn("_block", F.explode(F.sequence(first, last)))
+    placed = ranks.placed.select(F.col("node").alias("_node"), F.col("path").alias("_path"), F.col("place").alias("_place"), F.col("block").alias("_block"))
+    further = F.col("_place") - F.col("_entry")
+    depth = F.col("_base") + F.when(F.col("_loop"), F.pmod(further, F.col("_length"))).otherwise(further)
+    read = cut.join(placed, ["_path", "_block"]).where(F.col("_loop") | (further >= 0))
+    return read.select(*seeds.columns, F.col("_node").alias(node), depth.cast("bigint").alias("depth"))
+
+
+def stretches(ranks: Ranks, seeds: DataFrame, seed: str) -> DataFrame:
+    """The stretches of paths that make up each walk.
+
+    The seeds' columns, ``_hop`` from 0, ``_path``, its ``_length`` and ``_loop``,
+    the place of ``_entry``, and as ``_base`` how deep the walk is there.
+    """
+    placed = ranks.placed.select(F.col("node").alias(seed), F.col("path").alias("_path"), F.col("place").alias("_entry"))
+    lengths = ranks.paths.select(F.col("path").alias("_path"), F.col("length").alias("_length"), F.col("loop").alias("_loop"))
+    none = F.lit(0).cast("bigint")
+    begun = seeds.join(placed, seed).join(lengths, "_path")
+    names = [*seeds.columns, "_hop", "_path", "_length", "_loop", "_entry", "_base"]
+    first = begun.withColumns({"_hop": none, "_base": none}).select(*names)
+    if not ranks.exits:
+        return first
+    first = written(first, "begun")
+    leading = ranks.paths.where("exit_path IS NOT NULL").select(F.col("path").alias("_start"))
+    starts = first.select(F.col("_path").alias("_start")).distinct().join(leading, "_start", "left_semi")
+    passed = _stepped(ranks.paths.select("path", "exit_path"), starts, "path", "exit_path", "_start")
+    hops = passed.withColumnRenamed("depth", "_hop").join(ranks.paths, "path")
+    order = Window.partitionBy("_start").orderBy("_hop")
+    entered = hops.withColumn("_entry", F.lag("exit_place").over(order))
+    inside = F.when(F.col("_hop") > 0, F.col("length") - F.col("_entry"))
+    before = F.coalesce(F.sum(inside).over(order.rowsBetween(Window.unboundedPreceding, -1)), none)
+    rest = entered.withColumn("_before", before).where("_hop > 0").select(
+        "_start", F.col("_hop"), F.col("path").alias("_path"), F.col("length").alias("_length"), F.col("loop").alias("_loop"), "_entry", "_before"
+    )
+    own = first.select(*seeds.columns, F.col("_path").alias("_start"), (F.col("_length") - F.col("_entry")).alias("_first"))
+    later = own.join(rest, "_start").withColumn("_base", F.col("_first") + F.col("_before"))
+    return first.unionByName(later.select(*names))
+
+
+def _stepped(edges: DataFrame, seeds: DataFrame, node: str, link: str, seed: str) -> DataFrame:
+    """``walk`` by doubling, which writes a row for each walk and node."""
+    steps = _steps(edges, node, link)
     starts = seeds.join(steps.select(F.col("_at").alias(seed)), seed, "left_semi")
     reach, held = counted(
         starts.select(*seeds.columns, F.col(seed).alias(node), F.lit(0).cast("bigint").alias("depth")), "walk"

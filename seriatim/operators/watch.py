@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.operators import chain, ordered
-from seriatim.sources.shared import written
+from seriatim.operators import chain, ordered, ranking
+from seriatim.operators.ranking import Ranks
+from seriatim.sources.shared import counted, written
 
 
 def next_entries(visited: DataFrame, entry: str, depth: str, url: str, title: str, state: str) -> DataFrame:
@@ -40,29 +41,48 @@ def upsert(watchlist: DataFrame, updates: DataFrame) -> DataFrame:
     updates for one entry the last by ``seq`` counts, and for the title the
     last that has one.
     """
-    updates = written(updates, "updates")
+    changes, appended = resolved(watchlist, updates)
+    return changed(watchlist.select("pos", "url", "title", "search"), changes).unionByName(appended)
+
+
+def changed(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Entries with their changes, other columns as they were."""
+    told = rows.join(changes, "pos", "left")
+    new = {
+        "url": F.coalesce(F.col("_new.url"), F.col("url")),
+        "title": F.coalesce("_title", "title"),
+        "search": F.coalesce(F.col("_new.search"), F.col("search")),
+    }
+    return told.select(*(new[c].alias(c) if c in new else F.col(c) for c in rows.columns))
+
+
+def resolved(watchlist: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What updates do to a list, of which only ``pos`` and ``url`` are read.
+
+    The changes, one row for each entry they hit (``pos``, ``_new``, ``_title``),
+    and the entries to append.
+    """
+    updates, n = counted(updates, "updates")
     hits = (
         _named(updates)
         .join(watchlist.select(F.col("url").alias("_url"), "pos"), "_url")
         .groupBy("seq")
         .agg(F.min("pos").alias("_target"))
     )
-    hits = written(hits, "hits")
-    open_ = updates.join(hits, "seq", "left_anti")
-    roots = chain.ends(_linked(updates, open_), "seq", "_from", "_root")
-    # Roots are few or the updates themselves; an update's target is that of its root.
-    targets = hits.withColumnRenamed("seq", "_root")
-    aimed = written(updates.join(roots, "seq").join(targets, "_root", "left"), "aimed")
+    hits, n_hits = counted(hits, "hits")
+    if n == n_hits:
+        # each has an entry of its own, none goes on from another
+        aimed = updates.join(hits, "seq").withColumn("_root", F.col("seq"))
+    else:
+        open_ = updates.join(hits, "seq", "left_anti")
+        roots = chain.ends(_linked(updates, open_), "seq", "_from", "_root")
+        # Roots are few or the updates themselves; an update's target is that of its root.
+        targets = hits.withColumnRenamed("seq", "_root")
+        aimed = updates.join(roots, "seq").join(targets, "_root", "left")
+    aimed = written(aimed, "aimed")
     title = F.max_by("title", F.when(F.col("title") != "", F.col("seq"))).alias("_title")
     row = F.max(F.struct("seq", "url", "search")).alias("_new")
     changes = aimed.where(F.col("_target").isNotNull()).groupBy(F.col("_target").alias("pos")).agg(row, title)
-    changed = watchlist.join(changes, "pos", "left")
-    kept = changed.select(
-        "pos",
-        F.coalesce(F.col("_new.url"), F.col("url")).alias("url"),
-        F.coalesce("_title", "title").alias("title"),
-        F.coalesce(F.col("_new.search"), F.col("search")).alias("search"),
-    )
     fresh = aimed.where(F.col("_target").isNull()).groupBy("_root").agg(row, title)
     end = watchlist.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("end")).scalar()
     appended = ordered.number_rows(fresh, [], "_root", "_n").select(
@@ -71,7 +91,7 @@ def upsert(watchlist: DataFrame, updates: DataFrame) -> DataFrame:
         F.coalesce("_title", F.lit("")).alias("title"),
         F.col("_new.search").alias("search"),
     )
-    return kept.unionByName(appended)
+    return changes, appended
 
 
 def _named(updates: DataFrame) -> DataFrame:
@@ -99,34 +119,100 @@ def _series_visits(watchlist: DataFrame, listings: DataFrame, episodes: DataFram
     return once.join(episodes.select("url", "series_title", "status"), "url")
 
 
-def patrol(watchlist: DataFrame, edges: DataFrame, episodes: DataFrame, listings: DataFrame | None = None) -> DataFrame:
-    """Re-visit every entry of the watch list and give the list to keep.
+def standings(ranks: Ranks, visits: DataFrame) -> DataFrame:
+    """What a walk from each node would find on the rest of its path: one row per node.
 
-    ``watchlist``: ``pos``, ``url``, ``title``, ``search``, ``chain`` (a chain
-    entry is walked on from its episode). ``edges``: ``url``, ``next_url``.
-    ``episodes``: ``url``, ``series_title``, ``status``. ``listings``:
-    ``series_url``, ``pos``, ``episode_url``; a series entry visits the episodes
-    listed there, stays where it is and takes the title of the last. An entry
-    without an episode, or with locked ones only, is kept as it is; so is a
-    search entry, whose links ``seriatim.visits.search_again`` gives.
+    ``visits``: ``url``, ``series_title``, ``status``, one row per url. Gives
+    ``path`` and ``place``, ``pending`` (the first locked episode), ``last`` (url
+    and title of the last one) and ``open`` (true if one is not locked). On a
+    loop the rest is the whole loop. One ordered scan of the placed nodes works
+    them out for all entries, however many walk the same chain.
     """
+    told = visits.select(F.col("url").alias("node"), "series_title", "status", F.lit(True).alias("_told"))
+    rows = ranks.placed.join(told, "node", "left").join(ranks.paths.select("path", "loop"), "path")
+    locked = F.col("status") == "locked"
+    rows = rows.select(
+        "path",
+        "place",
+        "loop",
+        F.when(locked, F.col("node")).alias("_locked"),
+        F.when(locked, F.struct("place", F.col("node").alias("url"))).alias("_locked_at"),
+        F.when(F.col("_told"), F.struct("place", F.col("node").alias("url"), F.col("series_title").alias("title"))).alias("_seen"),
+        F.when(~locked, F.lit(True)).alias("_open"),
+    )
+    scanned = ordered.scan(
+        rows,
+        ["path"],
+        "place",
+        {
+            "_pending": ordered.known_after("_locked", inclusive=True),
+            "_open_on": ordered.known_after("_open", inclusive=True),
+            "_seen_before": ordered.known_before("_seen"),
+            "_first_locked": ordered.whole(F.min, "_locked_at"),
+            "_last_seen": ordered.whole(F.max, "_seen"),
+            "_any_open": ordered.whole(F.max, "_open"),
+        },
+    )
+    on_loop = F.col("loop")
+    ahead = F.when(F.col("_last_seen.place") >= F.col("place"), F.col("_last_seen"))
+    return scanned.select(
+        "path",
+        "place",
+        F.when(on_loop, F.coalesce("_pending", "_first_locked.url")).otherwise(F.col("_pending")).alias("pending"),
+        F.when(on_loop, F.coalesce("_seen_before", "_last_seen")).otherwise(ahead).alias("last"),
+        F.coalesce(F.when(on_loop, F.col("_any_open")).otherwise(F.col("_open_on")), F.lit(False)).alias("open"),
+    )
+
+
+def _chain_stands(ranks: Ranks, seeds: DataFrame, visits: DataFrame) -> DataFrame:
+    """Where walks from the seeds (``entry``, ``start``) come to stand: ``entry``, ``url``, ``series_title``."""
+    parts = chain.stretches(ranks, seeds, "start").select("entry", "_hop", F.col("_path").alias("path"), F.col("_entry").alias("place"))
+    found = parts.join(standings(ranks, visits), ["path", "place"])
+    if ranks.exits:
+        found = found.groupBy("entry").agg(
+            F.min_by("pending", F.when(F.col("pending").isNotNull(), F.col("_hop"))).alias("pending"),
+            F.max_by("last", F.when(F.col("last").isNotNull(), F.col("_hop"))).alias("last"),
+            F.some("open").alias("open"),
+        )
+    return found.where("open").select("entry", F.coalesce("pending", "last.url").alias("url"), F.col("last.title").alias("series_title"))
+
+
+def moves(
+    watchlist: DataFrame, edges: DataFrame | Ranks, episodes: DataFrame, listings: DataFrame | None = None
+) -> DataFrame:
+    """The updates a patrol of some entries gives, as ``upsert`` takes them; see ``patrol``."""
+    ranks = edges if isinstance(edges, Ranks) else ranking.ranked(edges, "url", "next_url")
     seeds = watchlist.where("chain").select(F.col("pos").alias("entry"), F.col("url").alias("start"))
-    walked = chain.walk(edges.select("url", "next_url"), seeds, "url", "next_url", "start")
-    visited = walked.join(episodes.select("url", "series_title", "status"), "url")
-    stands = next_entries(visited, "entry", "depth", "url", "series_title", "status").withColumn("_stays", F.lit(False))
+    visits = episodes.select("url", "series_title", "status")
+    stands = _chain_stands(ranks, seeds, visits).withColumn("_stays", F.lit(False))
     if listings is not None:
-        seen = _series_visits(watchlist, listings, episodes)
+        seen = _series_visits(watchlist, listings, visits)
         series = next_entries(seen, "entry", "depth", "url", "series_title", "status")
         stands = stands.unionByName(series.withColumn("_stays", F.lit(True)))
     moved = watchlist.select(F.col("pos").alias("entry"), F.col("url").alias("replacing")).join(stands, "entry")
-    updates = moved.select(
+    return moved.select(
         F.col("entry").alias("seq"),
         F.when(F.col("_stays"), F.col("replacing")).otherwise(F.col("url")).alias("url"),
         "replacing",
         F.col("series_title").alias("title"),
         F.lit(False).alias("search"),
     )
-    return upsert(watchlist.select("pos", "url", "title", "search"), updates)
+
+
+def patrol(
+    watchlist: DataFrame, edges: DataFrame | Ranks, episodes: DataFrame, listings: DataFrame | None = None
+) -> DataFrame:
+    """Re-visit every entry of the watch list and give the list to keep.
+
+    ``watchlist``: ``pos``, ``url``, ``title``, ``search``, ``chain`` (a chain
+    entry is walked on from its episode). ``edges``: ``url``, ``next_url``, or
+    these already ranked. ``episodes``: ``url``, ``series_title``, ``status``.
+    ``listings``: ``series_url``, ``pos``, ``episode_url``; a series entry visits
+    the episodes listed there, stays where it is and takes the title of the
+    last. An entry without an episode, or with locked ones only, is kept as it
+    is; so is a search entry, whose links ``seriatim.visits.search_again`` gives.
+    """
+    return upsert(watchlist.select("pos", "url", "title", "search"), moves(watchlist, edges, episodes, listings))
 
 
 def transitions(observed: DataFrame, key: str, order: str, state: str, frm: str, to: str) -> DataFrame:

@@ -88,7 +88,7 @@ def t2(spark, folder):
     path = new_path(spark, "news")
     stream = _stream(spark, folder).select("entry", "episode")
     news.first_seen(stream, stream.columns, f"{path}/table", f"{path}/checkpoint")
-    return batches.read_batches(spark, f"{path}/table", stream.schema).drop(batches.BATCH)
+    return news.seen(spark, f"{path}/table", stream.schema)
 
 
 _TURNED = (

@@ -4,19 +4,26 @@ A batch writes what it adds under its own id and overwrites only that, so a
 batch run twice leaves what it left the first time. Writing costs what a batch
 brings. State is merged when read, from the latest snapshot and the batches
 since; what no batch reads again is removed.
+
+State that batches look up by key lies in buckets (``bucket=K/batch=B``): a
+batch lists, reads and writes those its own keys name and no others. A kept
+bucket is replaced as a whole under the batch's id, and the version before
+stays until the next one, so that a batch can run again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from seriatim.sources.shared import delete
 
-BATCH = "batch"
+BATCH, BUCKET = "batch", "bucket"
+#: Buckets of a state that is looked up by key, unless a job says otherwise: many enough that one is quickly rewritten.
+BUCKETS = 16
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -99,3 +106,62 @@ def landed_stream(spark: SparkSession, folder: str, name: str, schema: StructTyp
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(f"{folder}/{name}[.]parquet")
     )
+
+
+def bucket_of(*keys: str, buckets: int = BUCKETS) -> Column:
+    """The bucket of a key; nulls have one like any other value."""
+    return F.pmod(F.xxhash64(F.struct(*keys)), F.lit(buckets)).cast("bigint")
+
+
+def buckets_in(df: DataFrame, bucket: Column | str = BUCKET) -> list[int]:
+    """The buckets some rows name: at most as many as there are."""
+    named = df.select(F.col(bucket) if isinstance(bucket, str) else bucket).distinct()
+    return sorted(r[0] for r in named.collect())
+
+
+def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders ``name=<number>`` at a path, rising; none where there is no such path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    found = [f.getPath().getName() for f in system.listStatus(at)]
+    return sorted(int(f.removeprefix(f"{name}=")) for f in found if f.startswith(f"{name}="))
+
+
+def _versions(spark: SparkSession, path: str, buckets: list[int] | None, before: int | None) -> dict[int, list[int]]:
+    """The batches that wrote to each bucket, of some or all."""
+    some = _folders(spark, path, BUCKET) if buckets is None else buckets
+    found = {k: _folders(spark, f"{path}/{BUCKET}={k}", BATCH) for k in some}
+    return {k: kept for k, v in found.items() if (kept := [b for b in v if before is None or b < before])}
+
+
+def read_buckets(
+    spark: SparkSession, path: str, schema: StructType, buckets: list[int] | None = None, before: int | None = None, *, whole: bool = True
+) -> DataFrame:
+    """What lies in some buckets (all where none are named), as left by the batches before one.
+
+    Only these buckets' files are listed and scanned. With ``whole`` the last
+    version of a bucket is all of it, else every batch added to it.
+    """
+    versions = _versions(spark, path, buckets, before)
+    paths = [f"{path}/{BUCKET}={k}/{BATCH}={b}" for k, v in versions.items() for b in (v[-1:] if whole else v)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def write_buckets(df: DataFrame, path: str, batch_id: int, *, whole: bool = True, named: list[int] | None = None) -> None:
+    """Write rows with a column ``bucket`` as this batch's part of their buckets; the same batch overwrites itself.
+
+    With ``whole`` the rows are all that their buckets hold from now on, and
+    versions before the last are removed, of the ``named`` buckets if it is
+    known which these are. Rows of a bucket are brought together
+    before they are written; Spark splits those of a bucket that is large.
+    """
+    spark = df.sparkSession
+    parts = df.withColumn(BATCH, F.lit(batch_id).cast("bigint")).hint("rebalance", BUCKET)
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, BATCH).parquet(path)
+    if not whole:
+        return
+    for bucket, versions in _versions(spark, path, named, batch_id).items():
+        for old in versions[:-1]:
+            delete(spark, f"{path}/{BUCKET}={bucket}/{BATCH}={old}")

@@ -7,39 +7,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from seriatim.operators import ordered
-from seriatim.sources.shared import counted, discard
+from seriatim.sources.shared import discard, measured, written
 from seriatim.streaming import batches
 
 TURNED = "turned"
 
 
-def run(stream: DataFrame, key: str, order: str, state: str, frm: str, to: str, path: str, checkpoint: str) -> None:
+def run(
+    stream: DataFrame, key: str, order: str, state: str, frm: str, to: str, path: str, checkpoint: str,
+    buckets: int = batches.BUCKETS,
+) -> None:
     """Write decisions under ``path``/found, observations under ``path``/seen, the last state per key under ``path``/last.
 
     A batch sees the last state each of its keys had before it, so a turn
     between two batches is found as well. Where an observation lands after a
     later one of its key, the batch reads that key's history and decides again
     on the observations its own ones stand before; only then is history read.
-    ``order`` tells the observations of a key apart and holds no nulls.
+    Last states and history lie in buckets by key: a batch reads and replaces
+    those its own keys name. ``order`` tells the observations of a key apart and
+    holds no nulls.
     """
     at_found, at_seen, at_last = f"{path}/found", f"{path}/seen", f"{path}/last"
+    bucket = batches.bucket_of(key, buckets=buckets)
 
     def latest(rows: DataFrame) -> DataFrame:
         return rows.groupBy(key).agg(F.max(order).alias(order), F.max_by(state, order).alias(state))
 
+    def before_(spark: SparkSession, seen: DataFrame, last: DataFrame, batch_id: int) -> DataFrame:
+        """The observations a batch's own ones are held against: the last of each key, or all of one that are late."""
+        # a struct holds a null key like any other
+        first = seen.groupBy(F.struct(key).alias("_key")).agg(F.min(order).alias("_first"))
+        keyed = last.withColumn("_key", F.struct(key)).join(first, "_key").withColumn(batches.BUCKET, bucket)
+        met, counts = measured(keyed, "held", late=F.count_if(F.col("_first") < F.col(order)))
+        if not counts["late"]:
+            return met
+        late = met.where(F.col("_first") < F.col(order))
+        history = batches.read_buckets(spark, at_seen, seen.schema, batches.buckets_in(late), batch_id, whole=False)
+        again = history.withColumn("_key", F.struct(key)).join(late.select("_key"), "_key", "left_semi")
+        rest = met.join(late.select("_key"), "_key", "left_anti")
+        return rest.select(*seen.columns).unionByName(again.select(*seen.columns))
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = batch.select(key, order, state)
-        rows, late, n_late = seen.withColumn("_new", F.lit(True)), None, 0
-        if batch_id > 0:
-            held = batches.read_state(spark, at_last, seen.schema, latest, batch_id)
-            first = seen.groupBy(key).agg(F.min(order).alias("_first"))
-            mine, _ = counted(held.join(first, key), "held")
-            late, n_late = counted(mine.where(F.col("_first") < F.col(order)).select(key), "late")
-            before = mine.drop("_first")
-            if n_late:
-                history = batches.read_batches(spark, at_seen, seen.schema, batch_id).drop(batches.BATCH)
-                before = before.join(late, key, "left_anti").unionByName(history.join(late, key, "left_semi"))
+        seen = written(batch.select(key, order, state), "seen")
+        rows = seen.withColumn("_new", F.lit(True))
+        mine = batches.buckets_in(seen, bucket) if batch_id else []
+        last = batches.read_buckets(spark, at_last, seen.schema, mine, batch_id)
+        if mine:
+            before = before_(spark, seen, last, batch_id)
             rows = rows.unionByName(before.select(key, order, state, F.lit(False).alias("_new")))
         # one value of both: a state may be null, the row before may not be there
         rows = rows.withColumn("_it", F.struct(F.col(state).alias("state"), "_new"))
@@ -48,11 +63,10 @@ def run(stream: DataFrame, key: str, order: str, state: str, frm: str, to: str,
         again = ~F.col("_new") & F.coalesce("_before._new", F.lit(False))
         decided = placed.withColumn(TURNED, turned).where((F.col("_new") & F.col(TURNED)) | again)
         batches.write_batch(decided.select(key, order, state, TURNED), at_found, batch_id)
-        batches.write_batch(seen, at_seen, batch_id)
-        batches.write_state(spark, seen, at_last, latest, batch_id)
-        if batch_id > 0:
-            discard(late)
-            discard(mine)
+        batches.write_buckets(seen.withColumn(batches.BUCKET, bucket), at_seen, batch_id, whole=False)
+        replaced = latest(last.unionByName(seen)).withColumn(batches.BUCKET, bucket)
+        batches.write_buckets(replaced, at_last, batch_id, named=mine)
+        discard(seen)
 
     batches.run_available(stream, handle, checkpoint)
 

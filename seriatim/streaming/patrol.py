@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from seriatim.operators import watch
+from seriatim.operators import chain, ranking, watch
+from seriatim.operators.ranking import Ranks
 from seriatim.sources.shared import discard, written
-from seriatim.streaming import batches
+from seriatim.streaming import batches, kept_list
 
 
 def _latest(observed: DataFrame) -> DataFrame:
@@ -36,37 +37,42 @@ SCHEMA = StructType(
 _STANDING = StructType([StructField("entry", LongType()), StructField("episode", LongType()), StructField("at", LongType())])
 
 
-def run(stream: DataFrame, path: str, checkpoint: str) -> None:
+def run(stream: DataFrame, path: str, checkpoint: str, buckets: int = batches.BUCKETS) -> None:
     """Fold a stream of observations (``entry``, ``episode``, ``seq``, ``status``) into catalogue and watch list under ``path``.
 
-    A batch works out anew where the entries stand that it has news of, and
-    updates those on the list.
+    Both lie in buckets by entry. A batch reads and replaces the buckets of the
+    entries it has news of, and works out anew where these entries stand.
     """
+    bucket = batches.bucket_of("entry", buckets=buckets)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = batch.select("entry", "episode", "seq", "status", F.lit(1).cast("bigint").alias("visits"))
-        batches.write_state(spark, seen, f"{path}/catalogue", _latest, batch_id)
-        held = batches.read_state(spark, f"{path}/catalogue", SCHEMA, _latest, batch_id + 1)
-        told = held.join(seen.select("entry").distinct(), "entry", "left_semi").withColumn("title", F.col("episode"))
-        stands = watch.next_entries(told, "entry", "episode", "episode", "title", "status").drop("title")
+        seen = written(_latest(batch.select("entry", "episode", "seq", "status", F.lit(1).cast("bigint").alias("visits"))).select(*SCHEMA.names), "seen")
+        held, mine = seen, batches.buckets_in(seen, bucket) if batch_id else []
+        if mine:
+            before = batches.read_buckets(spark, f"{path}/catalogue", SCHEMA, mine, batch_id)
+            held = written(_latest(before.unionByName(seen.select(*SCHEMA.names))), "held")
+        batches.write_buckets(held.withColumn(batches.BUCKET, bucket), f"{path}/catalogue", batch_id, named=mine)
+        told = held.join(seen.select(F.struct("entry").alias("_key")).distinct(), F.struct("entry") == F.col("_key"), "left_semi")
+        stands = watch.next_entries(told.withColumn("title", F.col("episode")), "entry", "episode", "episode", "title", "status")
         # an entry whose episodes have all become locked stays where it was
         moved = stands.withColumn("at", F.lit(batch_id).cast("bigint")).select(*_STANDING.names)
-        batches.write_state(spark, moved, f"{path}/watchlist", _last_standing, batch_id)
+        stood = batches.read_buckets(spark, f"{path}/watchlist", _STANDING, mine, batch_id)
+        batches.write_buckets(_last_standing(stood.unionByName(moved)).withColumn(batches.BUCKET, bucket), f"{path}/watchlist", batch_id, named=mine)
+        discard(held)
+        discard(seen)
 
     batches.run_available(stream, handle, checkpoint)
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """The status of every episode seen so far, and how often it was visited."""
-    upto = batches.batches_written(spark, f"{path}/catalogue", SCHEMA)
-    return batches.read_state(spark, f"{path}/catalogue", SCHEMA, _latest, upto)
+    return _latest(batches.read_buckets(spark, f"{path}/catalogue", SCHEMA))
 
 
 def watchlist(spark: SparkSession, path: str) -> DataFrame:
     """Where every entry stands: its first locked episode, else the last one reached."""
-    upto = batches.batches_written(spark, f"{path}/watchlist", _STANDING)
-    return batches.read_state(spark, f"{path}/watchlist", _STANDING, _last_standing, upto).drop("at")
+    return batches.read_buckets(spark, f"{path}/watchlist", _STANDING).drop("at")
 
 
 _VISITED = StructType(
@@ -88,33 +94,80 @@ def _last_visit(visited: DataFrame) -> DataFrame:
 def rounds(
     stream: DataFrame, watched: DataFrame, edges: DataFrame, path: str, checkpoint: str, listings: DataFrame | None = None
 ) -> None:
-    """One patrol of the watch list per batch of visits, each going on from the list the one before left.
+    """A patrol of the watch list with every batch of visits, each going on from the list the one before left.
 
     ``stream``: ``url``, ``series_title``, ``status``, ``seq``. ``watched``,
     ``edges`` and ``listings`` as ``watch.patrol`` takes them; ``watched`` is the
     list before the first batch. A batch run again starts from the same list
     and leaves the same.
-    """
 
+    Links are ranked once. The first batch visits every entry, since links may
+    have changed since the list was left; the ones after it visit those entries
+    alone whose chains or listings hold an episode the batch brings news of.
+    Visits lie in buckets by chain, the list in ranges of positions: a batch
+    reads the buckets its entries need and rewrites what it changes.
+    """
     names = ["pos", "url", "title", "search", "chain"]
     schema = watched.select(*names).schema
+    spark = watched.sparkSession
+    ranks = ranking.ranked(edges, "url", "next_url")
+    onto = ranks.placed.select(F.col("node").alias("url"), "path")
+    whole_patrol = True
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        """With the bucket of each url: that of its chain, or its own where it is on none."""
+        chained = rows.join(onto, "url", "left").withColumn("_group", F.coalesce("path", "url"))
+        return chained.withColumn(batches.BUCKET, batches.bucket_of("_group"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.select(*_VISITED.names)
-        batches.write_state(spark, seen, f"{path}/visited", _last_visit, batch_id)
-        visits = batches.read_state(spark, f"{path}/visited", _VISITED, _last_visit, batch_id + 1)
-        before = watched.select(*names) if batch_id == 0 else rounds_list(spark, path, schema, batch_id)
-        before, visits = written(before, "watched"), written(visits, "visits")
-        after = watch.patrol(before, edges, visits, listings)
-        batches.write_batch(after.join(before.select("pos", "chain"), "pos").select(*names), f"{path}/list", batch_id)
-        discard(before)
-        discard(visits)
+        nonlocal whole_patrol
+        if batch_id == 0:
+            kept_list.save(watched.select(*names), f"{path}/list")
+        seen = written(grouped(_last_visit(batch.select(*_VISITED.names))), "seen")
+        told = batches.buckets_in(seen) if batch_id else []
+        before = batches.read_buckets(spark, f"{path}/visited", _VISITED, told, batch_id)
+        visited = grouped(_last_visit(before.unionByName(seen.select(*_VISITED.names)))).drop("path", "_group")
+        batches.write_buckets(visited, f"{path}/visited", batch_id, named=told)
+        held = kept_list.load(spark, f"{path}/list", schema, batch_id + 1)
+        if whole_patrol:
+            mine, needed, walked = held, None, ranks
+        else:
+            mine = written(_with_news(held, ranks, seen, listings), "entries")
+            paths = written(_paths_of(mine, ranks).distinct(), "paths")
+            here = paths.select(F.col("path").alias("_group"))
+            if listings is not None:
+                series = mine.where("NOT chain AND NOT search").select(F.col("url").alias("series_url"))
+                listed = listings.join(series, "series_url", "left_semi").select(F.col("episode_url").alias("url"))
+                here = here.unionByName(grouped(listed).select("_group"))
+            needed = batches.buckets_in(here, batches.bucket_of("_group"))
+            walked = Ranks(ranks.placed.join(paths, "path", "left_semi"), ranks.paths.join(paths, "path", "left_semi"), ranks.exits)
+        visits = batches.read_buckets(spark, f"{path}/visited", _VISITED, needed, batch_id + 1)
+        moves = watch.moves(mine, walked, visits, listings)
+        kept_list.update(spark, f"{path}/list", schema, moves, batch_id + 1)
+        whole_patrol = False
+        discard(seen)
 
     batches.run_available(stream, handle, checkpoint)
 
 
+def _paths_of(entries: DataFrame, ranks: Ranks) -> DataFrame:
+    """The chains that walks from chain entries pass."""
+    seeds = entries.where("chain").select("pos", F.col("url").alias("start"))
+    return chain.stretches(ranks, seeds, "start").select(F.col("_path").alias("path"))
+
+
+def _with_news(entries: DataFrame, ranks: Ranks, seen: DataFrame, listings: DataFrame | None) -> DataFrame:
+    """The entries whose chains or listings hold an episode there is news of."""
+    seeds = entries.where("chain").select("pos", F.col("url").alias("start"))
+    parts = chain.stretches(ranks, seeds, "start").select("pos", F.col("_path").alias("path"))
+    told = parts.join(seen.select("path").distinct(), "path", "left_semi").select("pos")
+    if listings is not None:
+        news = listings.join(seen.select(F.col("url").alias("episode_url")), "episode_url", "left_semi").select(F.col("series_url").alias("url"))
+        series = entries.where("NOT chain AND NOT search").join(news, "url", "left_semi")
+        told = told.unionByName(series.select("pos"))
+    return entries.join(told.distinct(), "pos", "left_semi")
+
+
 def rounds_list(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
     """The watch list as the last batch, or the one before a given batch, left it."""
-    left = batches.read_batches(spark, f"{path}/list", schema, before)
-    return left.where(F.col(batches.BATCH) == left.agg(F.max(batches.BATCH).alias("last")).scalar()).drop(batches.BATCH)
+    return kept_list.load(spark, f"{path}/list", schema, None if before is None else before + 1)
