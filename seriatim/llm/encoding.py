@@ -35,15 +35,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seriatim.llm.lexicon import Lexicon, compiled
-from seriatim.llm.rows import slices_of, texts_of, units_of
+from seriatim.llm.rows import slices_of, units_of
 from seriatim.llm.token_counts import byte_spelling
 from seriatim.sources.shared import new_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Units of the lexicon, and the longest of them in bytes: the bounds of its size.
-WORDS, LONGEST = 100_000, 32
+WORDS, LONGEST = 250_000, 32
 #: Counts a task holds before it hands them on, merged units a worker remembers, and bytes worked on at once.
-HELD, REMEMBERED, AT_ONCE = 150_000, 150_000, 4 << 20
+HELD, REMEMBERED, AT_ONCE = 150_000, 150_000, 2 << 20
 #: Signs of ASCII that the pattern takes together at the end of a word.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _NONE = np.iinfo(np.int32).max
@@ -108,14 +108,24 @@ class Merges:
         """The ids of each unit, as 32-bit numbers."""
         out = list(map(self.known.get, units))
         new = [k for k, found in enumerate(out) if found is None]
-        cut = [self._parts(units[k]) for k in new]
-        merged = self._merged({p for parts in cut for p in parts if isinstance(p, bytes)})
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for k, parts in zip(new, cut):
-            out[k] = b"".join([merged[p] if isinstance(p, bytes) else p.numbers for p in parts])
-            if len(units[k]) <= 4 * LONGEST:
-                self.known[units[k]] = out[k]
+        whole: list[int] = []
+        cut: list[tuple[int, list]] = []
+        for k in new:
+            unit = units[k]
+            if unit.isalpha() or unit[1:].isalpha() and unit[0] == 32:
+                whole.append(k)  # letters of ASCII, perhaps after a blank: one part
+            else:
+                cut.append((k, self._parts(unit)))
+        several = {p for _, parts in cut for p in parts if isinstance(p, bytes)}
+        merged = self._merged([*map(units.__getitem__, whole), *several])
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for k in whole:
+            out[k] = merged[units[k]]
+        for k, parts in cut:
+            out[k] = merged[parts[0]] if len(parts) == 1 and isinstance(parts[0], bytes) else b"".join([merged[p] if isinstance(p, bytes) else p.numbers for p in parts])
+        known.update((units[k], out[k]) for k in new if len(units[k]) <= 4 * LONGEST)
         return out
 
     def _parts(self, unit: bytes) -> list[bytes | _Ready]:
@@ -136,7 +146,7 @@ class Merges:
             return [unit[:cut], unit[cut:]]
         return [p.encode() for p in self.split(text)]
 
-    def _merged(self, parts: set[bytes]) -> dict[bytes, bytes]:
+    def _merged(self, parts: list[bytes]) -> dict[bytes, bytes]:
         """The ids of each part: those of one length are merged side by side."""
         by_size: dict[int, list[bytes]] = {}
         out = {}
@@ -254,10 +264,11 @@ def _counted_of(file: str):
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in short], pa.binary()), pa.array([n for _, n in short], pa.int64())], names=["unit", "n"])
 
         for batch in batches:
-            for text in texts_of(batch.column("_text")):
-                seen.update(merges.units(text))
-            if len(seen) > HELD:
-                yield handed()
+            for _, texts in slices_of(batch.column("_text"), AT_ONCE):
+                for text in texts:
+                    seen.update(merges.units(text))
+                if len(seen) > HELD:
+                    yield handed()
         yield handed()
 
     return run
@@ -326,16 +337,22 @@ def encoded(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, _mapped(SparkFiles.get(name)))
         for batch in batches:
-            texts = texts_of(batch.column("_text"))
-            for a, b in slices_of(texts, AT_ONCE):
-                ids, bounds = encoder.many(texts[a:b])
-                arrays = [*(batch.column(c).slice(a, b - a) for c in passed), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+            for a, texts in slices_of(batch.column("_text"), AT_ONCE):
+                ids, bounds = encoder.many(texts)
+                arrays = [*(batch.column(c).slice(a, len(texts)) for c in passed), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*passed, "ids"])
 
     found = named.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in passed), "ids array<int>"]))
     return found.withColumnsRenamed(dict(zip(passed, rest)))
 
 
+def _each(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """Each row's ids without null entries; None for a null row."""
+    for row in column:
+        values = row.values
+        yield None if values is None else (values.drop_null() if values.null_count else values).to_numpy()
+
+
 def decoded(encoded: DataFrame, ids: str = "ids", out: str = "decoded", tokenizer: str = TOKENIZER) -> DataFrame:
     """``encoded`` with the text its ids stand for, as ``out``; special tokens stand for their strings.
 
@@ -350,20 +367,23 @@ def decoded(encoded: DataFrame, ids: str = "ids", out: str = "decoded", tokenize
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling = spelling_of(tokenizer)
         last = len(spelling) - 1
+
+        def spelled(ids: np.ndarray) -> str:
+            if ids.min(initial=0) < 0 or ids.max(initial=0) > last:
+                ids = ids[(ids >= 0) & (ids <= last)]
+            return b"".join(map(spelling.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
         for batch in batches:
-            column = batch.column("_ids")
-            flat, at, texts = column.flatten(), 0, []
-            for n in column.value_lengths().to_pylist():
-                if n is None:
-                    texts.append(None)
-                    continue
-                some = flat.slice(at, n)
-                some = (some.drop_null() if some.null_count else some).to_numpy()
-                if n and (some.min(initial=0) < 0 or some.max(initial=0) > last):
-                    some = some[(some >= 0) & (some <= last)]
-                texts.append(b"".join(map(spelling.__getitem__, some.tolist())).decode("utf-8", "replace"))
-                at += n
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(texts, pa.string())], names=[*passed, "_out"])
+            sizes = batch.column("_ids").value_lengths().fill_null(0).to_numpy()
+            upto, begin = np.cumsum(sizes), 0
+            while begin < batch.num_rows:
+                # as many rows as hold so many ids together, one at least
+                before = upto[begin] - sizes[begin]
+                end = max(begin + 1, int(np.searchsorted(upto, before + AT_ONCE // 4, side="right")))
+                part = batch.slice(begin, end - begin)
+                texts = [None if ids is None else spelled(ids) for ids in _each(part.column("_ids"))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(texts, pa.string())], names=[*passed, "_out"])
+                begin = end
 
     found = named.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in passed), "_out string"]))
     return found.withColumnsRenamed(dict(zip([*passed, "_out"], [*rest, out])))

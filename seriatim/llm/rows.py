@@ -70,16 +70,19 @@ def units_of(text: bytes) -> list[bytes]:
     return _UNIT.findall(text)
 
 
-def slices_of(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
-    """Bounds of texts in a row that hold at most ``most`` bytes together, more only for one long text."""
-    begin, held = 0, 0
-    for n, text in enumerate(texts):
-        if n > begin and held + len(text) > most:
-            yield begin, n
-            begin, held = n, 0
-        held += len(text)
-    if len(texts) > begin:
-        yield begin, len(texts)
+def slices_of(column: pa.Array, most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a batch (null is empty) in rows that hold at most ``most`` bytes together, with the first one's number.
+
+    More only for one long text; what is not yet asked for is not copied.
+    """
+    data, bounds = buffers(column)
+    begin, n = 0, len(bounds) - 1
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + most, side="right")) - 1)
+        whole = data[bounds[begin] : bounds[end]].tobytes()
+        at = (bounds[begin : end + 1] - bounds[begin]).tolist()
+        yield begin, [whole[a:b] for a, b in zip(at, at[1:])]
+        begin = end
 
 
 def binary(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:

@@ -1,20 +1,27 @@
 """Stupid-backoff language-model scores.
 
-The n-gram count tables of all orders are partitioned by hash: a text shard
-sends each bucket the sorted hashes of its different n-grams with their
-numbers, the bucket adds them up and answers with the totals in the same
-order. Rows of both tables are such blocks, not single n-grams, which keeps
-the shuffle below eight bytes an n-gram, as differences of hashes. The answers join the shard's exploded
-n-grams again, and scores are summed for each document.
-
-An n-gram of a group of copies is counted in its shard first, so a frequent
-one is a single entry of each block; nothing is hot.
+In relational terms: every order has a count table of n-grams, partitioned by
+hash; the n-grams of the documents, exploded, are joined to it, and what the
+join finds is summed for each document. A row of either side stands for many
+n-grams at once: the sorted hashes of one shard of the texts that fall into one
+bucket of the table, with their numbers, and the totals in the same order. One
+row for each n-gram and shard would be several times as large on disk; blocks of
+differences of hashes take a few bytes an n-gram. Where there are more buckets
+than n-grams in a shard, a block is one n-gram, so blocks never outnumber rows.
+
+An n-gram that counts as often as ``least`` has parts that do, so orders go one
+after the other, and a shard asks for an n-gram only if the two shorter ones in
+it are frequent enough; all others back off in any case. Nothing is lost by it.
+
+An n-gram of a group of copies is counted in its shard first, so a frequent one
+is a single entry of each block; nothing is hot. Shards and buckets are as many
+as the texts' bytes ask for, so a task's memory does not grow with the table.
+
+N-grams are told apart by 64-bit hashes of their words' hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,8 +32,8 @@ from seriatim.llm.rows import texts_of
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
 _U = np.uint64
-#: Words whose hashes a task remembers.
-WORDS = 500_000
+#: Words whose hashes a task remembers, and bytes of the texts of one shard.
+WORDS, SHARD = 500_000, 16 << 20
 
 
 class Hashes:
@@ -45,116 +52,151 @@ class Hashes:
         return np.fromiter(map(known.__getitem__, words), _U, len(words))
 
 
-def grams_of(words: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of the runs of ``order`` words; the order is part of the hash."""
-    n = len(words) - order + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    h = np.full(n, _U(order * 0xD1B54A32D192ED03 % 2**64))
+def grams_of(words: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of the runs of ``order`` words that start at some places; the order is part of the hash."""
+    h = np.full(len(at), _U(order * 0xD1B54A32D192ED03 % 2**64))
     for k in range(order):
-        h = (h ^ words[k : k + n]) * _U(0x9E3779B97F4A7C15)
+        h = (h ^ words[at + k]) * _U(0x9E3779B97F4A7C15)
         h ^= h >> _U(32)
     return h
 
 
-def _shard_grams(words: list[np.ndarray], order: int) -> Iterator[np.ndarray]:
-    for k in range(1, order + 1):
-        yield np.concatenate([np.zeros(0, _U), *(grams_of(w, k) for w in words)])
+class Shard:
+    """The words of some texts in a row."""
+
+    def __init__(self, table: pa.Table) -> None:
+        hashes = Hashes()
+        words = [hashes.of(t) for c in table.column("_text").chunks for t in texts_of(c)]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.words = np.concatenate([np.zeros(0, _U), *words])
+        self.text = np.repeat(np.arange(len(words)), self.sizes)
+
+    def inside(self, order: int) -> np.ndarray:
+        """Where runs of so many words of one text start."""
+        n = len(self.words) - order + 1
+        return np.flatnonzero(self.text[:n] == self.text[order - 1 :]) if n > 0 else np.zeros(0, np.int64)
+
+    def grams(self, order: int, shorter: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the n-grams that may be frequent, as both shorter ones in them are."""
+        at = self.inside(order)
+        if shorter is not None:
+            at = at[(shorter[at] >= least) & (shorter[at + 1] >= least)]
+        return at, grams_of(self.words, at, order)
+
+    def counted(self, totals: list[np.ndarray], least: int) -> list[np.ndarray]:
+        """For each order the counts of the n-grams that start at each word, 0 where they are too rare."""
+        found: list[np.ndarray] = []
+        for order, total in enumerate(totals, 1):
+            at, h = self.grams(order, found[-1] if found else None, least)
+            counts = np.zeros(len(self.words), np.int64)
+            counts[at] = total[np.unique(h, return_inverse=True)[1]]
+            found.append(counts)
+        return found
+
+    def scores(self, counts: list[np.ndarray], n_words: int, least: int, backoff: float) -> np.ndarray:
+        """Each text's sum of the natural logarithms of its words' scores."""
+        score = np.log(counts[0] / n_words)
+        for order in range(2, len(counts) + 1):
+            # the best score of each word so far serves where its longer history is too rare
+            at = self.inside(order)
+            whole, before = counts[order - 1][at], counts[order - 2][at]
+            hit = whole >= least
+            end = at + order - 1
+            longer = np.log(np.where(hit, whole, 1) / np.maximum(before, 1))
+            score[end] = np.where(hit, longer, score[end] + np.log(backoff))
+        return np.bincount(self.text, score, len(self.sizes))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte: their upper bytes are zeros and compress away."""
+    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(block: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
 def _packed(ordered: np.ndarray) -> bytes:
-    """Ascending hashes as differences, byte by byte: their upper bytes are zeros and compress away."""
-    return np.diff(ordered, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending hashes as differences."""
+    return _planes(np.diff(ordered, prepend=_U(0)))
 
 
 def _unpacked(block: bytes) -> np.ndarray:
-    planes = np.frombuffer(block, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
+    return np.cumsum(_numbers(block).view(_U), dtype=_U)
 
 
-def _asked(order: int, buckets: int):
-    cuts = [(k << 64) // buckets for k in range(1, buckets)]
+def _cuts(buckets: int) -> np.ndarray:
+    return np.array([(k << 64) // buckets for k in range(1, buckets)], _U)
 
-    def run(table: pa.Table) -> pa.Table:
-        hashes = Hashes()
-        words = [hashes.of(t) for c in table.column("_text").chunks for t in texts_of(c)]
-        shard = table.column("_shard")[0].as_py()
-        out: dict[str, list] = {n: [] for n in ("_bucket", "_shard", "_grams", "_counts", "_words")}
-        found, times = np.unique(np.concatenate(list(_shard_grams(words, order))), return_counts=True)
-        edges = [0, *np.searchsorted(found, np.array(cuts, _U)).tolist(), len(found)]
-        total = sum(map(len, words))
-        for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            out["_bucket"].append(b)
-            out["_shard"].append(shard)
-            out["_grams"].append(_packed(found[lo:hi]))
-            out["_counts"].append(times[lo:hi].astype(np.uint32).tobytes())
-            out["_words"].append(total)
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    return run
+_ASKED = "_bucket int, _shard int, _grams binary, _counts binary, _words bigint"
+_ANSWERED = "_order int, _bucket int, _shard int, _totals binary, _all bigint"
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """Totals of one bucket, in each shard's order."""
-    asked = [_unpacked(x) for x in table.column("_grams").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in table.column("_counts").to_pylist()]
-    every = np.concatenate(asked)
-    order = np.argsort(every, kind="stable")
-    every = every[order]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first) if len(every) else np.zeros(0, np.int64)
-    known = every[first]
-    answers = [total[np.searchsorted(known, a)] for a in asked]
-    packed = [(a.astype(np.uint32) if not len(a) or a.max() < 1 << 32 else a).tobytes() for a in answers]
-    return pa.table(
-        {
-            "_bucket": table.column("_bucket"),
-            "_shard": table.column("_shard"),
-            "_totals": pa.array(packed, pa.binary()),
-            # every shard sends each bucket a block, so any bucket knows the number of all words
-            "_all": pa.array([sum(table.column("_words").to_pylist())] * len(packed), pa.int64()),
-        }
-    )
+def _asked(docs: pa.Table, totals: list[np.ndarray], least: int, buckets: int) -> pa.Table:
+    """The n-grams of the next order that a shard asks for, cut into buckets."""
+    shard = Shard(docs)
+    order = len(totals) + 1
+    _, h = shard.grams(order, shard.counted(totals, least)[-1] if totals else None, least)
+    found, times = np.unique(h, return_counts=True)
+    edges = [0, *np.searchsorted(found, _cuts(buckets)).tolist(), len(found)]
+    n = docs.column("_shard")[0].as_py()
+    cells = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo or order == 1]
+    columns = [
+        pa.array([b for b, _, _ in cells], pa.int32()),
+        pa.array([n] * len(cells), pa.int32()),
+        pa.array([_packed(found[lo:hi]) for _, lo, hi in cells], pa.binary()),
+        pa.array([_planes(times[lo:hi].astype(np.int64)) for _, lo, hi in cells], pa.binary()),
+        pa.array([len(shard.words)] * len(cells), pa.int64()),
+    ]
+    return pa.table(columns, names=[c.split()[0] for c in _ASKED.split(", ")])
 
 
-def backed_off(words: np.ndarray, known: np.ndarray, total: np.ndarray, n_words: int, order: int, least: int, backoff: float) -> float:
-    """The sum of the natural logarithms of a text's scores."""
+def _none() -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+    return pa.table([pa.array([], k) for k in kinds], names=[c.split()[0] for c in _ASKED.split(", ")])
 
-    def counts(h: np.ndarray) -> np.ndarray:
-        return total[np.searchsorted(known, h)]
 
-    n = len(words)
-    before = counts(grams_of(words, 1))
-    score = np.log(before / n_words)
-    for k in range(2, order + 1):
-        # the best score of each word so far serves where its longer history is too rare
-        if n < k:
-            break
-        whole = counts(grams_of(words, k))
-        longer = np.log(whole / before[: n - k + 1])
-        score[k - 1 :] = np.where(whole >= least, longer, score[k - 1 :] + np.log(backoff))
-        before = whole
-    return float(score.sum())
+def _answered_of(order: int, least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Totals of one bucket in each shard's order; what is too rare to count has none."""
+        asked = [_unpacked(x) for x in table.column("_grams").to_pylist()]
+        times = [_numbers(x) for x in table.column("_counts").to_pylist()]
+        sizes = np.cumsum([len(a) for a in asked])[:-1]
+        every, place = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, place, np.concatenate(times))
+        if order > 1:
+            total[total < least] = 0
+        packed = [_planes(np.ascontiguousarray(t)) for t in np.split(total[place], sizes)]
+        rows = table.num_rows
+        # every shard sends each bucket a block of single words, so any bucket knows the number of all words
+        n_words = sum(table.column("_words").to_pylist())
+        columns = [pa.array([order] * rows, pa.int32()), table.column("_bucket"), table.column("_shard"), pa.array(packed, pa.binary()), pa.array([n_words] * rows, pa.int64())]
+        return pa.table(columns, names=[c.split()[0] for c in _ANSWERED.split(", ")])
+
+    return run
+
+
+def _totals(answers: pa.Table) -> list[np.ndarray]:
+    """A shard's answers, order by order."""
+    out: dict[int, dict[int, bytes]] = {}
+    for order, bucket, block in zip(*(answers.column(c).to_pylist() for c in ("_order", "_bucket", "_totals"))):
+        out.setdefault(order, {})[bucket] = block
+    return [np.concatenate([np.zeros(0, np.int64), *(_numbers(b) for _, b in sorted(out.get(k, {}).items()))]) for k in range(1, max(out, default=0) + 1)]
 
 
-def _scored(order: int, buckets: int, least: int, backoff: float):
+def _scored_of(order: int, least: int, backoff: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        hashes = Hashes()
-        texts = [t for c in docs.column("_text").chunks for t in texts_of(c)]
-        words = [hashes.of(t) for t in texts]
-        known = np.unique(np.concatenate([np.zeros(0, _U), *_shard_grams(words, order)]))
-        sizes = dict(zip(answers.column("_bucket").to_pylist(), answers.column("_totals").to_pylist()))
-        edges = [0, *np.searchsorted(known, np.array([(k << 64) // buckets for k in range(1, buckets)], _U)).tolist(), len(known)]
-        total = np.concatenate(
-            [np.zeros(0, np.int64), *(np.frombuffer(sizes[b], np.uint32 if len(sizes[b]) == 4 * (hi - lo) else np.int64).astype(np.int64) for b, (lo, hi) in enumerate(zip(edges, edges[1:])))]
-        )
-        n_words = answers.column("_all")[0].as_py()
-        sums = [backed_off(w, known, total, n_words, order, least, backoff) if len(w) else None for w in words]
-        n = [len(w) for w in words]
-        mean = [s / k if k else None for s, k in zip(sums, n)]
+        shard = Shard(docs)
+        none = np.zeros(0, np.int64)
+        totals = [*_totals(answers), *[none] * order][:order]
+        sums = shard.scores(shard.counted(totals, least), answers.column("_all")[0].as_py() if answers.num_rows else 1, least, backoff)
+        n = shard.sizes
+        empty = n == 0
+        mean = sums / np.maximum(n, 1)
         return pa.table(
-            [docs.column("_id"), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())],
+            [docs.column("_id"), pa.array(n, pa.int64()), pa.array(sums, pa.float64(), mask=empty), pa.array(mean, pa.float64(), mask=empty)],
             names=["_id", "n_words", "log_score", "mean_log_score"],
         )
 
@@ -176,27 +218,34 @@ def scored(
     longest n-gram up to ``order`` counted ``least`` times or more, times
     ``backoff`` for each order given up; with no history, its share of all
     words. Logarithms are natural. A text without words, null included, has
-    null scores. Ids may be null or repeat; every row is scored and counted.
-    ``shards``, the session's shuffle partitions where left out, sizes the
-    blocks: a task holds one shard of the texts or one bucket of the counts.
+    null scores. Ids may be null or repeat; every row is scored and counted, so
+    repeated rows make their n-grams frequent; other columns play no part; an
+    empty table gives no rows. ``shards``, worked out from the bytes of all
+    texts where left out, is the number of parts of the texts and of buckets of
+    the counts: a task holds one of either.
     """
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(text)).alias("size")).first()["size"]
+        shards = max(1, -(-(size or 0) // SHARD))
     named = docs.select(
         F.col(doc_id).alias("_id"),
         F.col(text).alias("_text"),
         F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(shards)).cast("int").alias("_shard"),
     )
     kind = dict(named.dtypes)["_id"]
-    asked = named.groupBy("_shard").applyInArrow(
-        _asked(order, shards), "_bucket int, _shard int, _grams binary, _counts binary, _words bigint"
-    )
-    answers = asked.groupBy("_bucket").applyInArrow(_answered, "_bucket int, _shard int, _totals binary, _all bigint")
+    parts = named.groupBy("_shard")
+    answers: DataFrame | None = None
+    for k in range(1, order + 1):
+        if answers is None:
+            asked = parts.applyInArrow(lambda docs: _asked(docs, [], least, shards), _ASKED)
+        else:
+            asked = parts.cogroup(answers.groupBy("_shard")).applyInArrow(
+                lambda docs, known: _asked(docs, _totals(known), least, shards) if docs.num_rows else _none(), _ASKED
+            )
+        found = asked.groupBy("_bucket").applyInArrow(_answered_of(k, least), _ANSWERED)
+        answers = found if answers is None else answers.unionByName(found)
     return (
-        named.groupBy("_shard")
-        .cogroup(answers.groupBy("_shard"))
-        .applyInArrow(
-            _scored(order, shards, least, backoff), f"_id {kind}, n_words bigint, log_score double, mean_log_score double"
-        )
+        parts.cogroup(answers.groupBy("_shard"))
+        .applyInArrow(_scored_of(order, least, backoff), f"_id {kind}, n_words bigint, log_score double, mean_log_score double")
         .withColumnRenamed("_id", doc_id)
     )

@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seriatim.llm.rows import slices_of, texts_of, units_of
+from seriatim.llm.rows import buffers, slices_of, units_of
 
 LIMIT = 1024
 #: Units whose counts a worker remembers, the longest of them in bytes, and bytes worked on at once.
@@ -134,9 +135,9 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(tokenizer)
         for batch in batches:
-            texts = texts_of(batch.column("_text"))
-            counts = [n for a, b in slices_of(texts, AT_ONCE) for n in counter.many(texts[a:b])]
-            columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
+            counts = [n for _, texts in slices_of(batch.column("_text"), AT_ONCE) for n in counter.many(texts)]
+            sizes = np.diff(buffers(batch.column("_text"))[1])
+            columns = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *columns], names=[*passed, "n_bytes", "n_tokens", "over_limit"])
 
     found = named.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in passed), "n_bytes bigint, n_tokens bigint, over_limit boolean"]))
