@@ -297,8 +297,10 @@ EMOJI = "emoji"
 #: The class of the block that holds the page of a one-block comic.
 COMIC_BLOCK = "comic-image"
 IMAGE = rf"(?is)<img\b{_REST}>"
-#: Blocks of a body, and images that stand alone in it.
-BODY_BLOCK = rf"(?is)<(p|div|figure|h[1-6]|ul|ol|blockquote|table|section)\b{_REST}>.*?</\1\s*>|<img\b{_REST}>"
+#: A tag, or the text up to the next one.
+PIECE = rf"(?s)<[/!?A-Za-z]{_REST}>|<[/!?A-Za-z][^>]*>|(?:[^<]++|<(?![/!?A-Za-z]))++|<"
+#: Elements without an end.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 
 def page_images(markup: Column) -> Column:
@@ -310,27 +312,77 @@ def page_images(markup: Column) -> Column:
     return F.filter(sources, lambda source: source != "")
 
 
+def _pieces(html: Column) -> Column:
+    """A body's tags and texts in order: ``kind``, the tag's ``name``, ``prose`` characters or page ``image``, ``comic``."""
+    wide = rf"(?is)\sclass\s*=\s*(?:\"(?:[^\"]*\s)?{COMIC_BLOCK}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{COMIC_BLOCK}(?:\s[^']*)?'|{COMIC_BLOCK}[\s>/])"
+
+    def read(piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][^\s/>]*)", 1))
+        kind = (
+            F.when(~piece.rlike("^<[/!?A-Za-z]"), "text")
+            .when(name == "", "other")
+            .when(F.startswith(piece, F.lit("</")), "close")
+            .when(name.isin(*VOID) | F.endswith(piece, F.lit("/>")), "void")
+            .otherwise("open")
+        )
+        text = F.when(kind == "text", F.length(U.strip(unescape(piece)))).otherwise(0)
+        image = F.when(name == "img", F.size(page_images(piece))).otherwise(0)
+        comic = (kind == "open") & (name == "div") & piece.rlike(wide)
+        return F.struct(kind.alias("kind"), name.alias("name"), text.alias("prose"), image.alias("image"), comic.alias("comic"))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(PIECE), F.lit(0)), read)
+
+
 def article_blocks(html: Column) -> Column:
     """A body's blocks as ``(image, prose)``: so many page images, or so many characters of prose.
 
-    A block with text is prose, whatever images stand in it. A body with a
-    ``comic-image`` block has that block alone. A block ends at the first end of
-    its own tag, so one nested in another of its kind counts as the next; text
-    outside all blocks is not counted.
+    Blocks are the direct children of the body, elements whatever is nested in
+    them and the text between them. A block with text is prose, whatever images
+    stand in it; prose is counted text by text, without blanks at either end. A
+    body with a ``comic-image`` block has that block alone, the first of them.
+
+    One fold over the tags keeps the names of the open elements: an end closes
+    the innermost element of its name and all inside it, one without a beginning
+    counts for nothing, and elements left open end with the body.
     """
-    shown = F.regexp_replace(visible(html), NOSCRIPT, "")
-    comic = rf"(?is)<div\b[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?{COMIC_BLOCK}(?:\s[^\"']*)?[\"'][^>]*>.*?</div\s*>"
+    zero = F.lit(0)
+    none = F.array().cast("array<struct<image:int,prose:int>>")
+    start = F.struct(
+        F.array().cast("array<string>").alias("open"), zero.alias("prose"), zero.alias("image"), none.alias("blocks"), zero.alias("comic"), zero.alias("pages")
+    )
 
-    def block_of(markup: Column) -> Column:
-        prose = F.length(text_of(markup))
-        images = F.when(prose > 0, F.lit(0)).otherwise(F.size(page_images(markup)))
-        return F.struct(images.alias("image"), prose.alias("prose"))
+    def block(image: Column, prose: Column) -> Column:
+        return F.array(F.struct(F.when(prose > 0, zero).otherwise(image).alias("image"), prose.alias("prose")))
+
+    def step(held: Column, piece: Column) -> Column:
+        names, kind = held["open"], piece["kind"]
+        depth = F.size(names)
+        at = F.array_position(names, piece["name"]).cast("int")
+        opens, closes = kind == "open", (kind == "close") & (at > 0)
+        outside = depth == 0
+        alone = outside & (piece["prose"] + piece["image"] > 0)
+        ends = closes & (at == depth)
+        return F.struct(
+            F.when(opens, F.concat(F.array(piece["name"]), names)).when(closes, F.slice(names, at + 1, depth)).otherwise(names).alias("open"),
+            F.when(outside, zero).otherwise(held["prose"] + piece["prose"]).alias("prose"),
+            F.when(outside, zero).otherwise(held["image"] + piece["image"]).alias("image"),
+            F.when(ends, F.concat(held["blocks"], block(held["image"], held["prose"])))
+            .when(alone, F.concat(held["blocks"], block(piece["image"], piece["prose"])))
+            .otherwise(held["blocks"])
+            .alias("blocks"),
+            # the depth of the open comic block, -1 once it is closed
+            F.when(piece["comic"] & (held["comic"] == 0), depth + 1)
+            .when(closes & (held["comic"] > depth - at), F.lit(-1))
+            .otherwise(held["comic"])
+            .alias("comic"),
+            (held["pages"] + F.when(held["comic"] > 0, piece["image"]).otherwise(0)).alias("pages"),
+        )
 
-    def read(only: Column) -> Column:
-        alone = F.array(F.struct(F.size(page_images(only)).alias("image"), F.lit(0).alias("prose")))
-        return F.when(only != "", alone).otherwise(F.transform(F.regexp_extract_all(shown, F.lit(BODY_BLOCK), F.lit(0)), block_of))
+    def finish(held: Column) -> Column:
+        left = F.when(F.size(held["open"]) > 0, F.concat(held["blocks"], block(held["image"], held["prose"]))).otherwise(held["blocks"])
+        return F.when(held["comic"] != 0, block(held["pages"], zero)).otherwise(left)
 
-    return let(F.regexp_extract(shown, comic, 0), read)
+    return F.aggregate(_pieces(F.regexp_replace(visible(html), NOSCRIPT, "")), start, step, finish)
 
 
 def body_blocks(html: Column, is_image: Callable[[Column], Column]) -> Column:

@@ -215,29 +215,43 @@ def l6(spark, folder):
 
 
 _BLOCKS = r"""
-WITH body AS (SELECT page_id, regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g') AS html FROM pages),
-part AS (SELECT page_id, unnest(regexp_extract_all(html, '<p>(.*?)</p>', 1)) AS p,
-                unnest(range(1, len(regexp_extract_all(html, '<p>(.*?)</p>', 1)) + 1)) AS idx FROM body),
-said AS (SELECT page_id, idx, contains(p, '<b>') AS image, length(trim(replace(replace(replace(replace(
-    replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&'))) AS prose FROM part),
-edge_of AS (SELECT page_id, min(idx) FILTER (WHERE image) AS lo, max(idx) FILTER (WHERE image) AS hi,
-                count(*) FILTER (WHERE image) AS images FROM said GROUP BY page_id),
-own AS (SELECT p.page_id, coalesce(any_value(images), 0) AS images,
-               coalesce(sum(prose) FILTER (WHERE NOT image AND idx BETWEEN lo AND hi), 0) AS prose
-        FROM pages p LEFT JOIN edge_of USING (page_id) LEFT JOIN said USING (page_id) GROUP BY p.page_id),
+WITH body AS (SELECT page_id, regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs') AS html FROM pages),
+article AS (SELECT page_id, regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<p><b>(.*?)<br>', '<div class="' ||
+    CASE WHEN page_id % 5 = 0 THEN 'wide comic-image' ELSE 'wide' END ||
+    '"><div><img src="/a.png"><img class="emoji" src="/e.png"></div><img src="/b.png"></div>\1', 'gs') AS html FROM body),
+piece AS (SELECT page_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS idx
+  FROM (SELECT page_id, regexp_extract_all(html, '<[^>]*>|[^<]+') AS p FROM article)),
+moved AS (SELECT *, CASE WHEN piece LIKE '</%' THEN -1 WHEN piece LIKE '<%' AND piece NOT LIKE '<img%' THEN 1 ELSE 0 END AS step FROM piece),
+deep AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY idx) - step AS depth FROM moved),
+cut AS (SELECT *, sum(CASE WHEN depth = 0 AND step >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY idx) AS block,
+  CASE WHEN piece LIKE '<img%' AND piece NOT LIKE '%emoji%' THEN 1 ELSE 0 END AS img,
+  CASE WHEN piece LIKE '<%' THEN 0 ELSE length(trim(replace(replace(replace(replace(
+    replace(piece, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&'))) END AS prose FROM deep),
+said AS (SELECT page_id, block AS idx, CASE WHEN sum(prose) > 0 THEN 0 ELSE sum(img) END AS image, sum(prose) AS prose,
+  bool_or(piece LIKE '%comic-image%') AS comic FROM cut GROUP BY ALL),
+edge_of AS (SELECT page_id, min(idx) FILTER (WHERE image > 0) AS lo, max(idx) FILTER (WHERE image > 0) AS hi, sum(image) AS images,
+  bool_or(comic) AS comic, arg_min(image, idx) FILTER (WHERE comic) AS first FROM said GROUP BY page_id),
+own AS (SELECT p.page_id, coalesce(any_value(CASE WHEN e.comic THEN first ELSE images END), 0) AS images,
+               CASE WHEN any_value(e.comic) THEN 0 ELSE coalesce(sum(prose) FILTER (WHERE image = 0 AND idx BETWEEN lo AND hi), 0) END AS prose
+        FROM pages p LEFT JOIN edge_of e USING (page_id) LEFT JOIN said USING (page_id) GROUP BY p.page_id),
 tag AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS lang, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h1,
                regexp_extract_all(html, '<a href="/([^"]*)">', 1) AS tags FROM pages)
 """
 
 
 def _bodies(spark, folder):
-    html = links.visible(F.col("html"))
-    blocks = links.body_blocks(html, lambda p: F.contains(p, F.lit("<b>")))
+    """Article bodies: each bold heading becomes a nested block of images, an emoji among them, with bare text after it."""
+    kind = F.when(F.col("page_id") % 5 == 0, "wide comic-image").otherwise("wide")
+    images = F.concat(
+        F.lit('<div class="'), kind, F.lit('"><div><img src="/a.png"><img class="emoji" src="/e.png"></div><img src="/b.png"></div>$1')
+    )
+    article = F.regexp_extract(links.visible(F.col("html")), "(?s)<article>(.*?)</article>", 1)
+    body = F.regexp_replace(article, F.lit("(?s)<p><b>(.*?)<br>"), images)
     tags = F.transform(links.hrefs(F.col("html")), lambda h: F.substr(h, F.lit(2)))
     return views.pages(spark, folder).select(
         "page_id",
         U.path_group(F.col("url"), "^/([a-z]+)/").alias("lang"),
-        links.own_pages(blocks).alias("own"),
+        links.own_pages(links.article_blocks(body)).alias("own"),
         tags.alias("tags"),
     )
 
@@ -247,7 +261,7 @@ def _bodies(spark, folder):
     sql(body=_BLOCKS + "SELECT page_id, CAST(images AS INT) AS images, CAST(prose AS INT) AS prose FROM own"),
 )
 def l7(spark, folder):
-    """Bold-led paragraphs stand in for image blocks: how many, and the prose between first and last."""
+    """The page images of an article's body, and the prose between the first and the last of them."""
     return _bodies(spark, folder).select("page_id", "own.images", "own.prose")
 
 

@@ -127,13 +127,21 @@ def json_api(documents: DataFrame, body: str, work_type: str, order_key: str) ->
     )
 
 
-def pages_by_count(episodes: DataFrame, base: str, count: str) -> DataFrame:
-    """One page per number up to ``count``, named after ``base``; none without a count."""
-    numbers = F.sequence(F.lit(1), F.col(count).cast("int"))
-    return (
-        episodes.where(F.col(count) >= 1)
-        .withColumn("page_no", F.explode(numbers))
-        .withColumn("page_url", F.concat(F.col(base), F.col("page_no").cast("string"), F.lit(".jpg")))
-    )
+#: Numbers that one array of ``pages_by_count`` holds at most.
+STRETCH = 1 << 20
 
 
+def pages_by_count(episodes: DataFrame, base: str, count: str) -> DataFrame:
+    """One page per number up to ``count``, named after ``base``; none without a count.
+
+    Numbers come in stretches of stretches, so that a count of any size, a
+    mistaken one included, never makes an array of its own length.
+    """
+    numbered = episodes.where(F.col(count) >= 1).withColumn("_last", F.col(count).cast("bigint") - 1).withColumn("_at", F.lit(0).cast("bigint"))
+    for width in (STRETCH * STRETCH, STRETCH, 1):
+        # the parts that follow in what is left of this stretch
+        upto = F.least(F.col("_last"), F.col("_at") + F.lit(width * STRETCH - 1)) if width < STRETCH * STRETCH else F.col("_last")
+        parts = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", upto - F.col("_at"), F.lit(width).cast("bigint")))
+        numbered = numbered.withColumn("_part", F.explode(parts)).withColumn("_at", F.col("_at") + F.col("_part") * F.lit(width))
+    named = numbered.withColumn("page_no", F.col("_at") + 1).drop("_last", "_at", "_part")
+    return named.withColumn("page_url", F.concat(F.col(base), F.col("page_no").cast("string"), F.lit(".jpg")))

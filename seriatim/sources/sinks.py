@@ -14,10 +14,11 @@ from seriatim.operators import ordered
 def write_episodes(episodes: DataFrame, path: str, host: str = "host") -> None:
     """Episode records as JSON, one folder per host, nulls written, dates as ISO text.
 
-    No shuffle first: a task writes to the folders its rows name, and a host
-    with a third of all episodes is written by every task that holds some.
+    Rows of a host are brought together first, so a host has a file or a few,
+    not one from every task. Spark sizes the parts at run time: small hosts share
+    a task, one with a third of all episodes is split over many.
     """
-    episodes.write.partitionBy(host).option("ignoreNullFields", "false").json(path)
+    episodes.hint("rebalance", host).write.partitionBy(host).option("ignoreNullFields", "false").json(path)
 
 
 def file_name(index: Column, count: Column, extension: str = "jpg") -> Column:

@@ -161,6 +161,11 @@ def test_article_blocks(spark):
         '<p><img class="emoji" src="e"></p><p><img src="1"></p><p>text <img src="2"></p>': (1, 0),
         '<p>long text</p><div class="wide comic-image"><img src="1"><img src="2"></div><p><img src="3"></p>': (2, 0),
         '<img src="1"><p>ab</p><noscript><img src="9"></noscript><img src="">': (1, 0),
+        '<div><div><img src="1"></div><img src="2"></div>bare text<div><div><img src="3"></div> said </div><img src="4">': (3, 13),
+        '<div><p><img src="1"></div>ab &amp; c</p><p> d <b>e</b> <img src="2"/>': (1, 0),
+        '<img src="1"></div></p>a<br>b<section><div class="comic-image"><div><img src="2"></div><img src="3"></div><img src="4"></section>': (2, 0),
+        '<img src="1"><div>one<div>two</div></div><ul><li>x<li>y</ul>z<img src="2"><div>open': (2, 9),
+        '<img alt="a > b" src="1"><!-- <p>no</p> --><p>1 < 2</p><img src="2">': (2, 5),
         "": (0, 0),
     }
     df = spark.createDataFrame([(b,) for b in bodies], "html string")
