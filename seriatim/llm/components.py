@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.sources.shared import new_path, written
+from seriatim.sources.shared import discard, measured, written
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -15,7 +15,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     label of that label, so long chains halve as well; it is written to the
     shared folder, so a lost executor repeats one round at most.
     """
-    spark = links.sparkSession
     pairs = links.select(F.col(a).alias("node"), F.col(b).alias("near")).where("node <> near")
     both = written(pairs.union(pairs.select("near", "node")).distinct(), "links")
     labels = written(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "labels")
@@ -31,10 +30,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         stepped = least.join(jump, "label", "left").select(
             "node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"
         )
-        seen, path = Observation(), new_path(spark, "labels")
-        stepped.observe(seen, F.count_if(F.col("label") != F.col("old")).alias("moved")).select(
-            "node", "label"
-        ).write.parquet(path)
-        labels = spark.read.schema("node bigint, label bigint").parquet(path)
-        if not seen.get["moved"]:
-            return labels
+        known, seen = measured(stepped, "labels", moved=F.count_if(F.col("label") != F.col("old")))
+        discard(labels)
+        labels = known
+        if not seen["moved"]:
+            discard(both)
+            return labels.select("node", "label")

@@ -19,6 +19,8 @@ from seriatim.llm.rows import texts_of
 
 #: Bytes from which a band holds, and its least and largest ratio. Shorter texts are not judged.
 BANDS = (
+    (16, 0.40, 1.80),
+    (64, 0.40, 1.30),
     (128, 0.40, 1.15),
     (256, 0.30, 0.95),
     (512, 0.25, 0.85),
@@ -26,9 +28,9 @@ BANDS = (
     (4096, 0.18, 0.72),
     (16384, 0.15, 0.70),
 )
-CHUNK = 4096
+CHUNK = 1024
 #: The band of a chunk, and the share of chunks outside it that rejects a document.
-CHUNK_BAND = (0.18, 0.72)
+CHUNK_BAND = (0.20, 0.75)
 CHUNK_SHARE = 0.25
 LEVEL = 3
 
@@ -89,7 +91,9 @@ class Bands:
         if band is None:
             return True, None, 0, 0
         ratio = self.ratio(text)
-        chunks = range(0, len(text) - CHUNK + 1, CHUNK) if len(text) >= 2 * CHUNK else ()
+        chunks = list(range(0, len(text) - CHUNK + 1, CHUNK)) if len(text) >= 2 * CHUNK else []
+        if chunks and len(text) % CHUNK:
+            chunks.append(len(text) - CHUNK)  # the last one ends where the text does
         outside = sum(not CHUNK_BAND[0] <= self.ratio(text[k : k + CHUNK]) <= CHUNK_BAND[1] for k in chunks)
         kept = band[1] <= ratio <= band[2] and outside <= CHUNK_SHARE * len(chunks)
         return kept, ratio, outside, len(chunks)
@@ -112,24 +116,27 @@ def quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
     Words are what white space (ASCII) separates; a null text has none. A text
     with fewer than ten words, or with over a fifth of its words in repeated
-    five-word windows, fails before its ratios count. Ids may be null or
-    repeat; every row is judged by itself.
+    five-word windows, fails before its ratios count. Chunks of ``CHUNK`` bytes
+    are judged from two of them on, the last one ending with the text. Ids may be
+    null or repeat; every row is judged by itself, so ties and repeated rows
+    play no part; an empty table gives no rows. A kept column named like a
+    measure gives way to it.
     """
-    rest = list(dict.fromkeys(keep))
-    at = text if text in rest else "_text"
-    named = docs.select(*(F.col(c) for c in rest), *([] if at == text else [F.col(text).alias(at)]))
-    types = dict(named.dtypes)
     names = [x.strip().split()[0] for x in _OUT.split(",")]
+    rest = [c for c in dict.fromkeys(keep) if c not in names]
+    named = docs.select(*(F.col(c).alias(f"_c{n}") for n, c in enumerate(rest)), F.col(text).alias("_text"))
+    passed, types = named.columns[:-1], dict(named.dtypes)
     kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     made = [kinds[x.strip().split()[1]] for x in _OUT.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands()
         for batch in batches:
-            rows = [measured(t, bands) for t in texts_of(batch.column(at))]
+            rows = [measured(t, bands) for t in texts_of(batch.column("_text"))]
             columns = zip(*rows) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in rest), *(pa.array(c, k) for c, k in zip(columns, made))], names=[*rest, *names]
+                [*(batch.column(c) for c in passed), *(pa.array(c, k) for c, k in zip(columns, made))], names=[*passed, *names]
             )
 
-    return named.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in rest), _OUT]))
+    found = named.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in passed), _OUT]))
+    return found.withColumnsRenamed(dict(zip(passed, rest)))

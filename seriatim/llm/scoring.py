@@ -52,11 +52,12 @@ class Hashes:
         return np.fromiter(map(known.__getitem__, words), _U, len(words))
 
 
-def grams_of(words: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of the runs of ``order`` words that start at some places; the order is part of the hash."""
-    h = np.full(len(at), _U(order * 0xD1B54A32D192ED03 % 2**64))
+def grams_of(words: np.ndarray, order: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the runs of ``order`` words, of all or those that start at some places; the order is part of the hash."""
+    n = max(0, len(words) - order + 1) if at is None else len(at)
+    h = np.full(n, _U(order * 0xD1B54A32D192ED03 % 2**64))
     for k in range(order):
-        h = (h ^ words[at + k]) * _U(0x9E3779B97F4A7C15)
+        h = (h ^ (words[k : k + n] if at is None else words[at + k])) * _U(0x9E3779B97F4A7C15)
         h ^= h >> _U(32)
     return h
 
@@ -81,7 +82,7 @@ class Shard:
         at = self.inside(order)
         if shorter is not None:
             at = at[(shorter[at] >= least) & (shorter[at + 1] >= least)]
-        return at, grams_of(self.words, at, order)
+        return at, grams_of(self.words, order, at)
 
     def counted(self, totals: list[np.ndarray], least: int) -> list[np.ndarray]:
         """For each order the counts of the n-grams that start at each word, 0 where they are too rare."""

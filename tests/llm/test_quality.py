@@ -46,10 +46,13 @@ def test_bands_tell_prose_from_repetition_and_noise(spark):
     loop = " ".join(f"{n} {rng.choice(phrase)}" for n in range(900))
     half = prose[3000] + " " + "z " * 12000
     rows = [*prose.items(), (-1, noise), (-2, loop), (-3, half)]
+    # half noise, and noise at the end of a text that is no whole number of chunks
+    rows += [(-4, prose[3000][:1500] + noise[:1500]), (-5, prose[3000][:2100] + noise[:900])]
+    rows += [(-6, "ab" * 40 + " a b c d e f g h i")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
     assert all(kept[n] for n in prose)
-    assert not kept[-1] and not kept[-2] and not kept[-3]
+    assert not any(kept[n] for n in range(-6, 0))
 
 
 def test_empty_table(spark):
