@@ -1,14 +1,15 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 A gram is four bytes of the lower-cased text with everything ASCII that is no
-letter turned to a blank. From the learning rows, a language's grams are those
-at least ``TYPICAL`` times as frequent in it as in any other language. The filter's slots
-hold one bit a language, so that one look-up of a gram gives the languages
-that contain it. A text's hits by language, less the share that false
-positives bring, decide.
-
-Learning counts all grams of all learning rows by hash; what leaves Spark are
-the languages' typical grams, at most ``GRAMS`` numbers whatever the input.
+letter turned to a blank, kept whole as a 32-bit number. A language contains a
+gram if the learning rows show, with confidence, that at least ``LEAST_RATE`` of
+its grams are that one. The filter's slots hold one bit a language, so that one
+look-up of a gram gives all languages that contain it. A text's hits by
+language, less the share that false positives bring, decide.
+
+Learning counts all grams of all learning rows. What leaves Spark are the grams
+languages contain: rates add up to one, so these are at most ``1 / LEAST_RATE``
+a language, whatever the input, and the filter's size follows their number.
 """
 
 from __future__ import annotations
@@ -23,41 +24,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriatim.llm.rows import texts_of
+from seriatim.sources.shared import written
 
-#: Hash values of grams, slots of the filter, look-ups of a gram.
-GRAMS, SLOTS, LOOKUPS = 1 << 18, 1 << 21, 3
-#: A gram belongs to a language if this share of its greatest frequency is reached there.
-TYPICAL = 0.5
-#: Occurrences below which a gram says nothing about a language.
-RARE = 3
+#: Slots of the filter for each gram in it, look-ups of a gram.
+ROOM, LOOKUPS = 8, 3
+#: The share of a language's grams that one must reach, and the standard deviations that chance is given.
+LEAST_RATE, SURE = 1e-5, 1.64
+#: Grams a task holds before it counts them.
+HELD = 4_000_000
 
 _U = np.uint64
 _FOLD = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
 
 def grams(text: str) -> np.ndarray:
-    """Hash values of the text's grams, those of one blank run aside."""
+    """The text's grams, those of one blank run aside."""
     data = text.lower().encode().translate(_FOLD)
     data = np.frombuffer(b" " + b" ".join(data.split()) + b" ", np.uint8).astype(np.uint32)
     if len(data) < 4:
-        return np.zeros(0, np.int64)
-    packed = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
-    packed = (packed ^ (packed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    packed = (packed ^ (packed >> np.uint32(12))) * np.uint32(0x297A2D39)
-    return ((packed ^ (packed >> np.uint32(15))) & np.uint32(GRAMS - 1)).astype(np.int64)
+        return np.zeros(0, np.uint32)
+    return data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
 
 
 def has_letter(text: str) -> bool:
     return any(unicodedata.category(c)[0] == "L" for c in set(text))
 
 
-def _slots(values: np.ndarray) -> np.ndarray:
-    """The filter's slots of each gram, a column a look-up."""
+def _slots(values: np.ndarray, size: int) -> np.ndarray:
+    """The places of each gram in a filter of so many slots, a column a look-up."""
     x = values.astype(_U) + _U(1)
     out = []
     for k in range(LOOKUPS):
         y = (x * _U(0x9E3779B97F4A7C15) + _U((k + 1) * 0xD1B54A32D192ED03 % 2**64)) * _U(0xBF58476D1CE4E5B9)
-        out.append(((y ^ (y >> _U(29))) >> _U(8)) % _U(SLOTS))
+        out.append(((y ^ (y >> _U(29))) >> _U(8)) % _U(size))
     return np.stack(out, axis=1).astype(np.int64)
 
 
@@ -69,16 +68,34 @@ class Model:
     planes: list[np.ndarray]
     false: np.ndarray
 
+    @classmethod
+    def of(cls, names: list[str], gram: np.ndarray, lang: np.ndarray) -> Model:
+        """The filter of pairs of a gram and the number of a language that contains it."""
+        slots = 1 << max(10, (ROOM * len(np.unique(gram)) - 1).bit_length())
+        planes = [np.zeros(slots, _U) for _ in range(-(-len(names) // 64))]
+        at = _slots(gram, slots)
+        for p, plane in enumerate(planes):
+            mine = lang // 64 == p
+            bit = _U(1) << (lang[mine] % 64).astype(_U)
+            for k in range(LOOKUPS):
+                np.bitwise_or.at(plane, at[mine, k], bit)
+        size = np.bincount(lang, minlength=len(names))
+        return cls(names, planes, (1 - np.exp(-LOOKUPS * size / slots)) ** LOOKUPS)
+
+    def containing(self, values: np.ndarray) -> list[np.ndarray]:
+        """For each plane the bits of the languages that contain each gram."""
+        out = []
+        for plane in self.planes:
+            at = _slots(values, len(plane))
+            out.append(np.bitwise_and.reduce(plane[at], axis=1))
+        return out
+
     def scores(self, text: str) -> np.ndarray:
         """Corrected hits by language."""
         values = grams(text)
         hits = np.zeros(len(self.names))
         for start in range(0, len(values), 1 << 16):
-            at = _slots(values[start : start + (1 << 16)])
-            for p, plane in enumerate(self.planes):
-                mask = plane[at[:, 0]]
-                for k in range(1, LOOKUPS):
-                    mask = mask & plane[at[:, k]]
+            for p, mask in enumerate(self.containing(values[start : start + (1 << 16)])):
                 for n in range(64 * p, min(64 * p + 64, len(self.names))):
                     hits[n] += int(np.count_nonzero(mask & _U(1 << (n - 64 * p))))
         return np.maximum(0, hits - len(values) * self.false) / (1 - self.false)
@@ -98,54 +115,36 @@ def learned(docs: DataFrame, text: str, lang: str, learns: Column) -> Model:
     rows = docs.where(learns).select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).dropna()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            gram, n, name = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for one, c in counts.items():
-                gram.append(np.flatnonzero(c))
-                n.append(c[gram[-1]])
-                name += [one] * len(gram[-1])
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(np.concatenate(gram)), pa.array(np.concatenate(n))], names=["lang", "gram", "n"])
+        def counted() -> Iterator[pa.RecordBatch]:
+            for one, values in held.items():
+                gram, n = np.unique(np.concatenate(values), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            held.clear()
 
         for batch in batches:
             for t, one in zip(texts_of(batch.column("_text")), batch.column("_lang").to_pylist()):
-                if one not in counts:
-                    if len(counts) == 64:
-                        yield out()
-                    counts[one] = np.zeros(GRAMS, np.int64)
                 values = grams(t.decode())
-                if len(values) > GRAMS // 8:
-                    counts[one] += np.bincount(values, minlength=GRAMS)
-                else:
-                    np.add.at(counts[one], values, 1)
-        yield out()
+                held.setdefault(one, []).append(values)
+                size += len(values)
+                if size > HELD:
+                    yield from counted()
+                    size = 0
+        yield from counted()
 
     counted = rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = written(counted, "grams")
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counted.join(total, "lang").where(f"n >= {RARE}").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
-    most = rate.groupBy("gram").agg(F.max("rate").alias("most"))
     names = sorted(r.lang for r in total.select("lang").collect())
-    typical = rate.join(most, "gram").where(F.col("rate") >= TYPICAL * F.col("most"))
-    kept = typical.groupBy("gram").agg(F.collect_set("lang").alias("langs")).toArrow()
-    at = {name: n for n, name in enumerate(names)}
-    planes = [np.zeros(SLOTS, _U) for _ in range(-(-len(names) // 64))]
-    gram = kept.column("gram").to_numpy()
-    langs = kept.column("langs").to_pylist()
-    size = np.zeros(len(names))
-    masks = [np.zeros(len(gram), _U) for _ in planes]
-    for n, found in enumerate(langs):
-        for one in found:
-            masks[at[one] // 64][n] |= _U(1 << (at[one] % 64))
-            size[at[one]] += 1
-    if len(gram):
-        slots = _slots(gram)
-        for plane, mask in zip(planes, masks):
-            for k in range(LOOKUPS):
-                np.bitwise_or.at(plane, slots[:, k], mask)
-    false = (1 - np.exp(-LOOKUPS * size / SLOTS)) ** LOOKUPS
-    return Model(names, planes, false)
+    # the rate that the count is sure to stand for
+    sure = F.col("n") - SURE * F.sqrt("n")
+    kept = counted.join(total, "lang").where((sure > 0) & (sure >= LEAST_RATE * F.col("total"))).select("lang", "gram").toArrow()
+    number = {name: n for n, name in enumerate(names)}
+    lang = kept.column("lang").combine_chunks().dictionary_encode()
+    of = np.array([number[x] for x in lang.dictionary.to_pylist()], np.int64)
+    return Model.of(names, kept.column("gram").to_numpy(), of[lang.indices.to_numpy(zero_copy_only=False)] if len(of) else np.zeros(0, np.int64))
 
 
 def identified(
