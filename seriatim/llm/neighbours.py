@@ -13,6 +13,12 @@ of the projections, the cuts of the curves, and the window. The window is what
 neighbours, which one pass over all rows tells. Data with clusters get by with
 small windows; vectors spread evenly in many dimensions need wide ones.
 Every row is indexed, and copies of one vector are spread over cuts by a hash.
+A row is sent once for each curve, and again only where more than ``AT_ONCE``
+queries look at one partition. Where the sample cannot cut a curve finely enough,
+rows of a partition are dealt by a hash, and its queries look at all parts.
+
+Vectors much longer than the rest would press all others together on the
+curves; they stand apart, and every query is held against them.
 """
 
 from __future__ import annotations
@@ -22,13 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriatim.sources.shared import counted
 
 CURVES, DIMS, BITS = 8, 6, 10
 SAMPLE, QUERIES, RECALL = 4096, 64, 0.97
+#: Lengths beyond so many times that of nearly all sampled vectors stand apart.
+LONG, NEARLY_ALL = 1.5, 0.99
 #: Rows of one partition of a curve, and the queries that one task scores against it.
 BLOCK, AT_ONCE = 8192, 4096
 _U = np.uint64
@@ -175,24 +183,30 @@ def _true_windows(rows: DataFrame, index: Index, some: np.ndarray, some_ids: np.
     dims = some.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # each query's best of all that the task has seen
+        held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, dims))) for _ in some]
         for batch in batches:
             x, ids = _matrix(batch.column("_vector"), dims), batch.column("_id").to_numpy()
-            best = [(q, *b) for q, *b in _searched(some, some_ids, x, ids, most)]
-            kept = [x[np.array([np.flatnonzero(ids == i)[0] for i in b[1]], np.int64)] if len(b[1]) else x[:0] for b in best]
-            for (q, i, s), v in zip(best, kept):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(i), q)), pa.array(i), pa.array(s), pa.array([r.tobytes() for r in v], pa.binary())], names=["q", "id", "score", "vector"]
-                )
+            for q, i, s in _searched(some, some_ids, x, ids, most):
+                at = {one: n for n, one in enumerate(ids.tolist())}
+                near = x[[at[one] for one in i.tolist()]] if len(i) else x[:0]
+                i, s, v = (np.concatenate(pair) for pair in zip(held[q], (i, s, near)))
+                first = np.lexsort((i, -s))[:most]
+                held[q] = i[first], s[first], v[first]
+        for q, (i, s, v) in enumerate(held):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(i), q)), pa.array(i), pa.array(s), pa.array([r.tobytes() for r in v], pa.binary())], names=["q", "id", "score", "vector"]
+            )
 
     near = rows.mapInArrow(run, "q bigint, id bigint, score double, vector binary")
-    best = near.groupBy("q").agg(
-        F.slice(F.sort_array(F.collect_set(F.struct("score", "id", "vector")), asc=False), 1, most).alias("best")
-    )
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    best = near.withColumn("place", place).where(F.col("place") <= most).groupBy("q").agg(F.collect_list("vector").alias("best"))
     apart = []
     for r in best.collect():
         if not r.best:
             continue
-        true = np.stack([np.frombuffer(b.vector, np.float64) for b in r.best])
+        true = np.stack([np.frombuffer(b, np.float64) for b in r.best])
+        true = true[np.sqrt((true * true).sum(axis=1)) <= index.length]  # longer ones are found in any case
         least = np.full(len(true), 1.0)
         for c in range(CURVES):
             at = index.places(index.keys(some[r.q : r.q + 1], c, True), c)
@@ -237,47 +251,67 @@ def nearest(
             )
 
     rows, n = counted(held.where(F.size("_v") == dims).mapInArrow(pack, "_id bigint, _vector binary, _size double"), "vectors")
-    length = rows.agg(F.max("_size")).first()[0]
-    sample = rows.select("_id", "_vector").orderBy(F.xxhash64(F.lit(11), "_id"), "_id").limit(SAMPLE).toArrow()
+    sample = rows.select("_id", "_vector", "_size").orderBy(F.xxhash64(F.lit(11), "_id"), "_id").limit(SAMPLE).toArrow()
     some, some_ids = _matrix(sample.column("_vector").combine_chunks(), dims), sample.column("_id").to_numpy()
-    index = _fitted(some, length, max(1, min(-(-n // block), len(some))))
-    index.window = _true_windows(rows, index, some[:QUERIES], some_ids[:QUERIES], most)
+    length = LONG * float(np.quantile(sample.column("_size").to_numpy(), NEARLY_ALL))
+    told = rows.agg(F.count_if(F.col("_size") > length).alias("long"), F.max(F.when(F.col("_size") <= length, F.col("_size"))).alias("length")).first()
+    length = told["length"]
+    kept = np.sqrt((some * some).sum(axis=1)) <= length
+    index = _fitted(some[kept], length, max(1, min(-(-n // block), int(kept.sum()))))
+    index.window = _true_windows(rows, index, some[kept][:QUERIES], some_ids[kept][:QUERIES], most)
     blocks = len(index.cuts[0]) + 1
-    n_queries = rows.where(F.col("_id") % every == 0).count()
-    parts = max(1, -(-n_queries // AT_ONCE))
+    deals, long_deals = max(1, -(-n // (blocks * block))), -(-told["long"] // block)
     shared = spark.sparkContext.broadcast(index)
 
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            x, ids = _matrix(batch.column("_vector"), dims), batch.column("_id").to_numpy()
-            for c in range(CURVES):
-                at = _block(index, index.keys(x, c, False), ids, c)
-                for part in range(parts):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), c), pa.int32()), pa.array(at, pa.int32()), pa.array(np.full(len(x), part), pa.int32()), batch.column("_id"), batch.column("_vector")],
-                        names=["curve", "block", "part", "_id", "_vector"],
-                    )
+    schema = "curve int, block int, deal int, part int, _id bigint, _vector binary"
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            x, ids = _matrix(batch.column("_vector"), dims), batch.column("_id").to_numpy()
-            for c in range(CURVES):
-                place = index.places(index.keys(x, c, True), c)
-                ends = [np.quantile(index.sample[c], np.clip(place + d, 0, 1), method="nearest") for d in (-index.window, index.window)]
-                low, high = np.searchsorted(index.cuts[c], ends[0], side="left"), np.searchsorted(index.cuts[c], ends[1], side="right")
-                n = high - low + 1
-                row = np.repeat(np.arange(len(x)), n)
-                at = np.repeat(low, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                part = (_mixed(ids[row]) >> _U(40)).astype(np.int64) % parts
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), c), pa.int32()), pa.array(at, pa.int32()), pa.array(part, pa.int32()), batch.column("_id").take(pa.array(row)), batch.column("_vector").take(pa.array(row))],
-                    names=["curve", "block", "part", "_id", "_vector"],
-                )
-
-    schema = "curve int, block int, part int, _id bigint, _vector binary"
-    place = ["curve", "block", "part"]
+    def cells(curve: int, at: np.ndarray, deal: np.ndarray, part: np.ndarray, batch: pa.RecordBatch, row: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.broadcast_to(c, len(row)).astype(np.int32)) for c in (curve, at, deal, part)]
+        return pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(pa.array(row)) for c in ("_id", "_vector"))], names=[c.split()[0] for c in schema.split(", ")])
+
+    def indexed(parts: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                x, ids = _matrix(batch.column("_vector"), dims), batch.column("_id").to_numpy()
+                far = batch.column("_size").to_numpy() > index.length
+                own, rest = np.flatnonzero(far), np.flatnonzero(~far)
+                deal = (_mixed(ids) >> _U(20)).astype(np.int64)
+                for part in range(parts):
+                    if len(own):
+                        yield cells(-1, 0, deal[own] % long_deals, part, batch, own)
+                    for c in range(CURVES if len(rest) else 0):
+                        at = _block(index, index.keys(x[rest], c, False), ids[rest], c)
+                        yield cells(c, at, deal[rest] % deals, part, batch, rest)
+
+        return run
+
+    def asked(parts: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                x, ids = _matrix(batch.column("_vector"), dims), batch.column("_id").to_numpy()
+                every_row = np.arange(len(x))
+                part = (_mixed(ids) >> _U(40)).astype(np.int64) % parts
+                for deal in range(long_deals):
+                    yield cells(-1, 0, deal, part, batch, every_row)
+                for c in range(CURVES):
+                    place = index.places(index.keys(x, c, True), c)
+                    ends = [np.quantile(index.sample[c], np.clip(place + d, 0, 1), method="nearest") for d in (-index.window, index.window)]
+                    low, high = np.searchsorted(index.cuts[c], ends[0], side="left"), np.searchsorted(index.cuts[c], ends[1], side="right")
+                    n = high - low + 1
+                    row = np.repeat(every_row, n)
+                    at = np.repeat(low, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    for deal in range(deals):
+                        yield cells(c, at, deal, part[row], batch, row)
+
+        return run
+
+    queries = rows.where(F.col("_id") % every == 0)
+    # as many parts as keep the queries of the most asked partition within bounds
+    crowd = queries.mapInArrow(asked(1), schema).groupBy("curve", "block", "deal").count().agg(F.max("count")).first()[0]
+    parts = max(1, -(-(crowd or 0) // AT_ONCE))
+    place = ["curve", "block", "deal", "part"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -288,9 +322,9 @@ def nearest(
         return _found([int(query_ids[b[0]]) for b in best], [b[1] for b in best], [b[2] for b in best])
 
     found = (
-        rows.mapInArrow(indexed, schema)
+        rows.mapInArrow(indexed(parts), schema)
         .groupBy(*place)
-        .cogroup(rows.where(F.col("_id") % every == 0).mapInArrow(asked, schema).groupBy(*place))
+        .cogroup(queries.mapInArrow(asked(parts), schema).groupBy(*place))
         .applyInArrow(search, _FOUND)
     )
     ranked = _merged(found, most).select("query_id", F.posexplode("found").alias("rank", "one"))

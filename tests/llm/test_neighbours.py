@@ -19,17 +19,19 @@ def brute(rows, every, most):
     return out
 
 
-@pytest.mark.parametrize("kind", ["clusters", "even", "lengths"])
+@pytest.mark.parametrize("kind", ["clusters", "even", "lengths", "outlier"])
 def test_recall_and_scores(spark, kind):
     rng = np.random.default_rng(len(kind))
     n, dims = 1500, 16
     x = rng.normal(size=(n, dims))
-    if kind == "clusters":
+    if kind in ("clusters", "outlier"):
         x = rng.normal(size=(30, dims))[rng.integers(0, 30, n)] + 0.1 * x
     x /= np.linalg.norm(x, axis=1)[:, None]
     if kind == "lengths":
         x *= rng.uniform(0.5, 3, (n, 1))
     x[100:140] = x[100]
+    if kind == "outlier":
+        x[777] *= 1e4
     rows = [(k, x[k]) for k in range(n)]
     bad = [(2000, None), (2001, [0.0] * dims), (2020, [1.0] * (dims - 1) + [None]), (2040, [math.nan] * dims), (2060, [math.inf] + [0.0] * (dims - 1)), (2080, [1.0]), (None, [1.0] * dims), (2100, [])]
     table = spark.createDataFrame([(k, v.tolist()) for k, v in rows] + bad, "vec_id bigint, embedding array<double>")
@@ -46,6 +48,22 @@ def test_recall_and_scores(spark, kind):
             assert j != q and s == pytest.approx(float((x[q] * x[j]).sum()), abs=1e-12)
         hits += len({j for j, _ in mine} & {j for j, _ in found})
     assert hits >= 0.9 * 20 * len(want)
+    if kind == "outlier":
+        assert all(777 in {j for j, _ in got[q].values()} for q, found in want.items() if 777 in {j for j, _ in found})
+
+
+def test_rows_are_sent_once_a_curve_and_crowded_partitions_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 8))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    for at_once, sample in ((4096, 4096), (4, 4096), (4096, 40)):
+        monkeypatch.setattr(neighbours, "AT_ONCE", at_once)
+        monkeypatch.setattr(neighbours, "SAMPLE", sample)
+        got = {}
+        for r in neighbours.nearest(table, block=10 if sample == 40 else 300).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        want = brute(list(enumerate(x)), 20, 20)
+        assert sum(len(got[q] & {j for j, _ in found}) for q, found in want.items()) >= 0.9 * 20 * len(want)
 
 
 def test_hilbert_neighbours_touch():
