@@ -123,8 +123,16 @@ def saved_already(episodes: DataFrame, saved: DataFrame, key: str) -> DataFrame:
     return episodes.join(saved.select(key).distinct(), key, "left_semi")
 
 
-def not_saved_yet(episodes: DataFrame, saved: DataFrame, key: str, *, overwrite: bool = False) -> DataFrame:
-    return episodes if overwrite else episodes.join(saved.select(key).distinct(), key, "left_anti")
+def not_saved_yet(episodes: DataFrame, saved: DataFrame, key: str, *, overwrite: bool = False, by_key: bool = False) -> DataFrame:
+    """The episodes still to be saved, all of them with ``overwrite``.
+
+    ``by_key``: ``saved`` is a table that ``sinks.write_saved`` made. It holds
+    each key once and lies by it, so it is joined as it lies.
+    """
+    if overwrite:
+        return episodes
+    known = saved.select(key) if by_key else saved.select(key).distinct()
+    return episodes.join(known.hint("merge") if by_key else known, key, "left_anti")
 
 
 def listing_by_frame(readers: DataFrame, frame_links: DataFrame, listings: DataFrame, frame: str, link: str, pos: str):

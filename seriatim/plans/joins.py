@@ -10,6 +10,8 @@ from seriatim.operators import joins, links, ordered
 from seriatim.plans import views
 from seriatim.plans.registry import Registry
 from seriatim.plans.views import sql
+from seriatim.sources import sinks
+from seriatim.sources.shared import new_path
 from seriatim.sources.tables import table
 
 REGISTRY = Registry()
@@ -221,6 +223,16 @@ def j8_to_fetch(spark, folder):
     return joins.not_saved_yet(listed, _saved(spark, folder), "episode_id")
 
 
+@query("j8_new_beside_catalogue", sql("listing", body=f"SELECT series_id, episode_id FROM listing WHERE episode_id NOT IN ({_SAVED})"))
+def j8_beside(spark, folder):
+    """The same, held against a catalogue of what is saved that lies by key."""
+    listed = views.listing(spark, folder).select("series_id", "episode_id")
+    path = new_path(spark, "saved")
+    name = "saved_" + path.rpartition("-")[2]
+    saved = sinks.write_saved(_saved(spark, folder), name, path, "episode_id", buckets=8)
+    return joins.not_saved_yet(listed, saved, "episode_id", by_key=True)
+
+
 @query(
     "j9_listing_by_frame",
     sql(

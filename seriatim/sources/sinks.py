@@ -21,6 +21,18 @@ def write_episodes(episodes: DataFrame, path: str, host: str = "host") -> None:
     episodes.hint("rebalance", host).write.partitionBy(host).option("ignoreNullFields", "false").json(path)
 
 
+def write_saved(saved: DataFrame, name: str, path: str, key: str, buckets: int = 64) -> DataFrame:
+    """What is saved, each key once, as a table that lies by key: ``buckets`` parts, sorted inside.
+
+    Joins on the key read it as it lies, so only the other side is shuffled: a
+    day's new episodes, not the whole catalogue. ``name`` is the table's in the
+    session's catalogue, ``path`` a folder all executors reach.
+    """
+    kept = saved.select(key).where(F.col(key).isNotNull()).distinct().repartition(buckets, key)
+    kept.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return saved.sparkSession.table(name)
+
+
 def file_name(index: Column, count: Column, extension: str = "jpg") -> Column:
     """A page's file name: its index from 0, as wide as the page count."""
     text, width = index.cast("string"), F.length(count.cast("string"))

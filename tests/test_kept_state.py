@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from seriatim.operators import watch
+from seriatim.operators import joins, watch
+from seriatim.sources import sinks
 from seriatim.streaming import batches, kept_list, opened, patrol
 
 
@@ -113,3 +114,18 @@ def test_only_entries_with_news_are_walked(spark, tmp_path, monkeypatch):
     assert walked == [{1, 2, 3, 4}, {2}, {3}, set()]
     got = {r["pos"]: (r["url"], r["title"]) for r in patrol.rounds_list(spark, table, watched.schema).collect()}
     assert got == want
+
+
+def test_the_saved_side_is_joined_as_it_lies(spark, tmp_path):
+    saved = spark.createDataFrame([(k % 50,) for k in range(300)] + [(None,)], "key long")
+    table = sinks.write_saved(saved, "saved_for_test", str(tmp_path / "saved"), "key", buckets=4)
+    new = spark.createDataFrame([(k, f"t{k}") for k in range(40, 60)] + [(None, "none")], "key long, title string").repartition(3)
+    found = joins.not_saved_yet(new, table, "key", by_key=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joined = plan[plan.index("SortMergeJoin") :].splitlines()
+    scan = next(n for n, line in enumerate(joined) if "Bucketed: true" in line)
+    # the one exchange by key stands on the side of the new episodes
+    assert sum("hashpartitioning(key" in line for line in joined) == 1
+    assert not any("Exchange" in line for line in joined[scan - 3 : scan])
+    assert {r["key"] for r in found.collect()} == {*range(50, 60), None}
+    spark.sql("DROP TABLE saved_for_test")
