@@ -169,21 +169,25 @@ def resolve(base: Column, href: Column) -> Column:
     return resolve_from(base_parts(base), href)
 
 
+#: How image paths name a scaled rendition, a size, and the rendition on a content network.
+SCALED = r"-scaled(\.\w+)$"
+SIZE_PREFIX = r"/mode[0-9]+_w[0-9]+-([^/]*)$"
+RENDITION = r"^([^?#]*/mwimgs/[0-9a-f]/[0-9a-f]/)[^/?#]+/(img_[^/?#]+).*$"
+
+
 def unscaled(url: Column) -> Column:
     """The upload a ``-scaled`` rendition was made from; null for any other URL."""
-    pattern = r"-scaled(\.\w+)$"
-    return F.when(url.rlike(pattern), F.regexp_replace(url, pattern, "$1"))
+    return F.when(url.rlike(SCALED), F.regexp_replace(url, SCALED, "$1"))
 
 
 def without_size_prefix(url: Column) -> Column:
     """A URL without the ``mode<n>_w<width>-`` prefix of its file name, else unchanged."""
-    return F.regexp_replace(url, r"/mode[0-9]+_w[0-9]+-([^/]*)$", "/$1")
+    return F.regexp_replace(url, SIZE_PREFIX, "/$1")
 
 
 def full_rendition(url: Column) -> Column:
     """The size segment of a CDN image path replaced by ``-``, else unchanged."""
-    pattern = r"^([^?#]*/mwimgs/[0-9a-f]/[0-9a-f]/)[^/?#]+/(img_[^/?#]+).*$"
-    return F.when(url.rlike(pattern), F.regexp_replace(url, pattern, "$1-/$2")).otherwise(url)
+    return F.when(url.rlike(RENDITION), F.regexp_replace(url, RENDITION, "$1-/$2")).otherwise(url)
 
 
 def _padded(number: Column, width: int) -> Column:
