@@ -46,3 +46,32 @@ def test_differencing_of_known_numbers():
 
 def test_empty_table(spark):
     assert sharding.sharded(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def differenced_with_members(sizes, bins):
+    """Differencing that carries the members of every bin along."""
+    parts = [(n, [(0, [])] * (bins - 1) + [(s, [n])]) for n, s in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[1][0][0] - p[1][-1][0], p[0]))
+        (_, a), (_, b), *rest = parts
+        joint = sorted(((x + y, m + k) for (x, m), (y, k) in zip(a, reversed(b))), key=lambda x: x[0])
+        parts = [*rest, (made, joint)]
+        made += 1
+    return parts[0][1] if parts else []
+
+
+@pytest.mark.parametrize("n, bins", [(1, 3), (2, 3), (40, 2), (90, 16), (300, 5)])
+def test_same_shards_as_by_plain_differencing(spark, n, bins):
+    rng = random.Random(n)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 300))) + f"{k:04}" for k in range(n)]
+    times = [rng.choice([1, 1, 2, 30]) for _ in texts]
+    rows = [(k, t) for k, (t, m) in enumerate(zip(texts, times)) for _ in range(m)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=bins).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += r.size
+    sizes = sorted(((len(t) + 1) * m for t, m in zip(texts, times)), reverse=True)
+    want = differenced_with_members(sizes, bins)
+    assert sorted(s for s, _ in want if s) == sorted(sums.values())
+    assert sorted(k for _, m in want for k in m) == list(range(n)) and all(s == sum(sizes[k] for k in m) for s, m in want)
