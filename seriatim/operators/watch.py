@@ -70,21 +70,21 @@ def resolved(watchlist: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataF
         .agg(F.min("pos").alias("_target"))
     )
     hits, n_hits = counted(hits, "hits")
-    if n == n_hits:
-        # each has an entry of its own, none goes on from another
+    every_one_hits = n == n_hits
+    if every_one_hits:
+        # each has an entry of its own: none goes on from another, none is appended
         aimed = updates.join(hits, "seq").withColumn("_root", F.col("seq"))
     else:
         open_ = updates.join(hits, "seq", "left_anti")
         roots = chain.ends(_linked(updates, open_), "seq", "_from", "_root")
         # Roots are few or the updates themselves; an update's target is that of its root.
         targets = hits.withColumnRenamed("seq", "_root")
-        aimed = updates.join(roots, "seq").join(targets, "_root", "left")
-    aimed = written(aimed, "aimed")
+        aimed = written(updates.join(roots, "seq").join(targets, "_root", "left"), "aimed")
     title = F.max_by("title", F.when(F.col("title") != "", F.col("seq"))).alias("_title")
     row = F.max(F.struct("seq", "url", "search")).alias("_new")
     changes = aimed.where(F.col("_target").isNotNull()).groupBy(F.col("_target").alias("pos")).agg(row, title)
     fresh = aimed.where(F.col("_target").isNull()).groupBy("_root").agg(row, title)
-    end = watchlist.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("end")).scalar()
+    end = F.lit(0) if every_one_hits else watchlist.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("end")).scalar()
     appended = ordered.number_rows(fresh, [], "_root", "_n").select(
         (end + F.col("_n")).alias("pos"),
         F.col("_new.url").alias("url"),

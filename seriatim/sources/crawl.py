@@ -127,21 +127,26 @@ def json_api(documents: DataFrame, body: str, work_type: str, order_key: str) ->
     )
 
 
-#: Numbers that one array of ``pages_by_count`` holds at most.
-STRETCH = 1 << 20
+#: Rows that ``pages_by_count`` makes of one row at once, at most.
+STRETCH = 1 << 16
 
 
-def pages_by_count(episodes: DataFrame, base: str, count: str) -> DataFrame:
+def pages_by_count(episodes: DataFrame, base: str, count: str, stretch: int = STRETCH) -> DataFrame:
     """One page per number up to ``count``, named after ``base``; none without a count.
 
-    Numbers come in stretches of stretches, so that a count of any size, a
-    mistaken one included, never makes an array of its own length.
+    Counts beyond ``stretch``, mistaken ones among them, are cut into stretches
+    of stretches, which are dealt out before they are cut further: no array and
+    no task holds more than ``stretch`` rows of one episode.
     """
-    numbered = episodes.where(F.col(count) >= 1).withColumn("_last", F.col(count).cast("bigint") - 1).withColumn("_at", F.lit(0).cast("bigint"))
-    for width in (STRETCH * STRETCH, STRETCH, 1):
-        # the parts that follow in what is left of this stretch
-        upto = F.least(F.col("_last"), F.col("_at") + F.lit(width * STRETCH - 1)) if width < STRETCH * STRETCH else F.col("_last")
-        parts = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", upto - F.col("_at"), F.lit(width).cast("bigint")))
-        numbered = numbered.withColumn("_part", F.explode(parts)).withColumn("_at", F.col("_at") + F.col("_part") * F.lit(width))
-    named = numbered.withColumn("page_no", F.col("_at") + 1).drop("_last", "_at", "_part")
-    return named.withColumn("page_url", F.concat(F.col(base), F.col("page_no").cast("string"), F.lit(".jpg")))
+    last, at = F.col(count).cast("bigint"), F.col("_at")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    few = episodes.where(last.between(1, stretch)).withColumn("page_no", F.explode(F.sequence(one, last)))
+    cut = episodes.where(last > stretch).withColumn("_at", one).withColumn("_to", last)
+    for width in (stretch * stretch, stretch, 1):
+        steps = F.sequence(zero, F.call_function("div", F.col("_to") - at, F.lit(width).cast("bigint")))
+        cut = cut.withColumn("_step", F.explode(steps)).withColumn("_at", at + F.col("_step") * width)
+        cut = cut.withColumn("_to", F.least(F.col("_to"), at + (width - 1))).drop("_step")
+        if width > 1:
+            cut = cut.repartition("_at", base)
+    pages = few.unionByName(cut.withColumnRenamed("_at", "page_no").select(*few.columns))
+    return pages.withColumn("page_url", F.concat(F.col(base), F.col("page_no").cast("string"), F.lit(".jpg")))

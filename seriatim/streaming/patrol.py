@@ -124,9 +124,12 @@ def rounds(
         if batch_id == 0:
             kept_list.save(watched.select(*names), f"{path}/list")
         seen = written(grouped(_last_visit(batch.select(*_VISITED.names))), "seen")
-        told = batches.buckets_in(seen) if batch_id else []
-        before = batches.read_buckets(spark, f"{path}/visited", _VISITED, told, batch_id)
-        visited = grouped(_last_visit(before.unionByName(seen.select(*_VISITED.names)))).drop("path", "_group")
+        visited, told = seen, []
+        if batch_id:
+            told = batches.buckets_in(seen)
+            before = batches.read_buckets(spark, f"{path}/visited", _VISITED, told, batch_id)
+            visited = grouped(_last_visit(before.unionByName(seen.select(*_VISITED.names))))
+        visited = visited.drop("path", "_group")
         batches.write_buckets(visited, f"{path}/visited", batch_id, named=told)
         held = kept_list.load(spark, f"{path}/list", schema, batch_id + 1)
         if whole_patrol:

@@ -39,11 +39,9 @@ def test_many_forms_of_one_host(spark):
     assert got == {"https://h/title-0/0": "r0", "https://h/title-7/7": "r7", "https://h/title-99999/99999": "r99999", "https://h/title-100000/100000": None, "https://h/title-7/x": None}
 
 
-def test_a_mistaken_count_makes_no_long_array(spark):
-    counts = spark.createDataFrame([(1, 3), (2, 0), (3, None), (4, (1 << 20) + 2)], "k long, n long").selectExpr("*", "'p/' AS base")
-    pages = crawl.pages_by_count(counts, "base", "n")
-    assert {r["k"]: tuple(r)[1:] for r in pages.selectExpr("k", "page_no").groupBy("k").agg({"page_no": "count"}).collect()} == {1: (3,), 4: ((1 << 20) + 2,)}
-    assert sorted(r["page_url"] for r in pages.where("k = 1").collect()) == ["p/1.jpg", "p/2.jpg", "p/3.jpg"]
-    assert pages.where("k = 4").agg({"page_no": "max"}).first()[0] == (1 << 20) + 2
-    dirty = spark.createDataFrame([(9, 1 << 45)], "k long, n long").selectExpr("*", "'p/' AS base")
-    assert [r["page_no"] for r in crawl.pages_by_count(dirty, "base", "n").limit(2).collect()] == [1, 2]
+def test_large_counts_come_in_stretches(spark):
+    counts = spark.createDataFrame([(1, 3), (2, 0), (3, None), (4, 100), (5, 64), (6, 5)], "k long, n long").selectExpr("*", "concat('p', k, '/') AS base")
+    for stretch in (4, 1 << 16):
+        pages = crawl.pages_by_count(counts, "base", "n", stretch)
+        got = sorted((r["k"], r["page_no"], r["page_url"]) for r in pages.collect())
+        assert got == [(k, n, f"p{k}/{n}.jpg") for k, last in ((1, 3), (4, 100), (5, 64), (6, 5)) for n in range(1, last + 1)]
