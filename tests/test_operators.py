@@ -211,6 +211,18 @@ def test_numbered_pages(spark):
     assert {r["url"] for r in got if r["open_ended"]} == {urls[1]}
 
 
+def test_ranges_that_name_the_same_pages_lie_side_by_side(spark):
+    starts = [1, 499, 500, 501, 9999, 10000, 10001, 10400]
+    df = spark.createDataFrame([(f"https://a/p[{n}-]", 10501) for n in starts], "url string, last int")
+    rows = links.expand_pages(df, "url", "last").select("*", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r["url"], r["page_url"]) for r in rows) == sorted(
+        (f"https://a/p[{n}-]", f"https://a/p{k}") for n in starts for k in range(n, 10502)
+    )
+    blocks = [(r["part"], r["page_no"] // links.PAGES_AT_ONCE) for r in rows]
+    runs = 1 + sum(a != b for a, b in zip(blocks, blocks[1:]))
+    assert runs == len(set(blocks))
+
+
 def test_paginate(spark):
     closed = [(1, False, ["a", "b"]), (2, False, []), (3, True, ["z"]), (4, False, ["b", "c"])]
     opened = [(1, False, ["a"]), (2, False, ["a", "b"]), (3, False, ["b"]), (4, False, ["c"])]
