@@ -436,14 +436,17 @@ def _one_array(table: pa.Table, length: int, route_shards: int) -> Iterator[pa.R
         place, own = place[dealt[own]], own[dealt[own]]
         h = gram_hashes(data)
         mine = anchor[shown][np.searchsorted(bounds, np.arange(len(h)), side="right") - 1].view(_U)
-        stand = np.flatnonzero(h == mine)
+        stand = np.append(np.flatnonzero(h == mine), len(data))
         mark = stand[np.searchsorted(stand, place)]
+        inside = mark - place <= length - GRAM
+        mark = np.where(inside, mark, place)
         group = (mark - place) // STEP
         core_lo = mark - group * STEP
         core_hi = mark - np.minimum(group * STEP + STEP - 1, length - GRAM) + length
         new = np.concatenate([[True], (np.diff(place) != 1) | (np.diff(group) != 0) | (np.diff(mark) != 0)])
-        # equal windows have one anchor and so one number of shards: all of them go the same way
-        single = salts[shown][own] > route_shards
+        # equal windows have one anchor and so one number of shards: all of them go the same way,
+        # as do those that do not hold their anchor
+        single = (salts[shown][own] > route_shards) | ~inside
         new |= single
         core_lo, core_hi = np.where(single, place, core_lo), np.where(single, place + length, core_hi)
         at = np.flatnonzero(new)
