@@ -22,18 +22,24 @@ N-grams are told apart by 64-bit hashes of their words' hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.llm.rows import texts_of
+from seriatim.llm.rows import slices_of
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
 _U = np.uint64
 #: Words whose hashes a task remembers, and bytes of the texts of one shard.
 WORDS, SHARD = 500_000, 16 << 20
+#: Bytes of texts and words that are taken apart at a time, and the bytes of a word hashed together with others.
+SLICE, AT_ONCE, LONG = 1 << 20, 20_000, 64
+_BYTES = np.random.default_rng(42).integers(0, 2**64, LONG * 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 
 
 class Hashes:
@@ -52,12 +58,38 @@ class Hashes:
         return np.fromiter(map(known.__getitem__, words), _U, len(words))
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts in a row, lower case for ASCII, and the number of words of each.
+
+    A word's hash combines a random number for each of its bytes and places, so
+    many words are hashed at once; longer ones than ``LONG`` go one by one.
+    """
+    whole = b" ".join(texts).lower()
+    inside = np.concatenate([[False], ~_SPACE[np.frombuffer(whole, np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    data, found = np.frombuffer(whole, np.uint8), np.zeros(len(start), _U)
+    for k in range(0, len(start), AT_ONCE):
+        lo, size = start[k : k + AT_ONCE], (end - start)[k : k + AT_ONCE]
+        short = np.flatnonzero(size <= LONG)
+        lo, size = lo[short], size[short]
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        if len(short):
+            found[k + short] = np.bitwise_xor.reduceat(_BYTES[place * 256 + data[place + np.repeat(lo, size)]], first)
+    for k in np.flatnonzero(end - start > LONG).tolist():
+        found[k] = xxhash.xxh3_64_intdigest(whole[start[k] : end[k]])
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return found, np.diff(np.searchsorted(start, bounds))
+
+
 def grams_of(words: np.ndarray, order: int, at: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the runs of ``order`` words, of all or those that start at some places; the order is part of the hash."""
     n = max(0, len(words) - order + 1) if at is None else len(at)
     h = np.full(n, _U(order * 0xD1B54A32D192ED03 % 2**64))
     for k in range(order):
-        h = (h ^ (words[k : k + n] if at is None else words[at + k])) * _U(0x9E3779B97F4A7C15)
+        h ^= words[k : k + n] if at is None else words[at + k]
+        h *= _U(0x9E3779B97F4A7C15)
         h ^= h >> _U(32)
     return h
 
@@ -66,45 +98,63 @@ class Shard:
     """The words of some texts in a row."""
 
     def __init__(self, table: pa.Table) -> None:
-        hashes = Hashes()
-        words = [hashes.of(t) for c in table.column("_text").chunks for t in texts_of(c)]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.words = np.concatenate([np.zeros(0, _U), *words])
-        self.text = np.repeat(np.arange(len(words)), self.sizes)
+        words, sizes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for column in table.column("_text").chunks:
+            for _, texts in slices_of(column, SLICE):
+                found, n = word_hashes(texts)
+                words.append(found)
+                sizes.append(n)
+        self.sizes = np.concatenate(sizes)
+        self.words = np.concatenate(words)
+        kind = np.int32 if len(self.sizes) < 2**31 else np.int64
+        self.text = np.repeat(np.arange(len(self.sizes), dtype=kind), self.sizes)
 
     def inside(self, order: int) -> np.ndarray:
-        """Where runs of so many words of one text start."""
-        n = len(self.words) - order + 1
-        return np.flatnonzero(self.text[:n] == self.text[order - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        """Whether a run of so many words of one text starts at a place, for those with so many words from there on."""
+        n = max(0, len(self.words) - order + 1)
+        return self.text[:n] == self.text[len(self.text) - n :]
 
     def grams(self, order: int, shorter: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the n-grams that may be frequent, as both shorter ones in them are."""
-        at = self.inside(order)
+        asked = self.inside(order)
         if shorter is not None:
-            at = at[(shorter[at] >= least) & (shorter[at + 1] >= least)]
+            often = shorter >= least
+            asked &= often[: len(asked)]
+            asked &= often[1 : len(asked) + 1]
+        at = np.flatnonzero(asked)
         return at, grams_of(self.words, order, at)
 
-    def counted(self, totals: list[np.ndarray], least: int) -> list[np.ndarray]:
+    def counted(self, totals: list[np.ndarray], least: int) -> Iterator[np.ndarray]:
         """For each order the counts of the n-grams that start at each word, 0 where they are too rare."""
-        found: list[np.ndarray] = []
+        counts = None
         for order, total in enumerate(totals, 1):
-            at, h = self.grams(order, found[-1] if found else None, least)
+            at, h = self.grams(order, counts, least)
+            by = h.argsort()
+            at = at[by]
+            h = h[by]
+            del by
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+            n = len(h)
+            del h
             counts = np.zeros(len(self.words), np.int64)
-            counts[at] = total[np.unique(h, return_inverse=True)[1]]
-            found.append(counts)
-        return found
+            counts[at] = np.repeat(total, np.diff(first, append=n))
+            yield counts
 
-    def scores(self, counts: list[np.ndarray], n_words: int, least: int, backoff: float) -> np.ndarray:
+    def scores(self, totals: list[np.ndarray], n_words: int, least: int, backoff: float) -> np.ndarray:
         """Each text's sum of the natural logarithms of its words' scores."""
-        score = np.log(counts[0] / n_words)
-        for order in range(2, len(counts) + 1):
-            # the best score of each word so far serves where its longer history is too rare
-            at = self.inside(order)
-            whole, before = counts[order - 1][at], counts[order - 2][at]
-            hit = whole >= least
-            end = at + order - 1
-            longer = np.log(np.where(hit, whole, 1) / np.maximum(before, 1))
-            score[end] = np.where(hit, longer, score[end] + np.log(backoff))
+        score = before = np.zeros(0)
+        for order, counts in enumerate(self.counted(totals, least), 1):
+            if order == 1:
+                score = np.log(counts / n_words)
+            else:
+                # the best score of each word so far serves where its longer history is too rare
+                at = self.inside(order)
+                hit = counts[: len(at)] >= least
+                back = np.flatnonzero(at & ~hit) + order - 1
+                score[back] += np.log(backoff)
+                hit = np.flatnonzero(at & hit)
+                score[hit + order - 1] = np.log(counts[hit] / np.maximum(before[hit], 1))
+            before = counts
         return np.bincount(self.text, score, len(self.sizes))
 
 
@@ -138,7 +188,11 @@ def _asked(docs: pa.Table, totals: list[np.ndarray], least: int, buckets: int) -
     """The n-grams of the next order that a shard asks for, cut into buckets."""
     shard = Shard(docs)
     order = len(totals) + 1
-    _, h = shard.grams(order, shard.counted(totals, least)[-1] if totals else None, least)
+    counts = None
+    for counts in shard.counted(totals, least):
+        pass
+    _, h = shard.grams(order, counts, least)
+    del counts
     found, times = np.unique(h, return_counts=True)
     edges = [0, *np.searchsorted(found, _cuts(buckets)).tolist(), len(found)]
     n = docs.column("_shard")[0].as_py()
@@ -192,7 +246,7 @@ def _scored_of(order: int, least: int, backoff: float):
         shard = Shard(docs)
         none = np.zeros(0, np.int64)
         totals = [*_totals(answers), *[none] * order][:order]
-        sums = shard.scores(shard.counted(totals, least), answers.column("_all")[0].as_py() if answers.num_rows else 1, least, backoff)
+        sums = shard.scores(totals, answers.column("_all")[0].as_py() if answers.num_rows else 1, least, backoff)
         n = shard.sizes
         empty = n == 0
         mean = sums / np.maximum(n, 1)
