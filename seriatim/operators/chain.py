@@ -62,15 +62,16 @@ def walk(
     seed: str,
     *,
     stop: str | None = None,
+    held: bool = False,
 ) -> DataFrame:
     """Every node a walk from each seed visits, with its ``depth``; the seed itself is depth 0.
 
     A walk ends where the link is null, names a node without a record, or a
     node it has already visited. A node whose boolean column ``stop`` is true
     counts as having no record. ``seeds`` has one row per walk; its columns are
-    kept. Seeds without a record walk nowhere.
+    kept. Seeds without a record walk nowhere. ``held``: see ``ranking.ranked``.
     """
-    return walk_ranked(ranking.ranked(edges, node, link, stop=stop), seeds, node, seed)
+    return walk_ranked(ranking.ranked(edges, node, link, stop=stop, held=held), seeds, node, seed)
 
 
 def walk_ranked(ranks: Ranks, seeds: DataFrame, node: str, seed: str) -> DataFrame:
@@ -192,8 +193,10 @@ def both_ways(edges: DataFrame, seeds: DataFrame, node: str, prev: str, next_: s
     took. ``depth`` is negative before the seed.
     """
     held = written(edges.select(node, prev, next_), "edges")
-    back = walk(held, seeds, node, prev, seed).withColumn("depth", -F.col("depth"))
-    on = walk(held, seeds, node, next_, seed)
+    back = walk(held, seeds, node, prev, seed, held=True).withColumn("depth", -F.col("depth"))
+    on = walk(held, seeds, node, next_, seed, held=True)
+    # both are read twice: worked out again, each would shuffle all places again
+    back, on = written(back, "back"), written(on, "on")
     keys = seeds.columns
     taken = on.where("depth > 0").join(back.select(*keys, node, F.col("depth").alias("_back")), [*keys, node])
     cut = taken.groupBy(*keys).agg(F.min("depth").alias("_cut"))
