@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,6 +224,30 @@ def test_ranges_that_name_the_same_pages_lie_side_by_side(spark):
     assert runs == len(set(blocks))
 
 
+def test_a_page_that_several_ranges_name_lies_in_one_place(spark, monkeypatch):
+    monkeypatch.setattr(links, "ROWS_PER_TASK", 100, raising=False)
+    urls = [*(f"https://a/p[{n}-]" for n in (1, 1, 700, 2000, 30001)), "https://a/p[3-5]", "https://a/p[0003-4]", "https://a/p", None, None]
+    df = spark.createDataFrame([(n, u, 30500) for n, u in enumerate(urls)], "url int, search string, last int")
+    got = links.expand_pages(df, "search", "last").select("*", F.spark_partition_id().alias("part")).collect()
+    want = [(n, f"https://a/p{k}") for n, u in enumerate(urls[:5]) for k in range(int(u[12:-2]), 30501)]
+    want += [(5, f"https://a/p{k}") for k in (3, 4, 5)] + [(6, "https://a/p0003"), (6, "https://a/p0004"), (7, "https://a/p")]
+    assert sorted((r["url"], r["page_url"]) for r in got if r["url"] < 8) == sorted(want)
+    assert sorted((r["url"], r["page_url"], r["ranged"], r["open_ended"]) for r in got if r["url"] > 6) == [
+        (7, "https://a/p", False, False), (8, None, False, False), (9, None, False, False),
+    ]
+    whole = [(r["part"], r["page_no"]) for r in got if r["url"] < 2]
+    assert 1 + sum(a != b for a, b in zip(whole, whole[1:])) == len(set(whole))
+    pages = Counter(part for part, _ in set((r["part"], r["page_url"]) for r in got))
+    assert max(pages.values()) <= links.STRETCHES_PER_TASK * links.PAGES_AT_ONCE
+
+
+def test_many_ranges_of_one_stretch_are_several_lists(spark, monkeypatch):
+    monkeypatch.setattr(links, "RANGES_AT_ONCE", 2)
+    df = spark.createDataFrame([(n, "https://a/p[1-3]" if n else "https://a") for n in range(40)], "n int, url string")
+    got = links.expand_pages(df.withColumn("last", F.lit(9)), "url", "last").collect()
+    assert sorted((r["n"], r["page_no"] or 0) for r in got) == [(0, 0), *((n, k) for n in range(1, 40) for k in (1, 2, 3))]
+
+
 def test_paginate(spark):
     closed = [(1, False, ["a", "b"]), (2, False, []), (3, True, ["z"]), (4, False, ["b", "c"])]
     opened = [(1, False, ["a"]), (2, False, ["a", "b"]), (3, False, ["b"]), (4, False, ["c"])]
